@@ -8,13 +8,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import lines, mixing, quality, sentencepiece, simhash
 from .common import materialize, read_table
 
 #: Words of a text and lines in DuckDB.
 SQL_WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = sentencepiece.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = sentencepiece.decode(ids)
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.simhash_components(read_table(spark, sf_dir, "documents"), width=4, radius=4)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, _ = mixing.mix_sources(read_table(spark, sf_dir, "documents"), weights=(1, 2, 3), max_epochs=3)
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     features = materialize(quality.quality_features(documents).drop("text"))
@@ -24,5 +51,22 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_quality_rules": op9_quality_rules}
-ORACLE_SQL: dict[str, str] = {}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_simhash, op8_line_dedup, op9_quality_rules, op10_mix_sources, pipeline)}
+#: Keys of lines: stripped of white space at both ends, A-Z in lower case.
+_KEY = r"translate(regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": f"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS own FROM documents),
+        l AS (SELECT doc_id, unnest(own) AS x FROM d),
+        often AS (SELECT {_KEY} AS k FROM l GROUP BY k HAVING count(DISTINCT doc_id) >= 10 AND length(k) >= 1),
+        bad AS (SELECT coalesce(list(k), []) AS ks FROM often),
+        r AS (SELECT doc_id, own, list_filter(own, lambda x: NOT list_contains(ks, {_KEY})) AS kept FROM d, bad)
+        SELECT doc_id, len(own)::BIGINT AS n_lines, (len(own) - len(kept))::BIGINT AS n_dropped,
+               sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256 FROM r""",
+}
