@@ -5,16 +5,22 @@ Each query applies its operator to the whole of its table and derives the digest
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, quality, sentencepiece, simhash
-from .common import materialize, read_table
+from . import chat, language_id, lines, mixing, quality, sentencepiece, simhash, substrings, topk_search, warc
+from .common import checkpoint_dir, materialize, read_table
 
 #: Words of a text and lines in DuckDB.
 SQL_WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k_search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = sentencepiece.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     back = sentencepiece.decode(ids)
@@ -32,6 +38,46 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
+    warc.write_arcs(read_table(spark, sf_dir, "pages"), f"{folder}/arc", versions=(1, 2))
+    warc.arc_to_warc(spark, f"{folder}/arc", f"{folder}/warc", min_revisit=1000)
+    records = warc.with_referents(warc.read_warcs(spark, f"{folder}/warc"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hostile = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", hostile), (-7, 1, "assistant", hostile)], "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(rows.unionByName(extra))
+    out = out.withColumn("turns", chat.parsed(F.col("formatted")))
+    out = out.withColumn("loss", F.array_join(chat.loss_texts(F.col("formatted"), F.col("loss_spans")), ""))
+    each = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(each, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "round_trip",
+    )
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.substring_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), window=13)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(True))
+    model = language_id.fit(documents, ~held_out, "text", "lang", "doc_id")
+    found = language_id.identify(documents.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -57,10 +103,55 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_simhash, op8_line_dedup, op9_quality_rules, op10_mix_sources, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_sentencepiece, op3_simhash, op4_warc, op5_chat_format, op6_substring_dedup, op7_language_id, op8_line_dedup, op9_quality_rules, op10_mix_sources, pipeline)}
+
+
+def _sql_replaced(column: str, pairs) -> str:
+    for old, new in pairs:
+        column = f"replace({column}, '{old}', '{new}')"
+    return column
+
+
 #: Keys of lines: stripped of white space at both ends, A-Z in lower case.
 _KEY = r"translate(regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE_SQL: dict[str, str] = {
+    "op1_topk_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.e, d.e)::BIGINT AS score
+              FROM v q, v d WHERE q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op4_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM m""",
+    "op5_chat_format": f"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        e AS (SELECT *, {_sql_replaced("text", [(b, a) for a, b in reversed(chat.ESCAPES)])} = text AND {" AND ".join(f"NOT contains(text, '{x}')" for x in chat.CONTROLS)} AS plain,
+                     {_sql_replaced("text", [chat.ESCAPES[0], *((x, dict(chat.ESCAPES)[x[0]] + x[1:]) for x in chat.CONTROLS)])} AS marked FROM c)
+        SELECT conv_id, count(*)::BIGINT AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum({len(chat.TURN + chat.TEXT + chat.END)} + length({_sql_replaced("role", chat.ESCAPES)})
+                   + CASE WHEN plain THEN length(text) ELSE length(marked) END)::BIGINT AS formatted_chars,
+               true AS round_trip
+        FROM e GROUP BY conv_id""",
+    "op6_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {SQL_WORDS.format("text")} AS w FROM documents),
+        s AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+        g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS t FROM s),
+        r AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY t) AS low FROM g) WHERE low < doc_id),
+        gone AS (SELECT DISTINCT doc_id, i + j AS k FROM r, (SELECT unnest(range(0, 13)) AS j)),
+        u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM d),
+        kept AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY k) AS t FROM u ANTI JOIN gone USING (doc_id, k) GROUP BY u.doc_id),
+        n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op8_line_dedup": f"""
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS own FROM documents),
         l AS (SELECT doc_id, unnest(own) AS x FROM d),
