@@ -17,7 +17,7 @@ from cytoloom.llm.common import checkpoint_dir, read_table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality.quality_rules(docs).where("kept").select(docs.columns)
+    return quality.keep_good(docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

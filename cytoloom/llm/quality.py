@@ -119,7 +119,8 @@ def language_references(features: DataFrame, lang: str = "lang", max_languages:
         return []
     rows = rows.withColumn("q_lang", F.when(F.col("q_lang").isin(top), F.col("q_lang")))
     sums = rows.groupBy("q_lang").agg(F.sum("n_words").alias("n"), *[F.sum(F.get("q_classes", F.lit(k))).alias(f"c{k}") for k in range(5)])
-    runs = rows.select("q_lang", F.explode("q_runs").alias("r")).groupBy("q_lang", "r.k").agg(F.sum("r.n").alias("n"))
+    # explode() would make Spark filter by the size of q_runs first, and so build the arrays twice, inside a filter.
+    runs = rows.select("q_lang", F.explode_outer("q_runs").alias("r")).groupBy("q_lang", "r.k").agg(F.sum("r.n").alias("n"))
     counts: dict[str | None, dict[int, int]] = {}
     for r in runs.collect():
         counts.setdefault(r["q_lang"], {})[r["k"]] = r["n"]
@@ -210,3 +211,13 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", referen
     if references is None:
         references = language_references(features, lang)
     return quality_verdicts(features.drop(*(set(VERDICTS) - {text, lang})), references, **limits).drop("q_classes", "q_runs")
+
+
+def keep_good(df: DataFrame, text: str = "text", lang: str = "lang", **how) -> DataFrame:
+    """The rows of df that the rules keep, with the columns of df.
+
+    The filter refers to a row number, so that Spark doesn't push it below the columns that it rests on and compute them again.
+    """
+    judged, row = quality_rules(df, text, lang, **how), free_name(df, "_q_row")
+    judged = judged.withColumn(row, F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col(row) >= 0)).select(*df.columns)
