@@ -8,6 +8,11 @@ one bucket for each pair of blocks. Inside a bucket fingerprints are stored as v
 One fingerprint is compared with a word of 64 at once: each plane gives the word of differing bits, carry-save adders count them in
 bit-sliced counters, and words whose lanes all exceed the radius are abandoned.
 
+For near copies by a similarity of word shingles (``near_components``), a fingerprint has several blocks of 64 bits, made from the
+distinct shingles. A pair of similarity s differs in each bit with probability acos(2 s / (1 + s)) / pi; buckets are bands of
+``band_bits`` bits over all blocks (at the defaults a pair of similarity 0.8 shares one with probability 0.95, one of 0.9 nearly
+always), and pairs link if their first ``compare`` blocks differ in at most the expected number of bits plus one standard deviation.
+
 Scale: only distinct fingerprints go on. A bucket of more than ``chunk`` fingerprints is cut into chunks, and each pair of chunks
 is a group of its own; a group gives a spanning forest of its links, never all pairs.
 
@@ -21,17 +26,18 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
 from .common import materialize
+from .components import connected_components
 
 BITS = 64
 
@@ -49,33 +55,52 @@ def shingle_hashes(text: bytes | None, width: int = 4, seed: int = 42) -> np.nda
     return np.array([digest(joined[s:e], seed) for s, e in zip(starts, last)], np.uint64)
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """The bits that are set in over half of the hashes."""
-    if not len(hashes):
-        return 0
-    counts = np.zeros(BITS, np.int64)
-    for start in range(0, len(hashes), 4096):
-        part = hashes[start : start + 4096]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+def fingerprint(hashes: np.ndarray, blocks: int = 1) -> np.ndarray:
+    """The bits that are set in over half of the hashes; further blocks come from the same hashes, mixed."""
+    counts = np.zeros((blocks, BITS), np.int64)
+    salt = np.arange(blocks, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    for start in range(0, len(hashes), 2048):
+        part = hashes[start : start + 2048][None, :]
+        if blocks > 1:
+            part = (part ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
+            part = (part ^ (part >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            part ^= part >> np.uint64(32)
+        bits = np.unpackbits(np.ascontiguousarray(part).view(np.uint8).reshape(blocks, -1, 8), axis=2, bitorder="little")
+        counts += bits.sum(axis=1, dtype=np.uint32)
+    return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view(np.uint64).ravel()
+
 
+def with_fingerprints(df: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 4, blocks: int = 1) -> DataFrame:
+    """(doc_id, fp): the fingerprint of each row as an array of signed longs; several blocks are of the distinct shingles."""
 
-def with_fingerprints(df: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row as a signed long."""
+    def one(text):
+        hashes = shingle_hashes(text, width)
+        return fingerprint(np.unique(hashes) if blocks > 1 else hashes, blocks)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            fps = np.array([fingerprint(shingle_hashes(t, width)) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = [one(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            flat = np.concatenate([np.zeros(0, np.uint64), *fps]).view(np.int64)
+            ends = pa.array(np.arange(len(fps) + 1, dtype=np.int32) * blocks)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["doc_id", "fp"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp array<long>")
+
+
+def pair_keys(radius: int) -> list[Column]:
+    """A fingerprint of one block under the masks of all pairs of radius + 2 pieces: two within the radius agree under one at least."""
+    return [F.get("fp", F.lit(0)).bitwiseAND(F.lit(m)) for m in masks(radius)]
+
+
+def band_keys(blocks: int, band_bits: int) -> list[Column]:
+    """Bands of band_bits bits of each block."""
+    shifts = range(0, BITS - band_bits + 1, band_bits)
+    return [F.shiftrightunsigned(F.get("fp", F.lit(b)), k).bitwiseAND(F.lit((1 << band_bits) - 1)) for b in range(blocks) for k in shifts]
 
 
 def masks(radius: int) -> list[int]:
-    """The masks of all pairs of blocks, as signed longs: two fingerprints within the radius agree under one at least."""
+    """The masks of all pairs of pieces, as signed longs."""
     blocks = radius + 2
     edges = [round(BITS * k / blocks) for k in range(blocks + 1)]
     block = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(blocks)]
@@ -83,7 +108,7 @@ def masks(radius: int) -> list[int]:
 
 
 class BitPlanes:
-    """Fingerprints of many buckets as vertical bit planes; a bucket starts a new word of 64 lanes."""
+    """Fingerprints (rows of blocks) of many buckets as vertical bit planes; a bucket starts a new word of 64 lanes."""
 
     def __init__(self, fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
         self.words = (sizes + 63) // 64
@@ -92,12 +117,12 @@ class BitPlanes:
         place = np.arange(len(fps)) - starts[group]
         self.word_of, self.lane_of = first[group] + place // 64, place % 64
         n = int(self.words.sum())
-        lanes, used = np.zeros((n, 64), np.uint64), np.zeros((n, 64), np.uint64)
-        lanes[self.word_of, self.lane_of] = fps
+        lanes, used = np.zeros((fps.shape[1], n, 64), np.uint64), np.zeros((n, 64), np.uint64)
+        lanes[:, self.word_of, self.lane_of] = fps.T
         used[self.word_of, self.lane_of] = 1
         shift = np.arange(64, dtype=np.uint64)
         one = np.uint64(1)
-        self.planes = np.stack([np.bitwise_or.reduce(((lanes >> b) & one) << shift, axis=1) for b in shift])
+        self.planes = [np.bitwise_or.reduce(((block >> b) & one) << shift, axis=1) for block in lanes for b in shift]
         self.used = np.bitwise_or.reduce(used << shift, axis=1)
         self.member = np.full((n, 64), -1, np.int64)
         self.member[self.word_of, self.lane_of] = np.arange(len(fps))
@@ -111,7 +136,7 @@ class BitPlanes:
         return query, self.first[self.group[query]] + step
 
 
-def within(planes: np.ndarray, used: np.ndarray, query: np.ndarray, word: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def within(planes: list[np.ndarray], used: np.ndarray, query: np.ndarray, word: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(tile, lanes): for each tile that has any, the lanes whose fingerprint differs from the query's in at most radius bits."""
     tile, one = np.arange(len(query)), np.uint64(1)
     depth = max(1, radius.bit_length())
@@ -127,8 +152,8 @@ def within(planes: np.ndarray, used: np.ndarray, query: np.ndarray, word: np.nda
                 above, equal = above | (equal & counter[k]), equal & ~counter[k]
         return above
 
-    for b in range(0, BITS, 2):
-        x, y = (planes[k][word] ^ (np.uint64(0) - ((query >> np.uint64(k)) & one)) for k in (b, b + 1))
+    for b in range(0, len(planes), 2):
+        x, y = (planes[k][word] ^ (np.uint64(0) - ((query[:, k // BITS] >> np.uint64(k % BITS)) & one)) for k in (b, b + 1))
         half = counter[0] ^ x
         carry = (counter[0] & x) | (half & y)
         counter[0] = half ^ y
@@ -190,17 +215,19 @@ def bucket_links(fps: np.ndarray, starts: np.ndarray, radius: int, tile_batch: i
     return places[tied], places[root[tied]]
 
 
-def links(nodes: DataFrame, radius: int = 4, chunk: int = 1024, batch_rows: int = 1 << 16) -> DataFrame:
-    """(u, v): links between distinct fingerprints (column fp) that connect all that are within the radius."""
-    band = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])).alias("band", "bits")
-    bands = nodes.select("fp", band)
+def links(nodes: DataFrame, keys: list[Column], radius: int, blocks: int = 1, chunk: int = 1024, batch_rows: int = 1 << 15) -> DataFrame:
+    """(u, v): links between nodes (node, fp) that share a key and differ in at most radius bits of the first blocks.
+
+    The links connect all such pairs of a bucket; they are a spanning forest of them, not the pairs themselves.
+    """
+    bands = nodes.select("node", F.slice("fp", 1, blocks).alias("fp"), F.posexplode(F.array(*keys)).alias("band", "bits"))
     hot = bands.groupBy("band", "bits").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
     hot = hot.select("band", "bits", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
     rows = bands.join(hot, ["band", "bits"], "left")
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     other = F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("fp", "band", "bits", F.coalesce(own, F.lit(0)).alias("own"), other.alias("other"))
-    rows = rows.select("fp", "band", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.select("node", "fp", "band", "bits", F.coalesce(own, F.lit(0)).alias("own"), other.alias("other"))
+    rows = rows.select("node", "fp", "band", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     keys = ["band", "bits", "i", "j"]
 
     def run(frames):
@@ -219,15 +246,16 @@ def links(nodes: DataFrame, radius: int = 4, chunk: int = 1024, batch_rows: int
             yield done(rest, np.arange(len(rest)) == 0)
 
     def done(frame, new):
-        fps = frame["fp"].to_numpy(np.int64)
+        nodes = frame["node"].to_numpy(np.int64)
+        fps = np.concatenate(frame["fp"].to_numpy()).astype(np.int64).view(np.uint64).reshape(-1, blocks)
         starts = np.flatnonzero(new)
         out = []
         at = 0
         while at < len(starts):  # whole buckets, about batch_rows at a time
             to = max(at + 1, int(np.searchsorted(starts, starts[at] + batch_rows)))
             end = starts[to] if to < len(starts) else len(fps)
-            part = fps[starts[at] : end]
-            a, b = bucket_links(part.view(np.uint64), starts[at:to] - starts[at], radius)
+            part = nodes[starts[at] : end]
+            a, b = bucket_links(fps[starts[at] : end], starts[at:to] - starts[at], radius)
             out.append((part[a], part[b]))
             at = to
         u, v = (np.concatenate(x) for x in zip(*out))
@@ -236,14 +264,31 @@ def links(nodes: DataFrame, radius: int = 4, chunk: int = 1024, batch_rows: int
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "u long, v long").distinct()
 
 
-def simhash_components(df: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 4, radius: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of df: component_id is the smallest id in the row's component."""
-    rows = materialize(with_fingerprints(df, text, id_col, width))
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    stars = connected_components(links(nodes, radius))
-    nodes = nodes.join(stars, nodes["fp"] == stars["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def components_of(rows: DataFrame, keys: list[Column], radius: int, blocks: int = 1) -> DataFrame:
+    """rows (doc_id, node, fp) with component_id, the smallest id that the row's node reaches over the links."""
+    nodes = materialize(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")))
+    stars = connected_components(links(nodes, keys, radius, blocks)).withColumnRenamed("node", "s_node")
+    nodes = nodes.join(stars, nodes["node"] == stars["s_node"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(nodes.join(least, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
+    return rows.join(nodes.join(least, "root").select("node", "component_id"), "node", "left")
+
+
+def simhash_components(df: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 4, radius: int = 4) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of df, by fingerprints of 64 bits; the radius may be up to 14."""
+    rows = with_fingerprints(df, text, id_col, width).withColumn("node", F.get("fp", F.lit(0)))
+    found = components_of(materialize(rows), pair_keys(radius), radius)
+    return found.select("doc_id", F.col("node").alias("fp"), "component_id")
+
+
+def near_components(
+    df: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, similarity: float = 0.8, blocks: int = 10, compare: int = 4, band_bits: int = 16
+) -> DataFrame:
+    """(doc_id, component_id) for each row of df, by similarity (Jaccard) of the sets of word shingles."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = BITS * compare
+    radius = math.ceil(n * p + math.sqrt(n * p * (1 - p)))
+    rows = with_fingerprints(df, text, id_col, width, blocks).withColumn("node", F.xxhash64("fp"))
+    return components_of(materialize(rows), band_keys(blocks, band_bits), radius, compare).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
@@ -252,7 +297,7 @@ def drop_near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_i
     Rows that share that id are told apart no further and one of them stays. Rows with a null id stay only if their component has
     no other; of such a component one row stays.
     """
-    rows = simhash_components(df, text, id_col, **how)
+    rows = near_components(df, text, id_col, **how)
     kept = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows"))
     kept = kept.withColumnRenamed("doc_id", "_kept")
     found = df.join(kept, df[id_col].eqNullSafe(kept["_kept"])).drop("_kept")
