@@ -118,7 +118,7 @@ def mix_sources(
     weights: tuple[float, ...] = (1, 2, 3),
     max_epochs: int = 3,
     block: int = 256,
-    range_rows: int = 1 << 16,
+    range_rows: int = 1 << 12,
 ) -> tuple[DataFrame, DataFrame]:
     """What the mix takes of each document, and the schedule.
 
@@ -162,12 +162,13 @@ def mix_sources(
     spans = distinct.withColumn("cell", cells)
     covered = F.greatest(F.lit(0), F.least(F.col("b"), F.col("at") + F.col("size")) - F.greatest(F.col("a"), F.col("at")))
     first = F.when((F.col("a") <= F.col("at")) & (F.col("at") < F.col("b")), F.col("times")).otherwise(0)
-    got = spans.join(pieces, ["src", "cell"]).groupBy(key).agg(
+    # These sides grow with the input: a sort-merge join, never a broadcast.
+    got = spans.hint("merge").join(pieces, ["src", "cell"]).groupBy(key).agg(
         F.sum(covered * F.col("times")).alias("taken"), F.sum(first).cast("long").alias("copies")
     )
     got = got.select(F.col("row.src").alias("g_src"), F.col("row.at").alias("g_at"), F.col("row.doc_id").alias("g_id"), F.col("row.size").alias("g_size"), "taken", "copies")
     same = (rows["src"] == got["g_src"]) & (rows["at"] == got["g_at"]) & rows["doc_id"].eqNullSafe(got["g_id"]) & (rows["size"] == got["g_size"])
-    out = rows.join(got, same, "left")
+    out = rows.hint("merge").join(got, same, "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select("doc_id", "source", "size", "source_size", "target", zero("taken"), zero("copies")), slots
 
@@ -178,5 +179,5 @@ def take_mix(df: DataFrame, text: str = "text", source: str = "source", id_col:
     # Rows that share an id are told apart by nothing else that is kept, so each gets the copies of one of them, dealt in order.
     copies = plan.groupBy("doc_id").agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("mix_rows")).withColumnRenamed("doc_id", "mix_id")
     each = F.ceil(F.col("mix_copies") / F.col("mix_rows")).cast("int")
-    joined = df.join(copies, df[id_col].eqNullSafe(copies["mix_id"]))
+    joined = df.join(copies.hint("merge"), df[id_col].eqNullSafe(copies["mix_id"]))
     return joined.where("mix_copies > 0").withColumn("mix_n", F.explode(F.sequence(F.lit(1), each))).select(*[df[c] for c in df.columns])

@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MARK = "▁"
+#: Lengths of word beginnings whose paths are kept; shorter than any window, so that nothing before them is forgotten.
+HEADS = (8, 4)
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -67,7 +69,7 @@ class Model:
     NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
     UNIGRAM, BPE = 1, 2
 
-    def __init__(self, data: bytes, cache_words: int = 400_000, cache_chars: int = 48):
+    def __init__(self, data: bytes, cache_words: int = 300_000, cache_chars: int = 48):
         self.kind, self.prefix, self.squeeze, self.unknown = self.UNIGRAM, True, True, 0
         pieces = []
         for number, value in wire_fields(data):
@@ -93,13 +95,13 @@ class Model:
         lowest = min((self.scores[i] for i in self.ids.values()), default=0.0)
         self.unknown_score = lowest - 10.0
         self.bytes = [self._bytes(p, k) for p, _, k in pieces]
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.halves: dict[str, tuple[str, str] | None] = {}
-        if self.kind == self.BPE:  # pieces that merging never makes are on no path
-            self.usable = {p for p in self.ids if len(p) == 1 or self.halves_of(p)}
+        if self.kind == self.BPE:
+            self._prepare_merges()
         words = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if words else "(?s).+").findall
         self.cache: dict[str, bytes] = {}
+        self.heads: dict[str, tuple[list[int], list[int | None]]] = {}
+        self.older: dict[str, bytes] = {}
         self.cache_words, self.cache_chars = cache_words, cache_chars
 
     def _bytes(self, piece: str, kind: int) -> bytes:
@@ -111,87 +113,98 @@ class Model:
 
     # Merge models: whether two pieces stay apart.
 
-    def halves_of(self, piece: str) -> tuple[str, str] | None:
-        """The two pieces of a piece's last merge; None for single characters and for pieces that merging never makes."""
-        if piece not in self.halves:
-            parts = list(piece)
-            last = None
+    def _prepare_merges(self) -> None:
+        """rank: the order of merging, -1 for single characters. left, right: the pieces of a piece's last merge. joint: the piece that
+        two pieces make. usable: pieces that merging makes of their own text; others are on no path."""
+        n, ids = len(self.text), self.ids
+        order = {s: r for r, s in enumerate(sorted({self.scores[i] for i in ids.values()}, reverse=True))}
+        self.rank, self.left, self.right, self.joint, self.usable = [-1] * n, [-1] * n, [-1] * n, {}, {}
+        for piece, i in ids.items():
+            for k in range(1, len(piece)):
+                if (a := ids.get(piece[:k])) is not None and (b := ids.get(piece[k:])) is not None:
+                    self.joint[a * n + b] = i
+            if len(piece) > 1:
+                self.rank[i] = order[self.scores[i]]
+        for piece, i in ids.items():
+            parts = [ids.get(c, -1) for c in piece]
             while len(parts) > 1:
-                best = max((self.ids.get(a + b) for a, b in zip(parts, parts[1:])), key=lambda i: float("-inf") if i is None else self.scores[i])
-                if best is None:
+                best, at = min((self.rank[j], k) if (j := self.joint.get(parts[k] * n + parts[k + 1], -1)) >= 0 and min(parts[k : k + 2]) >= 0 else (n, k) for k in range(len(parts) - 1))
+                if best == n:
                     break
-                k = next(k for k in range(len(parts) - 1) if self.ids.get(parts[k] + parts[k + 1]) == best)
-                last = (parts[k], parts[k + 1])
-                parts[k : k + 2] = [self.text[best]]
-            self.halves[piece] = last if len(parts) == 1 else None
-        return self.halves[piece]
-
-    def apart(self, a: str, b: str) -> bool:
+                self.left[i], self.right[i] = parts[at], parts[at + 1]
+                parts[at : at + 2] = [self.joint[parts[at] * n + parts[at + 1]]]
+            if len(parts) == 1:
+                self.usable[piece] = i
+        # The longest usable piece by its last two characters: no longer ones need to be looked up there.
+        self.reach: dict[str, int] = {}
+        for piece in self.usable:
+            self.reach[piece[-2:]] = max(self.reach.get(piece[-2:], 1), len(piece))
+
+    def apart(self, a: int, b: int) -> bool:
         """Whether merging the text of the pieces a and b gives a and b; both are results of merging themselves.
 
-        Undo the later of the two last merges again and again: a merge across the border would have come first if its score is
-        better than that of the merge just undone (on equal scores the left one comes first).
+        Undo the later of the two last merges again and again: a merge across the border would have come first if its rank is
+        before that of the merge just undone (of equal ranks the left one comes first).
         """
-        key = (a, b)
-        if len(self.pairs) > 2_000_000:
-            self.pairs.clear()
-        limit, left_undone = float("-inf"), False
-        answer = None
-        while answer is None:
-            joint = self.ids.get(a + b)
-            if joint is not None and (self.scores[joint] > limit or (self.scores[joint] == limit and not left_undone)):
-                answer = False
-                break
-            one = self.scores[self.ids[a]] if len(a) > 1 else None
-            two = self.scores[self.ids[b]] if len(b) > 1 else None
-            if one is None and two is None:
-                answer = True
-            elif two is None or (one is not None and one < two):
-                limit, left_undone, a = one, True, self.halves_of(a)[1]
+        n, rank, joint, left_undone = len(self.text), self.rank, self.joint, False
+        limit = n
+        while True:
+            j = joint.get(a * n + b)
+            if j is not None and (rank[j] < limit or (rank[j] == limit and not left_undone)):
+                return False
+            one, two = rank[a], rank[b]
+            if one > two:
+                limit, left_undone, a = one, True, self.right[a]
+            elif two >= 0:
+                limit, left_undone, b = two, False, self.left[b]
             else:
-                limit, left_undone, b = two, False, self.halves_of(b)[0]
-        self.pairs[key] = answer
-        return answer
+                return True
 
     # The search.
 
-    def merge_step(self, text: str, at: int, end: int, last: list[str | None], base: int) -> tuple[int, str | None]:
+    def merge_step(self, text: str, at: int, end: int, last: list[int | None], base: int) -> tuple[int, int | None]:
         """The one path to end in a merge model: the boundary before its last piece, and that piece (None: unknown)."""
-        usable, pairs = self.usable, self.pairs
-        for start in range(at, end):
-            piece = text[start:end]
-            if piece in usable:
+        usable = self.usable
+        for start in range(max(at, end - self.reach.get(text[end - 2 : end] if end > 1 else text[:1], 1)), end):
+            piece = usable.get(text[start:end])
+            if piece is not None:
                 before = last[start - base]
-                if before is None:
-                    return start, piece
-                joined = pairs.get((before, piece))
-                if joined or (joined is None and self.apart(before, piece)):
+                if before is None or self.apart(before, piece):
                     return start, piece
         return end - 1, None
 
-    def score_step(self, text: str, at: int, end: int, score: list[float], base: int) -> tuple[int, str | None, float]:
+    def score_step(self, text: str, at: int, end: int, score: list[float], base: int) -> tuple[int, int | None, float]:
         """The best path to end in a unigram model, and its score; of equal scores the earliest boundary."""
         best = (end - 1, None, score[end - 1 - base] + self.unknown_score)
         for start in range(at, end):
-            piece = text[start:end]
-            i = self.ids.get(piece)
+            i = self.ids.get(text[start:end])
             if i is not None and ((total := score[start - base] + self.scores[i]) > best[2] or (best[1] is None and total == best[2])):
-                best = (start, piece, total)
+                best = (start, i, total)
         return best
 
     def segments(self, text: str):
-        """Runs of final pieces, as they are committed; unknown characters stand as (None, character)."""
-        base, n = 0, len(text)
+        """Runs of final (id, text), as they are committed; unknown characters have no id."""
+        base, n, first, heads = 0, len(text), 1, self.heads
         back, last, score = [0], [None], [0.0]  # of the boundaries from base on
-        for end in range(1, n + 1):
-            at = max(base, end - self.longest)
-            if self.kind == self.BPE:
+        merging = self.kind == self.BPE
+        if merging:  # the path to a boundary depends on the text before it alone, and most words begin as others do
+            for head in HEADS:
+                if n > head and (known := heads.get(text[:head])):
+                    back, last, first = known[0][:], known[1][:], head + 1
+                    break
+            if len(heads) > self.cache_words:
+                heads.clear()
+        for end in range(first, n + 1):
+            at = end - self.longest if end - base > self.longest else base
+            if merging:
                 start, piece = self.merge_step(text, at, end, last, base)
             else:
                 start, piece, total = self.score_step(text, at, end, score, base)
                 score.append(total)
             back.append(start)
             last.append(piece)
+            if merging and end in HEADS and end < n:
+                heads[text[:end]] = (back[:], last[:])
             if end % self.longest and end < n:
                 continue
             live = {end} if end == n else set(range(max(base, end - self.longest + 1), end + 1))
@@ -214,7 +227,7 @@ class Model:
         for run in self.segments(word):
             for piece, text in run:
                 if piece is not None:
-                    out.append(self.ids[piece])
+                    out.append(piece)
                 elif self.byte_ids:
                     out += [self.byte_ids[b] for b in text.encode()]
                 elif not out or out[-1] != self.unknown:
@@ -231,10 +244,11 @@ class Model:
         for word in self.cut(text):
             got = cache.get(word)
             if got is None:
-                got = np.array(self.word_ids(word), np.int32).tobytes()
+                got = self.older.get(word) or np.array(self.word_ids(word), np.int32).tobytes()
                 if len(word) <= self.cache_chars:
-                    if len(cache) >= self.cache_words:
-                        cache.clear()
+                    if len(cache) >= self.cache_words:  # words that come again live on in the next generation
+                        self.older = cache
+                        cache = self.cache = {}
                     cache[word] = got
             parts.append(got)
         return np.frombuffer(b"".join(parts), np.int32)
@@ -261,13 +275,14 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
-def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, make) -> DataFrame:
+def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, make, rows: int = 256) -> DataFrame:
+    """df with a column made by make()(column), in small batches, as texts may be very long."""
     df = df if out == column else df.drop(out)
     place = df.columns.index(column)
 
     def run(batches):
         one = make()
-        for batch in batches:
+        for batch in (whole.slice(k, rows) for whole in batches for k in range(0, max(1, whole.num_rows), rows)):
             names = [*batch.schema.names, out] if out != column else batch.schema.names
             new = one(batch.column(place))
             columns = [*batch.columns, new] if out != column else [new if k == place else c for k, c in enumerate(batch.columns)]
@@ -301,6 +316,6 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", model_path: st
 
     def make():
         model = load(data.value)
-        return lambda column: pa.array([model.decode(x or ()) for x in column.to_pylist()], pa.string())
+        return lambda column: pa.array([model.decode(x.values.to_numpy().tolist() if x.is_valid else ()) for x in column], pa.string())
 
     return _mapped(df, ids, out, T.StringType(), make)

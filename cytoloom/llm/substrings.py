@@ -33,8 +33,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name
-
 LAST_ID = (1 << 63) - 1
 _hashes: dict[bytes, int] = {}
 
@@ -98,10 +96,12 @@ def shared_anchors(docs: DataFrame, window: int, k: int) -> DataFrame:
             # All but the first row of an anchor that the batch holds twice need no answer; the first one tells other batches.
             ask = new | ~several[group]
             key = np.where(ask, anchor, anchor * np.uint64(0x9E3779B97F4A7C15) + doc.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
-            columns = [key.view(np.int64), doc, anchor.view(np.int64), several[group]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "anchor", "several"])
+            # The key is the anchor of rows that ask; a zero there saves a third of the shuffle.
+            told = np.where(ask, np.uint64(0), anchor).view(np.int64)
+            columns = [key.view(np.int64), doc, told, ask, several[group]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "anchor", "ask", "several"])
 
-    rows = docs.select("id", "text").mapInArrow(own, "key long, id long, anchor long, several boolean")
+    rows = docs.select("id", "text").mapInArrow(own, "key long, id long, anchor long, ask boolean, several boolean")
 
     def answer(frames):
         """Rows come sorted by key. What is held of an unfinished key: its rows so far, or if it is shared, a mark that says so."""
@@ -117,9 +117,10 @@ def shared_anchors(docs: DataFrame, window: int, k: int) -> DataFrame:
             yes |= np.logical_or.reduceat(f["several"].to_numpy(bool), starts)
             shared = np.repeat(yes, np.diff(np.append(starts, len(f))))
             held = f.iloc[[-1]].assign(several=True, mark=True) if yes[-1] else f.iloc[starts[-1] :]
-            yield f.loc[shared & ~f["mark"].to_numpy(bool), ["id", "anchor"]]
+            yield f.loc[shared & ~f["mark"].to_numpy(bool), ["id", "key", "anchor", "ask"]]
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(answer, "id long, anchor long")
+    rows = rows.repartition("key").sortWithinPartitions("key").mapInPandas(answer, "id long, key long, anchor long, ask boolean")
+    return rows.select("id", F.when(F.col("ask"), F.col("key")).otherwise(F.col("anchor")).alias("anchor"))
 
 
 PIECES = "key long, part long, id long, copy long, start long, count long, text binary"
@@ -131,16 +132,17 @@ def segments(docs: DataFrame, anchors: DataFrame, window: int, k: int) -> DataFr
     key is what rows meet by; part is 0 here. copy tells rows that share an id apart.
     """
     lists = anchors.groupBy("id").agg(F.collect_set("anchor").alias("anchors")).withColumnRenamed("id", "a_id")
-    rows = docs.join(lists, docs["id"] == lists["a_id"]).select("id", "copy", "text", "anchors")
+    # All columns of docs go along: the last step joins the same shuffled rows again, which Spark then doesn't shuffle twice.
+    rows = docs.join(lists, docs["id"] == lists["a_id"]).drop("a_id")
 
     def cut(batches):
         for batch in batches:
-            ids, copies = (batch.column(c).to_numpy() for c in (0, 1))
-            offsets = batch.column(3).offsets.to_numpy()
-            flat = batch.column(3).values.to_numpy(zero_copy_only=False).view(np.uint64)
+            ids, copies = (batch.column(c).to_numpy() for c in ("id", "copy"))
+            offsets = batch.column("anchors").offsets.to_numpy()
+            flat = batch.column("anchors").values.to_numpy(zero_copy_only=False).view(np.uint64)
             least: dict[tuple, int] = {}
             found = []
-            for j, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
+            for j, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                 words = words_in(text)
                 start, count, anchor = anchored(words, window, k)
                 keep = np.isin(anchor, flat[offsets[j] : offsets[j + 1]])
@@ -313,27 +315,26 @@ def substring_dedup(
     """
     df = df.drop(*({"n_words", "n_removed", "removed", "kept_text"} - {text, id_col}))
     body = F.col(text).cast("string")
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(body).alias("copy"), body.alias("text"))
+    own = F.struct(*[F.col(c) for c in df.columns if c != text])
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(body).alias("copy"), body.alias("text"), own.alias("own"))
     pieces = segments(docs, shared_anchors(docs, window, k), window, k)
     marks = decide_longer(grow_trees(pieces, window, group_rows, batch_rows))
-    marks = marks.groupBy("id", "copy").agg(F.collect_list(F.struct("start", "count")).alias("marks"))
-    found = free_name(df, "_marks")
-    marks = marks.select(F.col("id").alias("m_id"), F.col("copy").alias("m_copy"), F.col("marks").alias(found))
-    row = (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)) == marks["m_id"]) & (F.xxhash64(body) == marks["m_copy"])
-    joined = df.join(marks, row, "left").drop("m_id", "m_copy")
-    place = df.columns.index(text)
+    marks = marks.groupBy("id").agg(F.collect_list(F.struct("copy", "start", "count")).alias("marks")).withColumnRenamed("id", "m_id")
+    joined = docs.join(marks, docs["id"] == marks["m_id"], "left").drop("m_id")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     added = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("removed", span), ("kept_text", T.StringType())]
 
     def run(batches):
         for batch in batches:
             total, gone, spans, kept = [], [], [], []
-            for body, own in zip(batch.column(place).cast(pa.binary()).to_pylist(), batch.column(found).to_pylist()):
+            copies = batch.column("copy").to_pylist()
+            for body, copy, own in zip(batch.column("text").cast(pa.binary()).to_pylist(), copies, batch.column("marks").to_pylist()):
                 words = words_in(body)
                 cover = np.zeros(len(words) + 1, np.int64)
                 for m in own or ():
-                    cover[m["start"]] += 1
-                    cover[min(len(words), m["start"] + m["count"] + window - 1)] -= 1
+                    if m["copy"] == copy:
+                        cover[m["start"]] += 1
+                        cover[m["start"] + m["count"] + window - 1] -= 1
                 out = np.cumsum(cover[:-1]) > 0
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], out.view(np.int8), [0]])))
                 total.append(len(words))
@@ -341,7 +342,8 @@ def substring_dedup(
                 spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
                 kept.append(b" ".join([w for w, o in zip(words, out.tolist()) if not o] if own else words))
             new = [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()).cast(pa.string())]
-            names = [n for n in batch.schema.names if n != found]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + new, names=names + [n for n, _ in added])
+            yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("text"), *new], names=["own", "text", *(n for n, _ in added)])
 
-    return joined.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in added)]))
+    schema = T.StructType([docs.schema["own"], docs.schema["text"], *(T.StructField(n, t) for n, t in added)])
+    columns = [F.col("text").alias(text) if c == text else F.col("own")[c].alias(c) for c in df.columns]
+    return joined.mapInArrow(run, schema).select(*columns, *(n for n, _ in added))

@@ -7,7 +7,8 @@ Of records with equal payloads of ``min_revisit`` bytes or more one is a respons
 
 Scale: archives are files of about ``file_bytes`` in the shared folder, each written by one task under a temporary name and then
 renamed, so a task that runs again writes the same file again. Which record is the response comes from an aggregation of digests;
-payloads are never shuffled. Decisions reach a converting task by file.
+payloads are never shuffled. Decisions reach
+a converting task by file name, and it reads the file from the shared folder.
 
 Defined results
 ---------------
@@ -72,6 +73,12 @@ def write_file(folder: str, name: str, data: bytes) -> str:
     return name
 
 
+def read_file(folder: str, name: str) -> bytes:
+    store, path = fs.FileSystem.from_uri(folder)
+    with store.open_input_stream(f"{path}/{name}", compression=None) as file:
+        return file.read()
+
+
 # ARC
 
 
@@ -251,13 +258,14 @@ def arc_to_warc(spark, arc_folder: str, warc_folder: str, min_revisit: int = 100
     best = large.groupBy("digest").agg(F.max_by(F.struct("record_id", "url", "date"), rank).alias("original"), F.count("*").alias("copies"))
     revisits = large.join(best.where("copies > 1"), "digest").where(F.col("record_id") != F.col("original.record_id"))
     orders = revisits.groupBy("name").agg(F.collect_list(F.struct("place", "original.*")).alias("orders")).withColumnRenamed("name", "o_name")
-    files = archives(spark, arc_folder, "*.arc.gz")
-    files = files.join(orders, files["name"] == orders["o_name"], "left").select("name", "content", "orders")
+    files = archives(spark, arc_folder, "*.arc.gz").select("name")
+    files = files.join(orders, files["name"] == orders["o_name"], "left").select("name", "orders")
 
     def run(frames):
         for f in frames:
             done = []
-            for name, content, own in zip(f["name"], f["content"], f["orders"]):
+            for name, own in zip(f["name"], f["orders"]):
+                content = read_file(arc_folder, name)
                 known = {x["place"]: x for x in (own if own is not None else ())}
                 records = [packed(warc_record(name, place, arc, block, known.get(place))) for place, arc, block in parse_arc(unpacked(content))]
                 start = "WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {}\r\nWARC-Date: 2026-01-01T00:00:00Z\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
