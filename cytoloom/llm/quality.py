@@ -214,10 +214,12 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", referen
 
 
 def keep_good(df: DataFrame, text: str = "text", lang: str = "lang", **how) -> DataFrame:
-    """The rows of df that the rules keep, with the columns of df.
+    """The rows of df that the rules keep, with the columns of df; those that clash with the rules' own come back as they were.
 
     The filter refers to a row number, so that Spark doesn't push it below the columns that it rests on and compute them again.
     """
-    judged, row = quality_rules(df, text, lang, **how), free_name(df, "_q_row")
+    added = {c.lower() for c in (*FEATURES, *VERDICTS)}
+    aside = {c: f"_q_own_{k}" for k, c in enumerate(df.columns) if c.lower() in added and c not in (text, lang)}
+    judged, row = quality_rules(df.withColumnsRenamed(aside), text, lang, **how), free_name(df, "_q_row")
     judged = judged.withColumn(row, F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col(row) >= 0)).select(*df.columns)
+    return judged.where(F.col("kept") & (F.col(row) >= 0)).select(*[F.col(aside.get(c, c)).alias(c) for c in df.columns])
