@@ -21,7 +21,9 @@ Defined results
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 import uuid
 import zlib
@@ -54,12 +56,8 @@ def unpacked(data: bytes) -> bytes:
     """All members of a gzip file; other data as it is."""
     if data[:2] != b"\x1f\x8b":
         return data
-    out = []
-    while data:
-        coder = zlib.decompressobj(31)
-        out.append(coder.decompress(data) + coder.flush())
-        data = coder.unused_data
-    return b"".join(out)
+    with gzip.GzipFile(fileobj=io.BytesIO(data)) as file:
+        return file.read()
 
 
 def write_file(folder: str, name: str, data: bytes) -> str:
@@ -250,7 +248,7 @@ def index_arcs(spark, folder: str) -> DataFrame:
     return archives(spark, folder, "*.arc.gz").mapInArrow(run, INDEX)
 
 
-def arc_to_warc(spark, arc_folder: str, warc_folder: str, min_revisit: int = 1000) -> DataFrame:
+def arc_to_warc(spark, arc_folder: str, warc_folder: str, min_revisit: int = 1000, max_tasks: int = 20_000) -> DataFrame:
     """(name, records): the WARC files written, one for each ARC file in arc_folder."""
     index = materialize(index_arcs(spark, arc_folder))
     rank = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("page"), "date", "name", "place")
@@ -260,6 +258,8 @@ def arc_to_warc(spark, arc_folder: str, warc_folder: str, min_revisit: int = 100
     orders = revisits.groupBy("name").agg(F.collect_list(F.struct("place", "original.*")).alias("orders")).withColumnRenamed("name", "o_name")
     files = archives(spark, arc_folder, "*.arc.gz").select("name")
     files = files.join(orders, files["name"] == orders["o_name"], "left").select("name", "orders")
+    # A row here stands for a whole file, which sizes in bytes don't tell: each file is a task of its own.
+    files = files.repartition(max(1, min(max_tasks, files.count())), "name")
 
     def run(frames):
         for f in frames:
