@@ -45,7 +45,7 @@ def complete_cases(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def missing_report(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, missing): nulls and NaNs of each column, in one pass."""
-    bad = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    bad = lambda c: F.col(c).isNull() | F.coalesce(F.isnan(F.col(c).try_cast("double")), F.lit(False))
     counts = df.agg(*[F.count(F.when(bad(c), 1)).alias(c) for c in columns])
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("missing")) for c in columns]))
     return counts.select(pairs.alias("p")).select("p.*")
