@@ -123,13 +123,13 @@ def shared_anchors(docs: DataFrame, window: int, k: int) -> DataFrame:
     return rows.select("id", F.when(F.col("ask"), F.col("key")).otherwise(F.col("anchor")).alias("anchor"))
 
 
-PIECES = "key long, part long, id long, copy long, start long, count long, text binary"
+PIECES = "key long, id long, copy long, start long, count long, text binary"
 
 
 def segments(docs: DataFrame, anchors: DataFrame, window: int, k: int) -> DataFrame:
     """The segments that may repeat, keyed by anchor, and marks (no text) for windows that a smaller document of the batch has.
 
-    key is what rows meet by; part is 0 here. copy tells rows that share an id apart.
+    key is what rows meet by. copy, 31 bits of a hash of the text, tells rows that share an id apart.
     """
     lists = anchors.groupBy("id").agg(F.collect_set("anchor").alias("anchors")).withColumnRenamed("id", "a_id")
     # All columns of docs go along: the last step joins the same shuffled rows again, which Spark then doesn't shuffle twice.
@@ -165,8 +165,8 @@ def segments(docs: DataFrame, anchors: DataFrame, window: int, k: int) -> DataFr
 def pieces_batch(rows: list[tuple]) -> pa.RecordBatch:
     key, doc, copy, start, count, text = zip(*rows) if rows else ([],) * 6
     wrapped = np.array([k & 0xFFFFFFFFFFFFFFFF for k in key], np.uint64).view(np.int64)
-    columns = [pa.array(wrapped), pa.array(np.zeros(len(key), np.int64)), *(pa.array(np.array(c, np.int64)) for c in (doc, copy, start, count)), pa.array(text, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["key", "part", "id", "copy", "start", "count", "text"])
+    columns = [pa.array(wrapped), *(pa.array(np.array(c, np.int64)) for c in (doc, copy, start, count)), pa.array(text, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "id", "copy", "start", "count", "text"])
 
 
 class SuffixTrees:
@@ -215,14 +215,14 @@ def runs(flag: np.ndarray, segment: np.ndarray, offset: np.ndarray) -> tuple[np.
 
 
 def grow_trees(pieces: DataFrame, window: int, group_rows: int, batch_rows: int) -> DataFrame:
-    """Marks from each group's suffix tree. Of groups with too many segments: their suffixes, keyed by all their words (part 1)."""
+    """Marks from each group's suffix tree. Of groups with too many segments: their suffixes, keyed by all their words."""
 
     def tree(f: pd.DataFrame) -> pd.DataFrame:
         _, group = np.unique(f["key"].to_numpy(), return_inverse=True)
         grown = SuffixTrees(group, list(f["text"]), window)
         seg, off, n = runs(grown.repeats(f["id"].to_numpy()), grown.segment, grown.offset)
         part = f.iloc[seg]
-        return part.assign(start=part["start"].to_numpy() + off, count=n, text=None, part=1)
+        return part.assign(start=part["start"].to_numpy() + off, count=n, text=None)
 
     def longer(f: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -231,15 +231,15 @@ def grow_trees(pieces: DataFrame, window: int, group_rows: int, batch_rows: int)
             for i in range(count):
                 body = b" ".join(words[i : i + window])
                 out.append((xxhash.xxh64_intdigest(body), doc, copy, start + i, 1, body))
-        f = pd.DataFrame(out, columns=["key", "id", "copy", "start", "count", "text"]).assign(part=1)
-        return f.assign(key=f["key"].to_numpy(np.uint64).view(np.int64))[["key", "part", "id", "copy", "start", "count", "text"]]
+        f = pd.DataFrame(out, columns=["key", "id", "copy", "start", "count", "text"])
+        return f.assign(key=f["key"].to_numpy(np.uint64).view(np.int64))[["key", "id", "copy", "start", "count", "text"]]
 
     def run(frames):
         held, large = None, None  # rows of an unfinished key; a key that is known to be too large
         for f in frames:
             marks = f["text"].isna()
             if marks.any():
-                yield f[marks].assign(part=1)
+                yield f[marks]
                 f = f[~marks]
             if large is not None:
                 same = f["key"] == large
@@ -316,7 +316,7 @@ def substring_dedup(
     df = df.drop(*({"n_words", "n_removed", "removed", "kept_text"} - {text, id_col}))
     body = F.col(text).cast("string")
     own = F.struct(*[F.col(c) for c in df.columns if c != text])
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(body).alias("copy"), body.alias("text"), own.alias("own"))
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(body).bitwiseAND(0x7FFFFFFF).alias("copy"), body.alias("text"), own.alias("own"))
     pieces = segments(docs, shared_anchors(docs, window, k), window, k)
     marks = decide_longer(grow_trees(pieces, window, group_rows, batch_rows))
     marks = marks.groupBy("id").agg(F.collect_list(F.struct("copy", "start", "count")).alias("marks")).withColumnRenamed("id", "m_id")
