@@ -8,10 +8,13 @@ one bucket for each pair of blocks. Inside a bucket fingerprints are stored as v
 One fingerprint is compared with a word of 64 at once: each plane gives the word of differing bits, carry-save adders count them in
 bit-sliced counters, and words whose lanes all exceed the radius are abandoned.
 
-For near copies by a similarity of word shingles (``near_components``), a fingerprint has several blocks of 64 bits, made from the
-distinct shingles. A pair of similarity s differs in each bit with probability acos(2 s / (1 + s)) / pi; buckets are bands of
-``band_bits`` bits over all blocks (at the defaults a pair of similarity 0.8 shares one with probability 0.95, one of 0.9 nearly
-always), and pairs link if their first ``compare`` blocks differ in at most the expected number of bits plus one standard deviation.
+For near copies by a similarity of word shingles (``near_components``), each distinct text is a node. Buckets are bands of ``rows``
+least hashes of its shingles under as many permutations; a pair of similarity s shares a band with probability s ** rows, so at the
+defaults one of 0.8 meets in some of the ``bands`` with probability 0.9999 (bands of 16 fingerprint bits would take over 100 for that).
+A fingerprint of ``blocks`` times 64 bits, made from the distinct shingles, only filters: a pair differs in each bit with probability
+acos(2 s / (1 + s)) / pi, and pairs beyond the expected number of bits plus five standard deviations go. What is left is decided
+exactly, by the Jaccard similarity of the sets of shingle hashes. In buckets of up to ``SMALL`` nodes all pairs are decided; in larger
+ones first a spanning forest, then all pairs that verified links don't connect yet, so large groups of copies don't cost all pairs.
 
 Scale: only distinct fingerprints go on. A bucket of more than ``chunk`` fingerprints is cut into chunks, and each pair of chunks
 is a group of its own; a group gives a spanning forest of its links, never all pairs.
@@ -22,6 +25,7 @@ Defined results
 * Texts with fewer words than the shingle width have one shingle, the whole sequence.
 * Repeated rows each get a row with the same component. Rows with a null id take part in links; a component of such rows only
   has a null id.
+* For near copies null, empty and blank texts are equal to each other and to nothing else.
 """
 
 from __future__ import annotations
@@ -36,10 +40,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import SPACE_CHARS, materialize
 from .components import connected_components
 
 BITS = 64
+#: Buckets of near copies up to this size are decided pair by pair.
+SMALL = 32
 
 
 def shingle_hashes(text: bytes | None, width: int = 4, seed: int = 42) -> np.ndarray:
@@ -93,10 +99,16 @@ def pair_keys(radius: int) -> list[Column]:
     return [F.get("fp", F.lit(0)).bitwiseAND(F.lit(m)) for m in masks(radius)]
 
 
-def band_keys(blocks: int, band_bits: int) -> list[Column]:
-    """Bands of band_bits bits of each block."""
-    shifts = range(0, BITS - band_bits + 1, band_bits)
-    return [F.shiftrightunsigned(F.get("fp", F.lit(b)), k).bitwiseAND(F.lit((1 << band_bits) - 1)) for b in range(blocks) for k in shifts]
+def min_bands(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One number for each band of rows least values, over the hashes under bands * rows permutations of their low halves."""
+    rng = np.random.default_rng(7)
+    salt, odd = (rng.integers(0, 1 << 32, (bands * rows, 1), dtype=np.uint32) for _ in range(2))
+    least = np.full((bands * rows, 1), 0xFFFFFFFF, np.uint32)
+    low = hashes.astype(np.uint32)[None, :]
+    for start in range(0, len(hashes), 2048):
+        part = (low[:, start : start + 2048] ^ salt) * (odd | np.uint32(1))
+        np.minimum(least, part.min(axis=1, keepdims=True), out=least)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(bands, rows))], np.uint64)
 
 
 def masks(radius: int) -> list[int]:
@@ -190,8 +202,13 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def bucket_links(fps: np.ndarray, starts: np.ndarray, radius: int, tile_batch: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest inside each bucket, as places in fps; starts holds where buckets begin."""
+def bucket_links(
+    fps: np.ndarray, starts: np.ndarray, radius: int, tile_batch: int = 1 << 16, small: int = 0, group: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest inside each bucket, as places in fps; starts holds where buckets begin.
+
+    Buckets of up to small fingerprints give all their links. With a group of each fingerprint, all links between groups come.
+    """
     sizes = np.diff(np.append(starts, len(fps)))
     large = sizes > 1
     keep = np.repeat(large, sizes)
@@ -201,6 +218,7 @@ def bucket_links(fps: np.ndarray, starts: np.ndarray, radius: int, tile_batch: i
     starts = np.cumsum(sizes) - sizes
     sliced = BitPlanes(fps, starts, sizes)
     query, word = sliced.tiles()
+    group = None if group is None else group[keep]
     found = []
     for k in range(0, len(query), tile_batch):
         q, w = query[k : k + tile_batch], word[k : k + tile_batch]
@@ -208,26 +226,34 @@ def bucket_links(fps: np.ndarray, starts: np.ndarray, radius: int, tile_batch: i
         lanes = np.unpackbits(hits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         row, lane = np.nonzero(lanes)
         a, b = q[tile[row]], sliced.member[w[tile[row]], lane]
-        found.append((a[a < b], b[a < b]))
+        once = a < b if group is None else (a < b) & (group[a] != group[b])
+        found.append((a[once], b[once]))
     a, b = (np.concatenate(x) for x in zip(*found))
-    root = forest(len(fps), a, b)
+    if group is not None:
+        return places[a], places[b]
+    whole = np.repeat(sizes <= small, sizes)[a]
+    root = forest(len(fps), a[~whole], b[~whole])
     tied = np.flatnonzero(root != np.arange(len(fps)))
-    return places[tied], places[root[tied]]
+    return places[np.append(tied, a[whole])], places[np.append(root[tied], b[whole])]
 
 
-def links(nodes: DataFrame, keys: list[Column], radius: int, blocks: int = 1, chunk: int = 1024, batch_rows: int = 1 << 15) -> DataFrame:
+def links(
+    nodes: DataFrame, keys: list[Column], radius: int, blocks: int = 1, chunk: int = 1024, batch_rows: int = 1 << 15, small: int = 0, between: bool = False
+) -> DataFrame:
     """(u, v): links between nodes (node, fp) that share a key and differ in at most radius bits of the first blocks.
 
-    The links connect all such pairs of a bucket; they are a spanning forest of them, not the pairs themselves.
+    The links connect all such pairs of a bucket; they are a spanning forest of them, not the pairs themselves. In buckets of up to
+    small nodes they are all pairs. between: instead all pairs of the larger buckets whose nodes differ in the column part.
     """
-    bands = nodes.select("node", F.slice("fp", 1, blocks).alias("fp"), F.posexplode(F.array(*keys)).alias("band", "bits"))
-    hot = bands.groupBy("band", "bits").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+    part = [F.col("part")] if between else []
+    bands = nodes.select("node", F.slice("fp", 1, blocks).alias("fp"), *part, F.posexplode(F.array(*keys)).alias("band", "bits"))
+    hot = bands.groupBy("band", "bits").agg(F.count("*").alias("n")).where(F.col("n") > (small if between else chunk))
     hot = hot.select("band", "bits", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    rows = bands.join(hot, ["band", "bits"], "left")
+    rows = bands.join(hot, ["band", "bits"], "inner" if between else "left")
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     other = F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("node", "fp", "band", "bits", F.coalesce(own, F.lit(0)).alias("own"), other.alias("other"))
-    rows = rows.select("node", "fp", "band", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.select("node", "fp", *part, "band", "bits", F.coalesce(own, F.lit(0)).alias("own"), other.alias("other"))
+    rows = rows.select("node", "fp", *part, "band", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     keys = ["band", "bits", "i", "j"]
 
     def run(frames):
@@ -247,6 +273,7 @@ def links(nodes: DataFrame, keys: list[Column], radius: int, blocks: int = 1, ch
 
     def done(frame, new):
         nodes = frame["node"].to_numpy(np.int64)
+        parts = frame["part"].to_numpy(np.int64) if between else None
         fps = np.concatenate(frame["fp"].to_numpy()).astype(np.int64).view(np.uint64).reshape(-1, blocks)
         starts = np.flatnonzero(new)
         out = []
@@ -254,12 +281,12 @@ def links(nodes: DataFrame, keys: list[Column], radius: int, blocks: int = 1, ch
         while at < len(starts):  # whole buckets, about batch_rows at a time
             to = max(at + 1, int(np.searchsorted(starts, starts[at] + batch_rows)))
             end = starts[to] if to < len(starts) else len(fps)
-            part = nodes[starts[at] : end]
-            a, b = bucket_links(fps[starts[at] : end], starts[at:to] - starts[at], radius)
-            out.append((part[a], part[b]))
+            some = slice(starts[at], end)
+            a, b = bucket_links(fps[some], starts[at:to] - starts[at], radius, small=small, group=parts[some] if between else None)
+            out.append((nodes[some][a], nodes[some][b]))
             at = to
         u, v = (np.concatenate(x) for x in zip(*out))
-        return pd.DataFrame({"u": u, "v": v})
+        return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "u long, v long").distinct()
 
@@ -280,15 +307,107 @@ def simhash_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
     return found.select("doc_id", F.col("node").alias("fp"), "component_id")
 
 
-def near_components(
-    df: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, similarity: float = 0.8, blocks: int = 10, compare: int = 4, band_bits: int = 16
+def once(texts: DataFrame) -> DataFrame:
+    """texts (node, text) with each node once in a partition, so that many copies of one text don't meet in one task."""
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            fresh = []
+            for node in batch.column(0).to_pylist():
+                fresh.append(node not in seen)
+                seen.add(node)
+            yield batch.filter(pa.array(fresh, pa.bool_()))
+
+    return texts.mapInArrow(run, "node long, text string")
+
+
+def sketches(texts: DataFrame, width: int, blocks: int, bands: int, rows: int) -> DataFrame:
+    """(node, fp, bands): the fingerprint and the bands of each text's distinct shingles; repeated nodes of a partition come once."""
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            nodes, fps, keys = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                if node not in seen:
+                    seen.add(node)
+                    hashes = np.unique(shingle_hashes(text, width))
+                    nodes.append(node)
+                    fps.append(fingerprint(hashes, blocks))
+                    keys.append(min_bands(hashes, bands, rows))
+            lists = [
+                pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * n), pa.array(np.concatenate(x).view(np.int64)))
+                for x, n in ((fps, blocks), (keys, bands))
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *lists], names=["node", "fp", "bands"])
+
+    return texts.mapInArrow(run, "node long, fp array<long>, bands array<long>")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets of shingle hashes have the similarity at least; decided exactly."""
+
+    def sets(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *found])))], names=["node", "hashes"])
+
+    def decide(batches):
+        for batch in batches:
+            alike = []
+            sides = []
+            for name in ("a", "b"):
+                column = batch.column(name)
+                sides.append((column.offsets.to_numpy(), column.values.to_numpy()))
+            (ea, a), (eb, b) = sides
+            for k in range(batch.num_rows):
+                x, y = a[ea[k] : ea[k + 1]], b[eb[k] : eb[k + 1]]
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1 else 0
+                alike.append(both / max(1, len(x) + len(y) - both) >= similarity)
+            yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
+
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    hashed = once(texts).join(ends, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(sets, "node long, hashes array<long>")
+    hashed = materialize(hashed)
+    rows = pairs.join(hashed.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u")
+    rows = rows.join(hashed.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
+    return materialize(rows.select("u", "v", "a", "b").mapInArrow(decide, "u long, v long"))
+
+
+def text_node(text: str) -> Column:
+    """The number of a text; null, empty and blank ones have the same."""
+    return F.xxhash64(F.btrim(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(SPACE_CHARS)))
+
+
+def near_roots(
+    df: DataFrame, text: str = "text", width: int = 5, similarity: float = 0.8, blocks: int = 4, bands: int = 18, rows: int = 4, small: int = SMALL
 ) -> DataFrame:
-    """(doc_id, component_id) for each row of df, by similarity (Jaccard) of the sets of word shingles."""
+    """(node, root) for each text_node() that is linked to another: the smallest node that it reaches over links."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    n = BITS * compare
-    radius = math.ceil(n * p + math.sqrt(n * p * (1 - p)))
-    rows = with_fingerprints(df, text, id_col, width, blocks).withColumn("node", F.xxhash64("fp"))
-    return components_of(materialize(rows), band_keys(blocks, band_bits), radius, compare).select("doc_id", "component_id")
+    n = BITS * blocks
+    radius = math.ceil(n * p + 5 * math.sqrt(n * p * (1 - p)))
+    texts = df.select(text_node(text).alias("node"), F.col(text).cast("string").alias("text"))
+    nodes = sketches(texts, width, blocks, bands, rows).groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes)
+    keys = [F.get("bands", F.lit(k)) for k in range(bands)]
+    found = verified(materialize(links(nodes, keys, radius, blocks, small=small)), texts, width, similarity)
+    stars = connected_components(found).withColumnRenamed("node", "s_node")
+    parts = nodes.join(stars, nodes["node"] == stars["s_node"], "left").select("node", "fp", "bands", F.coalesce("root", "node").alias("part"))
+    more = materialize(links(parts, keys, radius, blocks, small=small, between=True))
+    if more.isEmpty():
+        return stars.withColumnRenamed("s_node", "node")
+    return connected_components(found.union(verified(more, texts, width, similarity)))
+
+
+def near_components(df: DataFrame, text: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
+    """(doc_id, component_id) for each row of df, by similarity (Jaccard) of the sets of word shingles; how as for near_roots()."""
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_node(text).alias("node"))
+    stars = near_roots(df, text, **how)
+    least = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return rows.join(named, "node").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", **how) -> DataFrame:

@@ -83,3 +83,46 @@ def test_near_copies_go_and_others_stay(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()) == [3, 4, 7]
     assert simhash.drop_near_duplicates(no_docs(spark)).count() == 0
     assert simhash.drop_near_duplicates(edge_docs(spark)).count() > 0
+
+
+def brute_near(rows, similarity=0.8, width=5):
+    """Component number of each row, by the similarity of all pairs."""
+    sets = []
+    for _, text in rows:
+        words = (text or "").lower().split()
+        sets.append({tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set())
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (not sets[i] and not sets[j]) or len(sets[i] & sets[j]) >= similarity * max(1, len(sets[i] | sets[j])):
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    return label
+
+
+def test_near_links_against_brute_force_around_the_threshold(spark):
+    rows, rng = [], np.random.default_rng(5)
+    for k in range(150):  # pairs from 0.70 to 0.90, by the number of words replaced at the end of 200
+        words = [f"p{k}x{i}" for i in range(204)]
+        s = rng.uniform(0.7, 0.9)
+        cut = round(200 * (1 - s) / (1 + s))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: 204 - cut] + [f"q{k}x{i}" for i in range(cut)]))]
+    rows += [(1000 + 2 * k + d, " ".join(f"s{k}x{i}" for i in range(8 + d))) for k in range(20) for d in range(2)]  # four and five shingles: 0.8
+    label = brute_near(rows)
+    want = {rows[j][0]: min(rows[k][0] for k in range(len(rows)) if label[k] == label[j]) for j in range(len(rows))}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 50 < sum(i != r for i, r in want.items()) < 140
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_components(df).collect()} == want
+
+
+def test_near_links_of_large_buckets(spark):
+    base = [f"b{i}" for i in range(154)]
+    rows = []
+    for k in range(60):  # one word in an own place: 0.87 to the base, so about 0.75 to each other
+        rows.append((k, " ".join(base[: 5 + 2 * k] + [f"own{k}", f"two{k}"] + base[7 + 2 * k :])))
+    rows += [(60 + k, " ".join(base[:100] + [f"far{k}x{i}" for i in range(54)])) for k in range(60)]
+    for some in (rows, [(999, " ".join(base)), *rows]):
+        label = brute_near(some)
+        df = spark.createDataFrame(some, "doc_id long, text string")
+        want = {some[j][0]: min(some[k][0] for k in range(len(some)) if label[k] == label[j]) for j in range(len(some))}
+        assert {r["doc_id"]: r["component_id"] for r in simhash.near_components(df, small=4).collect()} == want
