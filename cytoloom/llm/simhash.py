@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, materialize
+from .common import SPACE_CHARS, free_name, materialize
 from .components import connected_components
 
 BITS = 64
@@ -411,14 +411,20 @@ def near_components(df: DataFrame, text: str = "text", id_col: str = "doc_id", *
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
-    """df without the near copies: of each component the row with the smallest id stays.
+    """df without the near copies: of each component one row stays, the first by id (null last), then by a hash of text and row.
 
-    Rows that share that id are told apart no further and one of them stays. Rows with a null id stay only if their component has
-    no other; of such a component one row stays.
+    Rows with one id but different texts, null ids among them, are told apart by their texts. Only rows that are equal in all
+    columns of plain types are left to chance.
     """
-    rows = near_components(df, text, id_col, **how)
-    kept = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    kept = kept.withColumnRenamed("doc_id", "_kept")
-    found = df.join(kept, df[id_col].eqNullSafe(kept["_kept"])).drop("_kept")
-    repeated = found.where("_rows > 1").dropDuplicates([id_col])
-    return found.where("_rows = 1").unionByName(repeated).drop("_rows")
+    node, row, root, n = (free_name(df, c) for c in ("_node", "_row", "_root", "_n"))
+    plain = [F.col(c).cast("string") for c, t in df.dtypes if not t.startswith(("map", "variant"))]
+    rows = df.withColumns({node: text_node(text), row: F.xxhash64(*plain)})
+    own = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"), F.col(node).alias("node"), F.col(n).alias("n"))
+    # One row for each text first, with map-side combine: many copies of one text don't meet in one task.
+    first = rows.groupBy(id_col, row, node).agg(F.count("*").alias(n)).groupBy(F.col(node).alias("node")).agg(F.min(own).alias("best"))
+    first = first.join(near_roots(df, text, **how), "node", "left").groupBy(F.coalesce("root", "node").alias(root)).agg(F.min("best").alias("best"))
+    first = first.select(root, *[F.col(f"best.{c}").alias(f"{root}_{c}") for c in ("id", "row", "node", "n")])
+    same = (rows[node] == first[f"{root}_node"]) & (rows[row] == first[f"{root}_row"]) & rows[id_col].eqNullSafe(first[f"{root}_id"])
+    found = rows.join(first, same)
+    repeated = found.where(F.col(f"{root}_n") > 1).dropDuplicates([root])
+    return found.where(F.col(f"{root}_n") == 1).select(*df.columns).unionByName(repeated.select(*df.columns))

@@ -126,3 +126,13 @@ def test_near_links_of_large_buckets(spark):
         df = spark.createDataFrame(some, "doc_id long, text string")
         want = {some[j][0]: min(some[k][0] for k in range(len(some)) if label[k] == label[j]) for j in range(len(some))}
         assert {r["doc_id"]: r["component_id"] for r in simhash.near_components(df, small=4).collect()} == want
+
+
+def test_null_and_repeated_ids_with_different_texts(spark):
+    text = lambda k, n=60: " ".join(f"d{k}x{i}" for i in range(n))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2) + " more"), (None, text(3)), (7, text(3) + " more"), (5, text(4)), (5, text(5)), (5, text(5)), (None, text(6))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = sorted((r["doc_id"] or 0, r["text"].split()[0]) for r in simhash.drop_near_duplicates(df).collect())
+    assert out == [(0, "d1x0"), (0, "d2x0"), (0, "d6x0"), (5, "d4x0"), (5, "d5x0"), (7, "d3x0")]
+    kept = {r["text"] for r in simhash.drop_near_duplicates(df.repartition(2)).collect()}
+    assert kept == {r["text"] for r in simhash.drop_near_duplicates(df).collect()}
