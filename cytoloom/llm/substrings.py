@@ -74,19 +74,21 @@ def words_in(text: bytes | None) -> list[bytes]:
 
 
 def shared_anchors(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """(id, anchor): the anchors of each document that another document has too."""
+    """(id, copy, anchor): the anchors of each document that another document has too."""
 
     def own(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            at, found = [], []
-            for j, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+            ids, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            at, copy, found = [], [], []
+            for j, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
                 anchor = np.unique(anchored(words_in(text), window, k)[2])
                 at.append(np.full(len(anchor), ids[j], np.int64))
+                copy.append(np.full(len(anchor), copies[j], np.int64))
                 found.append(anchor)
             doc, anchor = np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate([np.zeros(0, np.uint64), *found])
+            copy = np.concatenate([np.zeros(0, np.int64), *copy])
             order = np.lexsort((doc, anchor))
-            doc, anchor = doc[order], anchor[order]
+            doc, copy, anchor = doc[order], copy[order], anchor[order]
             new = np.append(True, anchor[1:] != anchor[:-1])[: len(anchor)]
             group = np.cumsum(new) - 1
             starts = np.flatnonzero(new)
@@ -98,10 +100,10 @@ def shared_anchors(docs: DataFrame, window: int, k: int) -> DataFrame:
             key = np.where(ask, anchor, anchor * np.uint64(0x9E3779B97F4A7C15) + doc.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
             # The key is the anchor of rows that ask; a zero there saves a third of the shuffle.
             told = np.where(ask, np.uint64(0), anchor).view(np.int64)
-            columns = [key.view(np.int64), doc, told, ask, several[group]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "anchor", "ask", "several"])
+            columns = [key.view(np.int64), doc, copy, told, ask, several[group]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "copy", "anchor", "ask", "several"])
 
-    rows = docs.select("id", "text").mapInArrow(own, "key long, id long, anchor long, ask boolean, several boolean")
+    rows = docs.select("id", "copy", "text").mapInArrow(own, "key long, id long, copy long, anchor long, ask boolean, several boolean")
 
     def answer(frames):
         """Rows come sorted by key. What is held of an unfinished key: its rows so far, or if it is shared, a mark that says so."""
@@ -117,10 +119,10 @@ def shared_anchors(docs: DataFrame, window: int, k: int) -> DataFrame:
             yes |= np.logical_or.reduceat(f["several"].to_numpy(bool), starts)
             shared = np.repeat(yes, np.diff(np.append(starts, len(f))))
             held = f.iloc[[-1]].assign(several=True, mark=True) if yes[-1] else f.iloc[starts[-1] :]
-            yield f.loc[shared & ~f["mark"].to_numpy(bool), ["id", "key", "anchor", "ask"]]
+            yield f.loc[shared & ~f["mark"].to_numpy(bool), ["id", "copy", "key", "anchor", "ask"]]
 
-    rows = rows.repartition("key").sortWithinPartitions("key").mapInPandas(answer, "id long, key long, anchor long, ask boolean")
-    return rows.select("id", F.when(F.col("ask"), F.col("key")).otherwise(F.col("anchor")).alias("anchor"))
+    rows = rows.repartition("key").sortWithinPartitions("key").mapInPandas(answer, "id long, copy long, key long, anchor long, ask boolean")
+    return rows.select("id", "copy", F.when(F.col("ask"), F.col("key")).otherwise(F.col("anchor")).alias("anchor"))
 
 
 PIECES = "key long, id long, copy long, start long, count long, text binary"
@@ -129,11 +131,11 @@ PIECES = "key long, id long, copy long, start long, count long, text binary"
 def segments(docs: DataFrame, anchors: DataFrame, window: int, k: int) -> DataFrame:
     """The segments that may repeat, keyed by anchor, and marks (no text) for windows that a smaller document of the batch has.
 
-    key is what rows meet by. copy, 31 bits of a hash of the text, tells rows that share an id apart.
+    key is what rows meet by. copy, a hash of the text, tells rows that share an id apart.
     """
-    lists = anchors.groupBy("id").agg(F.collect_set("anchor").alias("anchors")).withColumnRenamed("id", "a_id")
+    lists = anchors.groupBy(F.col("id").alias("a_id"), F.col("copy").alias("a_copy")).agg(F.collect_set("anchor").alias("anchors"))
     # All columns of docs go along: the last step joins the same shuffled rows again, which Spark then doesn't shuffle twice.
-    rows = docs.join(lists, docs["id"] == lists["a_id"]).drop("a_id")
+    rows = docs.join(lists, (docs["id"] == lists["a_id"]) & (docs["copy"] == lists["a_copy"])).drop("a_id", "a_copy")
 
     def cut(batches):
         for batch in batches:
@@ -316,25 +318,23 @@ def substring_dedup(
     df = df.drop(*({"n_words", "n_removed", "removed", "kept_text"} - {text, id_col}))
     body = F.col(text).cast("string")
     own = F.struct(*[F.col(c) for c in df.columns if c != text])
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(body).bitwiseAND(0x7FFFFFFF).alias("copy"), body.alias("text"), own.alias("own"))
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(body).alias("copy"), body.alias("text"), own.alias("own"))
     pieces = segments(docs, shared_anchors(docs, window, k), window, k)
     marks = decide_longer(grow_trees(pieces, window, group_rows, batch_rows))
-    marks = marks.groupBy("id").agg(F.collect_list(F.struct("copy", "start", "count")).alias("marks")).withColumnRenamed("id", "m_id")
-    joined = docs.join(marks, docs["id"] == marks["m_id"], "left").drop("m_id")
+    marks = marks.groupBy(F.col("id").alias("m_id"), F.col("copy").alias("m_copy")).agg(F.collect_set(F.struct("start", "count")).alias("marks"))
+    joined = docs.join(marks, (docs["id"] == marks["m_id"]) & (docs["copy"] == marks["m_copy"]), "left").drop("m_id", "m_copy")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     added = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("removed", span), ("kept_text", T.StringType())]
 
     def run(batches):
         for batch in batches:
             total, gone, spans, kept = [], [], [], []
-            copies = batch.column("copy").to_pylist()
-            for body, copy, own in zip(batch.column("text").cast(pa.binary()).to_pylist(), copies, batch.column("marks").to_pylist()):
+            for body, own in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("marks").to_pylist()):
                 words = words_in(body)
                 cover = np.zeros(len(words) + 1, np.int64)
                 for m in own or ():
-                    if m["copy"] == copy:
-                        cover[m["start"]] += 1
-                        cover[m["start"] + m["count"] + window - 1] -= 1
+                    cover[m["start"]] += 1
+                    cover[m["start"] + m["count"] + window - 1] -= 1
                 out = np.cumsum(cover[:-1]) > 0
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], out.view(np.int8), [0]])))
                 total.append(len(words))

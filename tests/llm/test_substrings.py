@@ -55,3 +55,15 @@ def test_edge_rows(spark):
     assert found(docs) == brute(rows, 13)
     assert sum(n for i, _, n, _ in found(docs) if i == 7) == len(PASSAGE.split())
     assert found(no_docs(spark)) == []
+
+
+def test_rows_without_ids_whose_texts_share_half_of_a_hash(spark):
+    low = "xxhash64({0}) & 2147483647 AS h"
+    a = spark.range(150_000).selectExpr(f"concat('{PASSAGE} tail', id) AS a").selectExpr("a", low.format("a"))
+    b = spark.range(150_000).selectExpr("concat('other', id) AS b").selectExpr("b", low.format("b"))
+    pairs = a.join(b, "h").select("a", "b").collect()
+    assert pairs
+    rows = [(1, PASSAGE), *((None, t) for p in pairs for t in p)]
+    out = {r["text"]: r for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for p in pairs:
+        assert out[p["a"]]["removed"] == [(0, 60)] and out[p["b"]]["removed"] == [] and out[p["b"]]["kept_text"] == p["b"]
