@@ -19,3 +19,9 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_bench_reports_headlines_that_are_not_registered():
+    import bench
+
+    assert bench.missing({n: None for n in bench.HEADLINES if n != "morans_i"}) == ["morans_i"]
