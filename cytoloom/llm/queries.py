@@ -22,8 +22,7 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = sentencepiece.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    back = sentencepiece.decode(ids)
+    back = sentencepiece.encode_and_decode(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_ids"),
