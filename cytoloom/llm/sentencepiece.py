@@ -40,7 +40,9 @@ MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters below this have a row of their own in the table of pairs; the space mark has one, and all others share one.
 OWN_ROWS = 0x600
-BATCH_ROWS, BATCH_BYTES, STRETCH = 4096, 2 << 20, 1 << 17
+BATCH_ROWS, BATCH_BYTES, STRETCH = 1 << 14, 8 << 20, 1 << 17
+#: Pairs of pieces whose relation is remembered.
+KNOWN_PAIRS = 1 << 18
 
 
 def wire_fields(data: bytes):
@@ -75,7 +77,7 @@ class Model:
     NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
     UNIGRAM, BPE = 1, 2
 
-    def __init__(self, data: bytes, cache_words: int = 60_000, cache_chars: int = 48):
+    def __init__(self, data: bytes, cache_words: int = 200_000, cache_chars: int = 48):
         self.kind, self.prefix, self.squeeze, self.unknown = self.UNIGRAM, True, True, 0
         pieces = []
         for number, value in wire_fields(data):
@@ -105,6 +107,7 @@ class Model:
         self.table = pa.array(self.bytes, pa.binary())
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.known: dict[int, bool] = {}
         self.cache_words, self.cache_chars = cache_words, cache_chars
 
     def _pairs(self) -> np.ndarray:
@@ -189,7 +192,15 @@ class Model:
             piece = usable.get(text[start:end])
             if piece is not None:
                 before = last[start - base]
-                if before is None or self.apart(before, piece):
+                if before is None:
+                    return start, piece
+                pair = before * len(self.text) + piece
+                whole = self.known.get(pair)
+                if whole is None:
+                    if len(self.known) >= KNOWN_PAIRS:
+                        self.known.clear()
+                    whole = self.known[pair] = self.apart(before, piece)
+                if whole:
                     return start, piece
         return end - 1, None
 
@@ -234,6 +245,24 @@ class Model:
                 back, last, score = back[meet - base :], last[meet - base :], score[meet - base :]
                 base = meet
 
+    def short_segments(self, text: str, back: list[int], last: list[int | None], score: list[float]) -> list[tuple[int | None, str]]:
+        """segments() of a text within one window: the whole of it is committed at its end."""
+        n, merging = len(text), self.kind == self.BPE
+        for end in range(len(back), n + 1):
+            if merging:
+                start, piece = self.merge_step(text, 0, end, last, 0)
+            else:
+                start, piece, total = self.score_step(text, 0, end, score, 0)
+                score.append(total)
+            back.append(start)
+            last.append(piece)
+        run, place = [], n
+        while place:
+            start = back[place]
+            run.append((last[place], text[start:place]))
+            place = start
+        return run[::-1]
+
     def searched(self, words: list[str]) -> dict[str, bytes]:
         """The ids of each word as int32 bytes. The path to a boundary depends on the text before it alone, so that in order of
         the words each goes on from the prefix that it shares with the one before."""
@@ -244,7 +273,7 @@ class Model:
             for known in state:
                 del known[keep:]
             out = []
-            for run in self.segments(word, *state):
+            for run in [self.short_segments(word, *state)] if len(word) <= self.longest else self.segments(word, *state):
                 for piece, text in run:
                     if piece is not None:
                         out.append(piece)
