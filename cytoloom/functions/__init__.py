@@ -1 +1 @@
-"""Column functions and statistics."""
+"""Statistical tests and draws."""

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from cytoloom.functions.draws import draw_quotas
+
 YES_NO = ("0", "1", "t", "f", "true", "false", "yes", "no")
 
 
@@ -34,17 +36,20 @@ def binary_mean(df: DataFrame, column: str, by: str) -> DataFrame:
 
 
 def column_kinds(df: DataFrame, columns: list[str], max_levels: int = 10) -> DataFrame:
-    """(column, kind): binary, categorical or continuous, in one pass; distinct values are counted up to a few only."""
-    schema = {f.name: f.dataType for f in df.schema.fields}
-    parts = []
-    for c in columns:
-        levels = F.size(F.collect_set(F.col(c).cast("string"))) if not isinstance(schema[c], T.NumericType) else F.count_distinct(F.col(c))
-        odd = F.count(F.when(F.col(c).isNotNull() & ~F.lower(F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")).isin(*YES_NO), 1))
-        numeric = F.lit(isinstance(schema[c], T.NumericType))
-        levels = F.approx_count_distinct(F.col(c), 0.01) if not isinstance(schema[c], T.NumericType) else levels
-        kind = F.when((odd == 0) & (levels <= 2), "binary").when(~numeric | (levels <= max_levels), "categorical").otherwise("continuous")
-        parts.append(F.struct(F.lit(c).alias("column"), kind.alias("kind")))
-    return df.agg(F.array(*parts).alias("k")).select(F.explode("k").alias("k")).select("k.*")
+    """(column, kind): binary, categorical or continuous. Text is binary or categorical, whatever its number of levels.
+
+    Binary columns have at most two distinct values, all of them like 0/1, true/false or yes/no. Values are counted with map-side
+    combine; of each column only the first max_levels + 1 distinct ones, in order of a hash, leave the tasks that counted them.
+    """
+    number = {f.name: isinstance(f.dataType, T.NumericType) for f in df.schema.fields}
+    text = lambda c: F.regexp_replace(F.lower(F.col(c).cast("string")), r"\.0$", "")
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(number[c]).alias("number"), text(c).alias("v")) for c in columns]))
+    levels = df.select(pairs.alias("p")).select("p.*").where("v IS NOT NULL").groupBy("column", "number", "v").agg(F.count("*").alias("n"))
+    first = levels.withColumn("k", F.row_number().over(W.partitionBy("column").orderBy(F.xxhash64("v"), "v"))).where(F.col("k") <= max_levels + 1)
+    found = first.groupBy("column", "number").agg(F.count("*").alias("n"), F.bool_and(F.col("v").isin(*YES_NO)).alias("plain"))
+    kind = F.when(F.col("plain") & (F.col("n") <= 2), "binary").when(~F.col("number") | (F.col("n") <= max_levels), "categorical").otherwise("continuous")
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return every.join(found, "column", "left").select("column", F.coalesce(kind, F.lit("binary")).alias("kind"))
 
 
 def zero_filled(counts: DataFrame, samples: DataFrame, by: str = "sample_id") -> DataFrame:
@@ -74,14 +79,13 @@ def stratified_downsample(df: DataFrame, n: int, by: str, id_col: str, seed: int
     spare = F.least(F.lit(n), all_rows) - F.sum("_floor").over(W.partitionBy())
     order = F.row_number().over(W.orderBy(F.desc(F.col("_exact") - F.col("_floor")), by))  # one row per class
     quota = quota.withColumn("_quota", F.col("_floor") + F.when(order <= spare, 1).otherwise(0)).select(by, "_quota")
-    pick = F.row_number().over(W.partitionBy(by).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))), id_col))
-    return df.withColumn("_pick", pick).join(quota, by).where("_pick <= _quota").drop("_pick", "_quota")
+    return draw_quotas(df, quota, [by], id_col, seed)
 
 
-def newest(df: DataFrame, key: list[str], order: Column) -> DataFrame:
-    """The row of each key with the greatest order."""
-    rank = F.row_number().over(W.partitionBy(*key).orderBy(order.desc()))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+def newest(df: DataFrame, key: list[str], order: str) -> DataFrame:
+    """One row of each key: that with the greatest order."""
+    best = df.groupBy(*key).agg(F.max_by(F.struct(*[c for c in df.columns if c not in key]), order).alias("_best"))
+    return best.select(*key, "_best.*").select(df.columns)
 
 
 def cumulative_ranges(sizes: DataFrame, order: str, size: str) -> DataFrame:

@@ -3,27 +3,30 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPERATORS = {"gt": Column.__gt__, "gte": Column.__ge__, "lt": Column.__lt__, "lte": Column.__le__}
 
 
-def transform_axis(df: DataFrame, column: str, kind: str, out: str, population: str | None = None) -> DataFrame:
-    """df with a transformed column: none, ln, log2, log10 or zscore.
+def moments(column: str, inside: Column, name: str) -> list[Column]:
+    """Minimum, mean and deviation of a column over the rows where inside holds."""
+    x = F.when(inside, F.col(column).cast("double"))
+    return [F.min(x).alias(f"{name}_lo"), F.avg(x).alias(f"{name}_m"), F.stddev_samp(x).alias(f"{name}_s")]
 
-    Logarithms add |min| + 1 if the minimum is 0 or less. Minimum, mean and deviation are those of the population, a boolean column.
-    """
-    if kind == "none":
-        return df.withColumn(out, F.col(column).cast("double"))
-    inside = F.col(column).cast("double") if population is None else F.when(F.col(population), F.col(column).cast("double"))
-    stats = df.agg(F.min(inside).alias("_lo"), F.avg(inside).alias("_m"), F.stddev_samp(inside).alias("_s"))
+
+def transformed(column: str, kind: str, low: Column, mean: Column, deviation: Column) -> Column:
+    """A column under none, ln, log2, log10 or zscore. Logarithms add |low| + 1 if the least value is 0 or less."""
     x = F.col(column).cast("double")
-    moved = F.when(F.col("_lo") <= 0, x + F.abs("_lo") + 1).otherwise(x)
-    value = {"ln": F.log(moved), "log2": F.log2(moved), "log10": F.log10(moved), "zscore": (x - F.col("_m")) / F.col("_s")}[kind]
-    return df.crossJoin(F.broadcast(stats)).withColumn(out, value).drop("_lo", "_m", "_s")  # one row
+    moved = F.when(low <= 0, x + F.abs(low) + 1).otherwise(x)
+    kinds = {"none": x, "ln": F.log(moved), "log2": F.log2(moved), "log10": F.log10(moved), "zscore": F.when(deviation > 0, (x - mean) / deviation)}
+    return kinds[kind]
+
+
+def transform_axis(df: DataFrame, column: str, kind: str, out: str, population: str | None = None) -> DataFrame:
+    """df with a transformed column; minimum, mean and deviation are those of the population, a boolean column."""
+    stats = df.agg(*moments(column, F.col(population) if population else F.lit(True), "_t"))
+    return df.crossJoin(F.broadcast(stats)).withColumn(out, transformed(column, kind, F.col("_t_lo"), F.col("_t_m"), F.col("_t_s"))).drop("_t_lo", "_t_m", "_t_s")  # one row
 
 
 def test(value: Column, operator: str, low: float, high: float | None = None) -> Column:
@@ -42,24 +45,39 @@ def replay_gates(df: DataFrame, gates: list[dict]) -> DataFrame:
     """df with a 0/1 column for each gate, applied in order.
 
     A gate has id, parent (or None), x_var, y_var, x_transform, y_transform, x_operator, x_lo, x_hi, and the same for y. Every variable is
-    looked up before any gate is applied. Transforms refer to the parent population.
+    looked up before any gate is applied. Transforms refer to the parent population: the statistics of all gates that don't rest on one
+    another come from one aggregation, whose row enters the plan as constants. So the table is read once for each depth of the tree
+    that has transforms, and once for the result.
     """
     known = {c.lower() for c in df.columns} | {g["id"].lower() for g in gates}
     missing = sorted({g[k] for g in gates for k in ("x_var", "y_var") if g.get(k) and g[k].lower() not in known})
     if missing:
         raise ValueError(f"no such columns: {', '.join(missing)}")
-    for g in gates:
-        parent = F.col(g["parent"]) == 1 if g.get("parent") else F.lit(True)
-        df = df.withColumn("_in", parent)
-        tests = [F.col("_in")]
-        for axis in "xy":
-            if g.get(f"{axis}_var"):
-                df = transform_axis(df, g[f"{axis}_var"], g.get(f"{axis}_transform") or "none", f"_{axis}", "_in")
-                tests.append(test(F.col(f"_{axis}"), g[f"{axis}_operator"], g[f"{axis}_lo"], g.get(f"{axis}_hi")))
-        df = df.withColumn(g["id"], reduce(Column.__and__, tests).cast("int")).drop("_in", "_x", "_y")
+    left = list(gates)
+    while left:
+        batch: list[dict] = []
+        for g in left:  # up to the first gate that rests on one of this batch
+            if {g.get("parent"), g.get("x_var"), g.get("y_var")} & {b["id"] for b in batch}:
+                break
+            batch.append(g)
+        left = left[len(batch) :]
+        df = _apply_gates(df, batch)
     return df
 
 
+def _apply_gates(df: DataFrame, gates: list[dict]) -> DataFrame:
+    inside = lambda g: F.col(g["parent"]) == 1 if g.get("parent") else F.lit(True)
+    axes = [(g, a, g.get(f"{a}_transform") or "none") for g in gates for a in "xy" if g.get(f"{a}_var")]
+    asked = [m for k, (g, a, kind) in enumerate(axes) if kind != "none" for m in moments(g[f"{a}_var"], inside(g), f"s{k}")]
+    stats = df.agg(*asked).first() if asked else None
+    tests: dict[str, Column] = {g["id"]: inside(g) for g in gates}
+    for k, (g, a, kind) in enumerate(axes):
+        low, mean, deviation = (F.lit(stats[f"s{k}_{n}"] if kind != "none" else None).cast("double") for n in ("lo", "m", "s"))
+        value = transformed(g[f"{a}_var"], kind, low, mean, deviation)
+        tests[g["id"]] &= test(value, g[f"{a}_operator"], g[f"{a}_lo"], g.get(f"{a}_hi"))
+    return df.withColumns({name: passed.cast("int") for name, passed in tests.items()})
+
+
 def gates_from_json(text: str) -> list[dict]:
     """The gates of a JSON object, in its order; thresholds may be named x_threshold and x_threshold_max."""
     gates = []

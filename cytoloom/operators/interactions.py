@@ -28,9 +28,10 @@ def contact_table(cells: DataFrame, resolution: float = 0.377, inner: float = 3,
     """
     lo, hi = annulus(resolution, inner, thickness)
     pairs = neighbors_within(cells, hi, lo, keys)
-    found = pairs.groupBy(*keys, F.col("src_type").alias("ref"), F.col("dst_type").alias("query")).agg(
-        F.count("*").alias("contacts"), F.countDistinct("src").alias("ref_cells"), F.countDistinct("dst").alias("query_cells")
-    )
+    each = pairs.groupBy(*keys, "src", F.col("src_type").alias("ref"), F.col("dst_type").alias("query")).agg(F.count("*").alias("n_near"))
+    # Distances are symmetric: the query cells of (A, B) are the reference cells of (B, A), so nothing is counted distinct.
+    found = each.groupBy(*keys, "ref", "query").agg(F.sum("n_near").alias("contacts"), F.count("*").alias("ref_cells"))
+    found = found.join(found.select(*keys, F.col("ref").alias("query"), F.col("query").alias("ref"), F.col("ref_cells").alias("query_cells")), [*keys, "ref", "query"])
     sizes = cells.groupBy(*keys, "celltype").agg(F.count("*").alias("size"))
     ref = sizes.select(*keys, F.col("celltype").alias("ref"), F.col("size").alias("n_ref"))
     query = sizes.select(*keys, F.col("celltype").alias("query"), F.col("size").alias("n_query"))
@@ -81,10 +82,10 @@ def neighborhood_enrichment(edges: DataFrame, cells: DataFrame, clip: float | No
 
 
 def composition(cells: DataFrame, radius: float, members: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """(cell_id, one count per member): neighbours of each member type within the radius, the cell itself included."""
+    """(keys, cell_id, one count per member): neighbours of each member type within the radius, the cell itself included."""
     pairs = neighbors_within(cells, radius, keys=keys)
-    counts = pairs.groupBy(F.col("src").alias("cell_id")).agg(*[F.count(F.when(F.col("dst_type") == m, 1)).alias(m) for m in members])
-    own = cells.select(*keys, "cell_id", "celltype").join(counts, "cell_id", "left")
+    counts = pairs.groupBy(*keys, F.col("src").alias("cell_id")).agg(*[F.count(F.when(F.col("dst_type") == m, 1)).alias(m) for m in members])
+    own = cells.select(*keys, "cell_id", "celltype").join(counts, [*keys, "cell_id"], "left")
     return own.withColumns({m: F.coalesce(m, F.lit(0)) for m in members})
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +28,8 @@ def neighbor_pairs(left: DataFrame, right: DataFrame, radius: float, inner: floa
     b = b.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
     b = b.withColumns({"gx": F.col("gx") + F.col("dx"), "gy": F.col("gy") + F.col("dy")}).drop("dx", "dy")
     d2 = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
-    pairs = a.join(b, [*keys, "gx", "gy"]).withColumn("d2", d2)
+    # The ninefold side grows with the input; Spark's estimate of its size doesn't see the copies, so a broadcast is ruled out.
+    pairs = a.hint("merge").join(b, [*keys, "gx", "gy"]).withColumn("d2", d2)
     r2 = float(radius) * float(radius)
     if inner is None:
         pairs = pairs.where(F.col("d2") <= r2)
@@ -42,75 +43,100 @@ def neighbors_within(cells: DataFrame, radius: float, inner: float | None = None
     return neighbor_pairs(cells, cells, radius, inner, keys)
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, rounds: int = 12, same: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(src, dst, d2, rank): the k nearest of right for each cell of left, ties by dst; same leaves out the cell itself.
+def nearest(left: DataFrame, right: DataFrame, k: int, same: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, src, src_type, dst, dst_type, d2, rank): the k nearest of right for each cell of left, ties by dst; same leaves out the cell itself.
 
-    The radius doubles in rounds; a cell is done once it has k hits within it, or once the radius spans all. Only
-    unfinished cells go on to the next round, and what a round finds is exact for those it finishes.
+    Exact, by a pyramid of grids, each twice as coarse as the one below. Where a cell's own square of side s holds k others, its k
+    nearest lie within s times the root of 2, so the three by three squares of side 2 s around it hold them all. The level of each
+    square is found from counts of squares; then one equi-join on (level, square) finds the candidates. Right cells are copied to
+    the levels that some square near them asks for, as a rule one or two. The plan is the same for any number of cells; one
+    aggregate, of the extent and the number of rows, runs before it. A cell far from all others looks at a large part of the table.
     """
-    done = []
-    order = W.partitionBy(*keys, "src").orderBy("d2", "dst")
-    span = left.select("x", "y").unionByName(right.select("x", "y")).agg(*[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    reach = 0.0 if span["lo_x"] is None else ((span["hi_x"] - span["lo_x"]) ** 2 + (span["hi_y"] - span["lo_y"]) ** 2) ** 0.5
-    todo = left
-    for step in range(rounds):
-        last = radius >= reach or step == rounds - 1
-        pairs = neighbor_pairs(todo, right, max(radius, reach) if last else radius, keys=keys)
-        if same:
-            pairs = pairs.where("src <> dst")
-        ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        if last:
-            done.append(ranked)
-            break
-        full = ranked.groupBy(*keys, "src").agg(F.count("*").alias("hits")).where(F.col("hits") >= k).select(*keys, "src")
-        done.append(ranked.join(full, [*keys, "src"], "left_semi"))
-        todo = todo.join(full.withColumnRenamed("src", "cell_id"), [*keys, "cell_id"], "left_anti")
-        radius *= 4
-    return reduce(DataFrame.unionByName, done)
-
-
-def knn_edges(cells: DataFrame, k: int = 15, radius: float | None = None) -> DataFrame:
-    """(src, dst, dist, rank): each cell's k nearest others."""
-    radius = radius or start_radius(cells, k)
-    found = nearest(cells, cells, k, radius, same=True)
-    return found.select("src", "src_type", "dst", "dst_type", F.sqrt("d2").alias("dist"), "rank")
-
-
-def start_radius(cells: DataFrame, k: int) -> float:
-    """A radius that holds about 2 k cells at the average density."""
-    s = cells.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in "xy"]).first()
-    area = max((s["x"] or 0.0), 1e-9) * max((s["y"] or 0.0), 1e-9)
-    return max(1e-9, (2 * (k + 1) * area / (3.14159 * max(1, s["n"]))) ** 0.5)
-
-
-def type_distances(cells: DataFrame, k: int, keys: tuple[str, ...] = ("sample_id",), radius: float | None = None) -> DataFrame:
+    need = k + int(same)
+    at = "x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)"
+    side = lambda df: df.where(at).select(*keys, "cell_id", "celltype", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    left, right = side(left), side(right)
+    ends = [f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]
+    both = left.select("x", "y").unionByName(right.select("x", "y")).agg(*ends, F.count("*").alias("n")).first()
+    wide, high = (float(both[f"hi_{c}"] - both[f"lo_{c}"]) if both["n"] else 0.0 for c in "xy")
+    extent = max(wide, high)
+    base = max(math.sqrt(max(wide, extent / 1e3) * max(high, extent / 1e3) * 2 * need / max(1, both["n"])), extent / 2**40) or 1.0
+    top = max(0, math.ceil(math.log2(max(1.0, extent / base))) + 1)
+
+    def squares(df: DataFrame) -> DataFrame:
+        return df.withColumns({g: F.floor((F.col(c) - F.lit(float(both[f"lo_{c}"] or 0.0))) / base) for g, c in (("gx", "x"), ("gy", "y"))})
+
+    left, right = squares(left), squares(right)
+    levels = F.explode(F.sequence(F.lit(0), F.lit(top)))
+    coarse = lambda g: F.expr(f"shiftright({g}, level)")
+    counts = right.groupBy(*keys, "gx", "gy").agg(F.count("*").alias("n"))
+    dense = counts.withColumn("level", levels).groupBy(*keys, "level", coarse("gx").alias("px"), coarse("gy").alias("py")).agg(F.sum("n").alias("n"))
+    dense = dense.where((F.col("n") >= need) | (F.col("level") == top)).drop("n")
+    asking = left.select(*keys, "gx", "gy").distinct().withColumn("level", levels).withColumns({"px": coarse("gx"), "py": coarse("gy")})
+    asking = asking.join(dense, [*keys, "level", "px", "py"], "left_semi").groupBy(*keys, "gx", "gy").agg(F.min("level").alias("own"))
+    asking = asking.withColumn("level", F.least(F.col("own") + 1, F.lit(top)))
+
+    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    around = lambda df: df.withColumn("s", step).withColumns({"px": coarse("gx") + F.col("s.a"), "py": coarse("gy") + F.col("s.b")}).drop("s")
+    wanted = around(asking.select(*keys, "level", "gx", "gy")).select(*keys, "level", "px", "py").distinct()
+    held = counts.withColumn("level", levels).withColumns({"px": coarse("gx"), "py": coarse("gy")})
+    held = held.join(wanted, [*keys, "level", "px", "py"], "left_semi").select(*keys, "gx", "gy", "level", "px", "py")
+    b = right.join(held, [*keys, "gx", "gy"])
+    b = b.select(*keys, "level", "px", "py", F.col("cell_id").alias("dst"), F.col("celltype").alias("dst_type"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    a = around(left.join(asking, [*keys, "gx", "gy"]))
+    a = a.select(*keys, "level", "px", "py", "own", F.col("cell_id").alias("src"), F.col("celltype").alias("src_type"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    d2 = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
+    far = F.lit(base) * F.pow(F.lit(2.0), F.col("own")) * 1.4142136  # a little more than the root of 2
+    pairs = a.hint("merge").join(b, [*keys, "level", "px", "py"]).withColumn("d2", d2)
+    pairs = pairs.where((F.col("own") == top) | (F.col("d2") <= far * far))
+    if same:
+        pairs = pairs.where("src <> dst")
+    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(*keys, "src").orderBy("d2", "dst"))).where(F.col("rank") <= k)
+    return ranked.select(*keys, "src", "src_type", "dst", "dst_type", "d2", "rank")
+
+
+def knn_edges(cells: DataFrame, k: int = 15, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, src, src_type, dst, dst_type, dist, rank): each cell's k nearest others."""
+    found = nearest(cells, cells, k, same=True, keys=keys)
+    return found.select(*keys, "src", "src_type", "dst", "dst_type", F.sqrt("d2").alias("dist"), "rank")
+
+
+def type_distances(cells: DataFrame, k: int, keys: tuple[str, ...] = ("sample_id",)) -> DataFrame:
     """(keys, from_type, to_type, mean_dist): mean over cells of one type of the mean distance to their k nearest of another type."""
-    radius = radius or start_radius(cells, k)
     pair_keys = (*keys, "to_type")
     types = cells.select(*keys, F.col("celltype").alias("to_type")).distinct()
     asks = cells.join(types, list(keys))
-    found = nearest(asks, cells.withColumn("to_type", F.col("celltype")), k, radius, same=True, keys=pair_keys)
+    found = nearest(asks, cells.withColumn("to_type", F.col("celltype")), k, same=True, keys=pair_keys)
     each = found.groupBy(*pair_keys, "src", "src_type").agg(F.avg(F.sqrt("d2")).alias("d"))
     return each.groupBy(*keys, F.col("src_type").alias("from_type"), "to_type").agg(F.avg("d").alias("mean_dist"))
 
 
-def snn_edges(edges: DataFrame, compat: bool = False) -> DataFrame:
-    """(src, dst, shared, weight): neighbours that two linked cells share, and shared over the union of both lists.
+def snn_edges(edges: DataFrame, k: int, compat: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, src, dst, shared, weight): neighbours that two linked cells share, and shared over k; pairs that share none are left out.
 
-    edges are kNN edges. By default each unordered pair that is in either list counts once; compat keeps an edge only if the cell
-    with the smaller id lists the other.
+    edges are the edges to k nearest neighbours. By default each unordered pair that is in either list counts once; compat keeps an
+    edge only if the cell with the smaller id lists the other.
     """
-    pairs = edges.where("src < dst").select("src", "dst")
+    return _shared(edges, compat, keys).withColumn("weight", F.col("shared") / F.lit(float(k)))
+
+
+def snn_jaccard(edges: DataFrame, compat: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """snn_edges() weighted by the shared neighbours over the union of both lists."""
+    size = edges.groupBy(*keys, "src").agg(F.count("*").alias("n_src"))
+    out = _shared(edges, compat, keys).join(size, [*keys, "src"]).join(size.select(*keys, F.col("src").alias("dst"), F.col("n_src").alias("n_dst")), [*keys, "dst"])
+    return out.select(*keys, "src", "dst", "shared", (F.col("shared") / (F.col("n_src") + F.col("n_dst") - F.col("shared"))).alias("weight"))
+
+
+def _shared(edges: DataFrame, compat: bool, keys: tuple[str, ...]) -> DataFrame:
+    pairs = edges.where("src < dst").select(*keys, "src", "dst")
     if not compat:
-        pairs = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    one, two = edges.select("src", F.col("dst").alias("n")), edges.select(F.col("src").alias("dst"), F.col("dst").alias("n"))
-    shared = pairs.join(one, "src").join(two, ["dst", "n"]).groupBy("src", "dst").agg(F.count("*").alias("shared"))
-    size = edges.groupBy("src").agg(F.count("*").alias("n_src"))
-    out = shared.join(size, "src").join(size.select(F.col("src").alias("dst"), F.col("n_src").alias("n_dst")), "dst")
-    return out.select("src", "dst", "shared", (F.col("shared") / (F.col("n_src") + F.col("n_dst") - F.col("shared"))).alias("weight"))
-
-
-def knn_smoothing(cells: DataFrame, value: str, k: int = 10) -> DataFrame:
-    """(cell_id, smoothed): the mean value of each cell's k nearest others."""
-    values = cells.select(F.col("cell_id").alias("dst"), F.col(value).alias("v"))
-    return knn_edges(cells, k).select("src", "dst").join(values, "dst").groupBy(F.col("src").alias("cell_id")).agg(F.avg("v").alias("smoothed"))
+        pairs = edges.select(*keys, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    one = edges.select(*keys, "src", F.col("dst").alias("n"))
+    two = edges.select(*keys, F.col("src").alias("dst"), F.col("dst").alias("n"))
+    return pairs.join(one, [*keys, "src"]).join(two, [*keys, "dst", "n"]).groupBy(*keys, "src", "dst").agg(F.count("*").alias("shared"))
+
+
+def knn_smoothing(cells: DataFrame, value: str, k: int = 10, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, cell_id, smoothed): the mean value of each cell's k nearest others."""
+    values = cells.select(*keys, F.col("cell_id").alias("dst"), F.col(value).alias("v"))
+    return knn_edges(cells, k, keys).select(*keys, "src", "dst").join(values, [*keys, "dst"]).groupBy(*keys, F.col("src").alias("cell_id")).agg(F.avg("v").alias("smoothed"))

@@ -2,52 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytoloom.cells import cells_from_embeddings, cells_from_events
 from cytoloom.operators import interactions as I
 from cytoloom.operators import neighbors as N
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .common import D2, EVENTS, KNN, VECTORS, events, r6, registry, vectors
 
-EVENTS = """cells AS (SELECT event_id AS cell_id, (day(ts) % 4)::INT AS sample_id, value::DOUBLE AS x,
-                 (hour(ts) * 60 + minute(ts)) / 3.0::DOUBLE AS y, event_type AS celltype FROM events)"""
-VECTORS = "cells AS (SELECT vec_id AS cell_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label::VARCHAR AS celltype FROM embeddings)"
+QUERIES, SQL, query = registry()
 MEMBERS = ["click", "purchase", "view"]
-D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)"
 LO, HI = I.annulus(0.5, 1, 3)
 
 
-def query(sql: str | None = None):
-    """Register a query, with its SQL if there is one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def events(spark, sf_dir) -> DataFrame:
-    return cells_from_events(load(spark, sf_dir, "events"))
-
-
-def vectors(spark, sf_dir) -> DataFrame:
-    return cells_from_embeddings(load(spark, sf_dir, "embeddings"))
-
-
-def r6(*columns: str):
-    return {c: F.round(c, 6) for c in columns}
-
-
 CONTACTS = f"""{EVENTS},
     p AS (SELECT a.sample_id, a.celltype AS ref, b.celltype AS query, a.cell_id AS src, b.cell_id AS dst FROM cells a JOIN cells b
           ON a.sample_id = b.sample_id AND {D2} > {LO * LO!r} AND {D2} < {HI * HI!r}),
@@ -123,11 +90,6 @@ def circuit_domains(spark, sf_dir):
     return I.circuit_domains(I.circuit_scores(around(spark, sf_dir), MEMBERS), MEMBERS, 0.113).select("cell_id", "positive", "domain")
 
 
-def KNN(k: int) -> str:
-    return f"""{VECTORS}, e AS (SELECT a.cell_id AS src, b.cell_id AS dst, a.celltype AS src_type, b.celltype AS dst_type, {D2} AS d2,
-        row_number() OVER (PARTITION BY a.cell_id ORDER BY {D2}, b.cell_id) AS rank FROM cells a JOIN cells b ON a.cell_id <> b.cell_id QUALIFY rank <= {k})"""
-
-
 @query(f"WITH {KNN(5)} SELECT src, dst, round(sqrt(d2), 6) AS dist, rank::INT AS rank FROM e")
 def knn_edges(spark, sf_dir):
     return N.knn_edges(vectors(spark, sf_dir), 5).select("src", "dst", "dist", "rank").withColumns(r6("dist"))
@@ -147,19 +109,24 @@ def knn_smoothing(spark, sf_dir):
     return N.knn_smoothing(vectors(spark, sf_dir), "y", 10).withColumns(r6("smoothed"))
 
 
-def SNN(pairs: str) -> str:
+def SNN(pairs: str, weight: str = "shared / 8") -> str:
     return f"""WITH {KNN(8)}, p AS ({pairs}), n AS (SELECT p.src, p.dst, count(*) AS shared FROM p JOIN e a ON a.src = p.src JOIN e b ON b.src = p.dst AND b.dst = a.dst GROUP BY ALL)
-    SELECT src, dst, shared, round(shared / (16 - shared), 6) AS weight FROM n"""
+    SELECT src, dst, shared, round({weight}, 6) AS weight FROM n"""
 
 
 @query(SNN("SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM e"))
 def snn_edges(spark, sf_dir):
-    return N.snn_edges(N.knn_edges(vectors(spark, sf_dir), 8)).withColumns(r6("weight"))
+    return N.snn_edges(N.knn_edges(vectors(spark, sf_dir), 8), 8).withColumns(r6("weight"))
+
+
+@query(SNN("SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM e", "shared / (16 - shared)"))
+def snn_jaccard(spark, sf_dir):
+    return N.snn_jaccard(N.knn_edges(vectors(spark, sf_dir), 8)).withColumns(r6("weight"))
 
 
 @query(SNN("SELECT src, dst FROM e WHERE src < dst"))
 def snn_edges_compat(spark, sf_dir):
-    return N.snn_edges(N.knn_edges(vectors(spark, sf_dir), 8), compat=True).withColumns(r6("weight"))
+    return N.snn_edges(N.knn_edges(vectors(spark, sf_dir), 8), 8, compat=True).withColumns(r6("weight"))
 
 
 @query(f"""WITH {VECTORS}, e AS (SELECT a.cell_id, a.celltype AS from_type, b.celltype AS to_type, {D2} AS d2,

@@ -4,43 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cytoloom.cells import cells_from_events, cells_from_lineitem, expression_from_embeddings
+from cytoloom.cells import cells_from_events
 from cytoloom.operators import compare as C
 from cytoloom.operators import expression as E
 from cytoloom.operators import gates as G
 
-from .spatial import EVENTS, load, r6
+from .common import EVENTS, EXPR, LINES, POSITIVE, expression, lines, load, r6, registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-EXPR = """expr AS (SELECT vec_id AS cell_id, label::VARCHAR AS celltype, 'g' || lpad((k - 1)::VARCHAR, 2, '0') AS feature, embedding[k]::DOUBLE AS value
-    FROM embeddings, range(1, 65) AS t(k))"""
-POSITIVE = EXPR.replace("embedding[k]::DOUBLE", "abs(embedding[k]::DOUBLE)")
-LINES = """cells AS (SELECT l_orderkey * 10 + l_linenumber AS cell_id, l_returnflag || l_linestatus AS celltype, l_quantity::DOUBLE AS quantity,
-    l_extendedprice::DOUBLE AS extendedprice, l_discount::DOUBLE AS discount, l_tax::DOUBLE AS tax FROM lineitem)"""
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
-        return f
-
-    return add
-
-
-def expression(spark, sf_dir):
-    return expression_from_embeddings(load(spark, sf_dir, "embeddings"))
+QUERIES, SQL, query = registry()
 
 
 def positive(spark, sf_dir):
     return expression(spark, sf_dir).withColumn("value", F.abs("value"))
 
 
-def lines(spark, sf_dir):
-    return cells_from_lineitem(load(spark, sf_dir, "lineitem"))
-
-
 TOTALS = f"{EXPR}, totals AS (SELECT cell_id, sum(value) AS total_counts, count(*) FILTER (value > 0) AS n_genes FROM expr GROUP BY ALL)"
 
 

@@ -1 +1 @@
-"""Readers and writers."""
+"""Readers, writers, and what vendors' column names stand for."""
