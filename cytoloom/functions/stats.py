@@ -12,18 +12,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .draws import first_by_hash
 
 TINY = 1e-300
+DOUBLE = T.DoubleType()
 
 
 def _over(values: pd.Series, f) -> pd.Series:
     return pd.Series([None if v is None or v != v else f(v) for v in values], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DOUBLE)
 def two_sided_normal(z: pd.Series) -> pd.Series:
     """The probability of a standard normal value at least as far from 0."""
     return _over(z, lambda v: math.erfc(abs(v) / math.sqrt(2)))
@@ -50,12 +52,12 @@ def beta_fraction(a: float, b: float, x: float) -> float:
     return front * total
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DOUBLE)
 def two_sided_t(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if v is None or v != v or not n > 0 else beta_fraction(n / 2, 0.5, n / (n + v * v)) for v, n in zip(t, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DOUBLE)
 def upper_f(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return pd.Series([None if v is None or v != v or not b > 0 else beta_fraction(b / 2, a / 2, b / (b + a * v)) for v, a, b in zip(f, df1, df2)], dtype="float64")
 
@@ -73,7 +75,7 @@ def rank_sum_counts(n1: int, n2: int) -> np.ndarray:
     return ways
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DOUBLE)
 def exact_rank_sum(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     """The two-sided exact probability of U without ties."""
 
@@ -85,7 +87,7 @@ def exact_rank_sum(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     return pd.Series([None if x != x else one(x, a, b) for x, a, b in zip(u, n1, n2)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DOUBLE)
 def upper_hypergeometric(hits: pd.Series, white: pd.Series, total: pd.Series, draws: pd.Series) -> pd.Series:
     """The probability of at least so many white ones among the draws without replacement."""
 

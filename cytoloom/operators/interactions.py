@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .neighbors import neighbors_within
+from cytoloom.functions.draws import shuffled_places
+
+from .neighbors import neighbor_pairs, neighbors_within
 
 MINUS_INF = float("-inf")
 
@@ -120,8 +122,121 @@ def circuit_domains(scores: DataFrame, members: list[str], threshold: float) ->
     return scores.withColumns({"positive": positive, "domain": domain})
 
 
-def pair_correlation(cells: DataFrame, radius: float, steps: int, keys: tuple[str, ...] = ("sample_id",)) -> DataFrame:
-    """(keys, ref, query, step, r, g): pairs in each ring, over those expected at the samples' average density.
+def circuit_null_closed(scores: DataFrame, members: list[str]) -> DataFrame:
+    """(observed, null_mean, null_sd, z, p) as tools report it that shuffle whole rows: the mean of the shares can't change then, so
+    the null is the mean least share itself, with deviation 0."""
+    least = circuit_scores(scores.drop("score"), members).select(F.col("score").alias("_least"))
+    observed, null = scores.agg(F.avg("score").alias("observed")), least.agg(F.avg("_least").alias("null_mean"))
+    both = observed.crossJoin(null)  # one row each
+    z = (F.col("observed") - F.col("null_mean")) / 1e-10
+    return both.select("observed", "null_mean", F.lit(0.0).alias("null_sd"), z.alias("z"), F.when(F.col("null_mean") >= F.col("observed"), 1.0).otherwise(0.0).alias("p"))
+
+
+def circuit_permutation(
+    cells: DataFrame, radius: float, members: list[str], shuffles: int = 200, method: str = "min_fraction", seed: int = 42, keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """(observed, null_mean, null_sd, z, p): the mean circuit score against cells whose labels are shuffled within the keys.
+
+    Neighbours are looked up once; each shuffle gives the label at one place of a hash order to the cell at that place of another, and
+    a count of the labels around each cell. Rows are pairs of neighbours times shuffles.
+    """
+    pairs = neighbors_within(cells, radius, keys=keys).select(*keys, "src", "dst")
+    digest = lambda *parts: F.md5(F.concat_ws(":", *parts))
+    ids = F.col("cell_id").cast("string")
+    labels = shuffled_places(cells.select(*keys, "cell_id", "celltype"), list(keys), digest(F.lit(str(seed)), ids)).select(*keys, "place", "celltype")
+    rounds = cells.select(*keys, "cell_id").withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(shuffles))))
+    rounds = shuffled_places(rounds, [*keys, "round"], digest(F.lit(str(seed)), F.col("round").cast("string"), ids))
+    given = rounds.join(labels, [*keys, "place"]).select(*keys, "round", F.col("cell_id").alias("dst"), "celltype")
+    given = given.unionByName(cells.select(*keys, F.lit(0).alias("round"), F.col("cell_id").alias("dst"), "celltype"))
+    near = pairs.join(given, [*keys, "dst"]).groupBy(*keys, "round", "src").agg(*[F.count_if(F.col("celltype") == m).alias(m) for m in members])
+    means = circuit_scores(near, members, method).groupBy("round").agg(F.avg("score").alias("mean"))
+    observed = F.max(F.when(F.col("round") == 0, F.col("mean")))
+    null = F.when(F.col("round") > 0, F.col("mean"))
+    each = means.crossJoin(F.broadcast(means.agg(observed.alias("observed"))))  # one row
+    sums = each.agg(F.first("observed").alias("observed"), F.avg(null).alias("null_mean"), F.stddev_pop(null).alias("null_sd"),
+                    F.avg(F.when(F.col("round") > 0, (F.col("mean") >= F.col("observed")).cast("double"))).alias("p"))
+    z = (F.col("observed") - F.col("null_mean")) / F.greatest(F.col("null_sd"), F.lit(1e-10))
+    return sums.select("observed", "null_mean", "null_sd", z.alias("z"), "p")
+
+
+PI = 3.141592653589793
+
+
+def inside_share(x: Column, y: Column, r: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    """The share of the circle of radius r around a point that lies in a rectangle which holds the point."""
+    angle = lambda d: F.acos(F.least(F.lit(1.0), d / r))
+    left, right, down, up = angle(x - x0), angle(x1 - x), angle(y - y0), angle(y1 - y)
+    corner = lambda a, b: F.greatest(F.lit(0.0), a + b - PI / 2)
+    outside = 2 * (left + right + down + up) - corner(left, down) - corner(left, up) - corner(right, down) - corner(right, up)
+    return 1 - outside / (2 * PI)
+
+
+def local_intensity(cells: DataFrame, bandwidth: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """cells with lam, their type's intensity at each of them: a product of Epanechnikov kernels of half-width ``bandwidth``, over the
+    kernel's mass inside the window. cells have the window's edges x0, x1, y0 and y1."""
+    by = (*keys, "kind")
+    own = cells.withColumn("kind", F.col("celltype"))
+    pairs = neighbor_pairs(own, own, bandwidth * 1.4142136, keys=by, carry=("x", "y"))
+    bump = lambda c: F.greatest(F.lit(0.0), 0.75 / bandwidth * (1 - F.pow((F.col(f"src_{c}") - F.col(f"dst_{c}")) / bandwidth, F.lit(2))))
+    sums = pairs.groupBy(*by, "src").agg(F.sum(bump("x") * bump("y")).alias("_sum")).withColumnsRenamed({"src": "cell_id", "kind": "celltype"})
+
+    def upto(t: Column) -> Column:
+        t = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), t / bandwidth))
+        return 0.5 + 0.75 * t - 0.25 * t * t * t
+
+    mass = lambda c: upto(F.col(f"{c}1") - F.col(c)) - upto(F.col(f"{c}0") - F.col(c))
+    return cells.join(sums, [*keys, "celltype", "cell_id"]).withColumn("lam", F.col("_sum") / (mass("x") * mass("y"))).drop("_sum")
+
+
+def pair_correlation(
+    cells: DataFrame, radius: float, steps: int = 500, bandwidth: float = 50.0, keys: tuple[str, ...] = ("sample_id",), least: int = 1, stoyan: float = 0.15
+) -> DataFrame:
+    """(keys, ref, query, min_count, step, r, g, norm_g): the inhomogeneous pair correlation on steps radii from 0 below ``radius``.
+
+    Types are All and those of the cells; each unordered pair comes once, All first, then by name. Positions are rounded, and the window is
+    their bounding box, one wider on each side. A pair of cells counts with 1 over both intensities and over the share of its circle
+    in the window, and is spread over radii by an Epanechnikov kernel of half-width stoyan / sqrt(mean intensity). The value at 0 is 0.
+    norm_g is g over the product of both sums of 1 / intensity per squared area of the bounding box. Pairs with fewer than ``least``
+    cells of a type have null curves. Intensities are kernel estimates of half-width ``bandwidth``, by a neighbour join as well.
+    """
+    width, keys_ = radius / steps, list(keys)
+    at = cells.where("x IS NOT NULL AND y IS NOT NULL").withColumns({"x": F.bround("x").cast("double"), "y": F.bround("y").cast("double")})
+    window = at.groupBy(*keys).agg(F.count("*").alias("_n"), *[f(c).alias(f"{c}{k}") for c in "xy" for k, f in ((0, F.min), (1, F.max))])
+    box = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    window = window.withColumn("box", box).withColumns({"x0": F.col("x0") - 1, "x1": F.col("x1") + 1, "y0": F.col("y0") - 1, "y1": F.col("y1") + 1})
+    window = window.withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    window = window.withColumn("reach", stoyan / F.sqrt(F.col("_n") / F.col("area")))
+    both = at.select(*keys, "cell_id", "x", "y", "celltype").unionByName(at.select(*keys, "cell_id", "x", "y", F.lit("All").alias("celltype")))
+    both = both.join(window, keys_) if keys else both.crossJoin(F.broadcast(window))  # one row
+    both = local_intensity(both, bandwidth, keys)
+    far = radius + (window.agg(F.max("reach")).first()[0] or 0.0)
+
+    first = lambda a, b: (F.col(a) == "All") | ((F.col(b) != "All") & (F.col(a) <= F.col(b)))
+    carry = ("x", "y", "lam", "x0", "x1", "y0", "y1", "area", "reach")
+    pairs = neighbor_pairs(both, both, far, keys=keys, carry=carry).where((F.col("src") != F.col("dst")) & first("src_type", "dst_type") & (F.col("d2") > 0))
+    d = F.sqrt("d2")
+    edges = [F.col(f"src_{c}") for c in ("x0", "x1", "y0", "y1")]
+    weight = 1 / (F.col("src_lam") * F.col("dst_lam") * inside_share(F.col("src_x"), F.col("src_y"), d, *edges))
+    low, high = F.ceil((d - F.col("src_reach")) / width), F.floor((d + F.col("src_reach")) / width)
+    low, high = F.greatest(F.lit(1), low), F.least(F.lit(steps - 1), high)
+    spread = pairs.select(*keys, F.col("src_type").alias("ref"), F.col("dst_type").alias("query"), d.alias("d"), weight.alias("w"), F.col("src_reach").alias("h"), F.col("src_area").alias("area"),
+                          F.explode(F.when(low <= high, F.sequence(low, high))).alias("step"))
+    kernel = 0.75 / F.col("h") * (1 - F.pow((F.col("step") * width - F.col("d")) / F.col("h"), F.lit(2)))
+    seen = spread.groupBy(*keys, "ref", "query", "step").agg(F.sum(F.greatest(F.lit(0.0), kernel) * F.col("w") / (2 * PI * F.col("step") * width * F.col("area"))).alias("g"))
+
+    sides = both.groupBy(*keys, "celltype").agg(F.count("*").alias("n"), F.sum(1 / F.col("lam")).alias("s"), F.first("box").alias("box"))
+    a = sides.select(*keys, F.col("celltype").alias("ref"), F.col("n").alias("n_a"), F.col("s").alias("s_a"), "box")
+    b = sides.select(*keys, F.col("celltype").alias("query"), F.col("n").alias("n_b"), F.col("s").alias("s_b"))
+    full = (a.join(b, keys_) if keys else a.crossJoin(b)).where(first("ref", "query"))  # types x types
+    full = full.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))))
+    out = full.join(seen, [*keys, "ref", "query", "step"], "left").withColumn("min_count", F.least("n_a", "n_b"))
+    g = F.when(F.col("min_count") >= least, F.coalesce("g", F.lit(0.0)))
+    norm = g / (F.col("s_a") * F.col("s_b") / (F.col("box") * F.col("box")))
+    return out.select(*keys, "ref", "query", "min_count", F.col("step").cast("int").alias("step"), (F.col("step") * width).alias("r"), g.alias("g"), norm.alias("norm_g"))
+
+
+def ring_correlation(cells: DataFrame, radius: float, steps: int, keys: tuple[str, ...] = ("sample_id",)) -> DataFrame:
+    """(keys, ref, query, step, r, g), the homogeneous form: pairs in each ring, over those expected at the samples' average density.
 
     Rings are [r, r + radius / steps). Both types' densities are uniform over the sample's bounding box, with the translation
     correction averaged over the ring; g is about 1 without interaction.
@@ -144,3 +259,37 @@ def pair_correlation(cells: DataFrame, radius: float, steps: int, keys: tuple[st
     expected = F.col("n_a") * partners * ring * overlap / (area * area)
     g = F.when(expected > 0, F.coalesce("seen", F.lit(0)) / expected)
     return out.select(*keys, "ref", "query", "step", (F.col("step") * width).alias("r"), g.alias("g"))
+
+
+def curves_of(curves: DataFrame, kind: str, least: int = 0, max_radius: float | None = None) -> DataFrame:
+    """The curves of pairs with a type, with the other type's name; only pairs with more than ``least`` cells, up to a radius."""
+    rows = curves.where(((F.col("ref") == kind) | (F.col("query") == kind)) & (F.col("min_count") > least))
+    rows = rows.where(F.col("r") <= max_radius) if max_radius is not None else rows
+    return rows.withColumn("other", F.when(F.col("ref") == kind, F.col("query")).otherwise(F.col("ref")))
+
+
+def pair_subset(curves: DataFrame, one: str, two: str, least: int = 0) -> DataFrame:
+    """The curves of an unordered pair of types with more than ``least`` cells."""
+    match = (F.least("ref", "query") == min(one, two)) & (F.greatest("ref", "query") == max(one, two))
+    return curves.where(match & (F.col("min_count") > least))
+
+
+def scaled_curves(curves: DataFrame, kind: str, resolution: float, sample: str | None = "sample_id") -> DataFrame:
+    """(step, other, value): normalised curves of a type times the resolution; of the first sample only, if a sample column is given."""
+    rows = curves_of(curves, kind)
+    if sample:
+        first = rows.agg(F.min(sample).alias("_first"))
+        rows = rows.crossJoin(F.broadcast(first)).where(F.col(sample) == F.col("_first"))  # one row
+    return rows.select("step", "other", (F.col("norm_g") * resolution).alias("value"))
+
+
+def curve_areas(curves: DataFrame, keys: tuple[str, ...] = ("sample_id",), value: str = "g") -> DataFrame:
+    """(keys, ref, query, area): the area under each curve by trapezoids; a curve is some hundred rows."""
+    w = W.partitionBy(*keys, "ref", "query").orderBy("step")
+    part = (F.col("r") - F.lag("r").over(w)) * (F.col(value) + F.lag(value).over(w)) / 2
+    return curves.withColumn("_part", part).groupBy(*keys, "ref", "query").agg(F.coalesce(F.sum("_part"), F.lit(0.0)).alias("area"))
+
+
+def curve_moments(curves: DataFrame, value: str = "g") -> DataFrame:
+    """(ref, query, step, mean, var): over samples, at each radius."""
+    return curves.groupBy("ref", "query", "step").agg(F.avg(value).alias("mean"), F.var_samp(value).alias("var"))

@@ -15,16 +15,16 @@ def grid(df: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
     return df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)).withColumns({"gx": at(x), "gy": at(y)})
 
 
-def neighbor_pairs(left: DataFrame, right: DataFrame, radius: float, inner: float | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+def neighbor_pairs(left: DataFrame, right: DataFrame, radius: float, inner: float | None = None, keys: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
     """(src, dst, d2 and both types): pairs within the radius, inclusive; with inner, those strictly between inner and radius.
 
     Both sides need cell_id, x, y and celltype. keys (such as sample_id) must agree. The left side stays whole; the right one is
     copied to the nine grid cells around it, so each pair is met once. Shuffles are by grid cell, which stays small however
-    large the table; adaptive execution splits crowded cells.
+    large the table; adaptive execution splits crowded cells. Columns to carry come along as src_ and dst_ of their names.
     """
-    a = grid(left, radius).select(*keys, "gx", "gy", F.col("cell_id").alias("src"), F.col("celltype").alias("src_type"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    a = grid(left, radius).select(*keys, "gx", "gy", F.col("cell_id").alias("src"), F.col("celltype").alias("src_type"), F.col("x").alias("ax"), F.col("y").alias("ay"), *[F.col(c).alias(f"src_{c}") for c in carry])
     steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    b = grid(right, radius).select(*keys, "gx", "gy", F.col("cell_id").alias("dst"), F.col("celltype").alias("dst_type"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    b = grid(right, radius).select(*keys, "gx", "gy", F.col("cell_id").alias("dst"), F.col("celltype").alias("dst_type"), F.col("x").alias("bx"), F.col("y").alias("by"), *[F.col(c).alias(f"dst_{c}") for c in carry])
     b = b.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
     b = b.withColumns({"gx": F.col("gx") + F.col("dx"), "gy": F.col("gy") + F.col("dy")}).drop("dx", "dy")
     d2 = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
@@ -35,7 +35,7 @@ def neighbor_pairs(left: DataFrame, right: DataFrame, radius: float, inner: floa
         pairs = pairs.where(F.col("d2") <= r2)
     else:
         pairs = pairs.where((F.col("d2") > float(inner) * float(inner)) & (F.col("d2") < r2))
-    return pairs.select(*keys, "src", "src_type", "dst", "dst_type", "d2")
+    return pairs.select(*keys, "src", "src_type", "dst", "dst_type", "d2", *[f"{side}_{c}" for c in carry for side in ("src", "dst")])
 
 
 def neighbors_within(cells: DataFrame, radius: float, inner: float | None = None, keys: tuple[str, ...] = ()) -> DataFrame:

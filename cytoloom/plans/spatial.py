@@ -138,6 +138,68 @@ def nn_by_type(spark, sf_dir):
     return N.type_distances(cells, 5).drop("sample_id").withColumns(r6("mean_dist"))
 
 
-@query()
+RADIUS, STEPS, BAND = 9.0, 30, 40.0
+PI = "3.141592653589793::DOUBLE"
+BUMP = "greatest(0, 0.75::DOUBLE / 40 * (1 - ((a.{c} - b.{c}) / 40) ** 2))"
+UPTO = "(0.5 + 0.75 * {t} - 0.25 * {t} * {t} * {t})"
+
+
+def _mass(c: str) -> str:
+    upto = lambda d: UPTO.format(t=f"greatest(-1::DOUBLE, least(1::DOUBLE, ({d}) / 40))")
+    return f"({upto(f'{c}1 - {c}')} - {upto(f'{c}0 - {c}')})"
+
+
+PCF = f"""{EVENTS}, pts AS (SELECT cell_id, sample_id, round_even(x, 0) AS x, round_even(y, 0) AS y, celltype FROM cells),
+    w0 AS (SELECT sample_id, count(*) AS n, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM pts GROUP BY sample_id),
+    w AS (SELECT sample_id, n, lx - 1 AS x0, hx + 1 AS x1, ly - 1 AS y0, hy + 1 AS y1, (hx - lx) * (hy - ly) AS box, (hx - lx + 2) * (hy - ly + 2) AS area,
+                 0.15::DOUBLE / sqrt(n / ((hx - lx + 2) * (hy - ly + 2))) AS h FROM w0),
+    p AS (SELECT c.*, w.* EXCLUDE (sample_id) FROM (SELECT * FROM pts UNION ALL SELECT cell_id, sample_id, x, y, 'All' FROM pts) c JOIN w USING (sample_id)),
+    k AS (SELECT a.sample_id, a.celltype, a.cell_id, sum({BUMP.format(c="x")} * {BUMP.format(c="y")}) AS s FROM p a JOIN p b ON a.sample_id = b.sample_id AND a.celltype = b.celltype
+          AND abs(a.x - b.x) < 40 AND abs(a.y - b.y) < 40 GROUP BY ALL),
+    q AS (SELECT p.*, s / ({_mass("x")} * {_mass("y")}) AS lam FROM p JOIN k USING (sample_id, celltype, cell_id)),
+    d AS (SELECT a.sample_id, a.celltype AS ref, b.celltype AS query, sqrt({D2}) AS d, a.h, a.area, a.lam AS la, b.lam AS lb, acos(least(1, (a.x - a.x0) / sqrt({D2}))) AS tl,
+                 acos(least(1, (a.x1 - a.x) / sqrt({D2}))) AS tr, acos(least(1, (a.y - a.y0) / sqrt({D2}))) AS td, acos(least(1, (a.y1 - a.y) / sqrt({D2}))) AS tu
+          FROM q a JOIN q b ON a.sample_id = b.sample_id AND a.cell_id <> b.cell_id AND abs(a.x - b.x) < 20 AND abs(a.y - b.y) < 20 AND {D2} > 0
+          AND (a.celltype = 'All' OR (b.celltype <> 'All' AND a.celltype <= b.celltype))),
+    e AS (SELECT *, 1 - (2 * (tl + tr + td + tu) - greatest(0, tl + td - {PI} / 2) - greatest(0, tl + tu - {PI} / 2) - greatest(0, tr + td - {PI} / 2) - greatest(0, tr + tu - {PI} / 2)) / (2 * {PI}) AS share FROM d),
+    z AS (SELECT *, unnest(range(1, {STEPS})) AS step FROM e), v AS (SELECT *, step * {RADIUS / STEPS!r}::DOUBLE AS r FROM z),
+    g AS (SELECT sample_id, ref, query, step, sum(0.75 / h * (1 - ((r - d) / h) ** 2) / (la * lb * share) / (2 * {PI} * r * area)) AS g FROM v WHERE abs(r - d) < h GROUP BY ALL),
+    t AS (SELECT sample_id, celltype, count(*) AS n, sum(1 / lam) AS s, any_value(box) AS box FROM q GROUP BY ALL),
+    f AS (SELECT a.sample_id, a.celltype AS ref, b.celltype AS query, least(a.n, b.n) AS min_count, a.s * b.s / (a.box * a.box) AS norm, unnest(range(0, {STEPS})) AS step FROM t a JOIN t b USING (sample_id)
+          WHERE a.celltype = 'All' OR (b.celltype <> 'All' AND a.celltype <= b.celltype)),
+    pcf AS (SELECT f.sample_id, f.ref, f.query, min_count, f.step::INT AS step, f.step * {RADIUS / STEPS!r}::DOUBLE AS r, coalesce(g, 0) AS g, coalesce(g, 0) / norm AS norm_g FROM f LEFT JOIN g USING (sample_id, ref, query, step))"""
+
+
+def curves(spark, sf_dir):
+    return I.pair_correlation(events(spark, sf_dir), RADIUS, STEPS, BAND)
+
+
+@query(f"WITH {PCF} SELECT sample_id, ref, query, min_count, step, round(r, 6) AS r, round(g, 5) AS g, round(norm_g, 5) AS norm_g FROM pcf")
 def pair_correlation(spark, sf_dir):
-    return I.pair_correlation(events(spark, sf_dir), 9.0, 30)
+    return curves(spark, sf_dir).withColumns({"r": F.round("r", 6), "g": F.round("g", 5), "norm_g": F.round("norm_g", 5)})
+
+
+@query(f"WITH {PCF} SELECT ref, query, step, round(avg(g), 5) AS mean, round(var_samp(g), 5) AS var FROM pcf GROUP BY ref, query, step")
+def curve_moments(spark, sf_dir):
+    return I.curve_moments(curves(spark, sf_dir)).withColumns({"mean": F.round("mean", 5), "var": F.round("var", 5)})
+
+
+@query(f"""WITH {PCF} SELECT sample_id, CASE WHEN ref = 'view' THEN query ELSE ref END AS other, step, round(g, 5) AS g FROM pcf WHERE 'view' IN (ref, query) AND min_count > 20 AND r <= 6""")
+def curve_table(spark, sf_dir):
+    return I.curves_of(curves(spark, sf_dir), "view", 20, 6.0).select("sample_id", "other", "step", F.round("g", 5).alias("g"))
+
+
+@query(f"""WITH {PCF} SELECT step, CASE WHEN ref = 'view' THEN query ELSE ref END AS other, round(norm_g * 0.377, 5) AS value FROM pcf WHERE 'view' IN (ref, query) AND sample_id = (SELECT min(sample_id) FROM pcf)""")
+def scaled_curves(spark, sf_dir):
+    return I.scaled_curves(curves(spark, sf_dir), "view", 0.377).withColumn("value", F.round("value", 5))
+
+
+@query(f"""WITH {PCF}, s AS (SELECT *, (r - lag(r) OVER w) * (g + lag(g) OVER w) / 2 AS part FROM pcf WINDOW w AS (PARTITION BY sample_id, ref, query ORDER BY step))
+    SELECT sample_id, ref, query, round(sum(part), 5) AS area FROM s WHERE least(ref, query) = 'click' AND greatest(ref, query) = 'view' AND min_count > 0 GROUP BY ALL""")
+def curve_areas(spark, sf_dir):
+    return I.curve_areas(I.pair_subset(curves(spark, sf_dir), "view", "click")).withColumn("area", F.round("area", 5))
+
+
+@query()
+def ring_correlation(spark, sf_dir):
+    return I.ring_correlation(events(spark, sf_dir), 9.0, 30)

@@ -17,9 +17,9 @@ def some_cells(n=150):
     return [(i, i % 2, rng.uniform(0, 50), rng.uniform(-20, 20), rng.choice("abc")) for i in range(n)]
 
 
-def test_pair_correlation(spark):
+def test_ring_correlation(spark):
     rows = some_cells()
-    out = I.pair_correlation(spark.createDataFrame(rows, SCHEMA), 6.0, 5).collect()
+    out = I.ring_correlation(spark.createDataFrame(rows, SCHEMA), 6.0, 5).collect()
     assert len(out) == 2 * 9 * 5
     for r in out:
         own = [c for c in rows if c[1] == r["sample_id"]]
