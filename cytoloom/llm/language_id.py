@@ -4,8 +4,9 @@ The kernel of two texts is the sum over n = 1, 2, 3 of the number of hashed n-gr
 of the numbers present in each. Nyström's method expresses it by ``landmarks`` texts; one-versus-rest kernel ridge regression is
 fitted on that representation, and texts are scored in batches by matrix products with the landmarks and the fitted weights.
 
-The fit uses a bounded sample, at most about ``per_language`` labelled texts of each of the ``max_languages`` most frequent labels,
-chosen by a hash of the id; only their packed n-gram bits reach the driver. Every text is scored whole, row by row, without a shuffle.
+The fit uses a bounded sample: of every label about ``per_language`` texts, fewer where ``sample_rows`` of all of them would be exceeded,
+but at least about two, chosen by a hash of the id; only their packed n-gram bits reach the driver. No label is left out, however
+many there are. Every text is scored whole, row by row, without a shuffle.
 
 Defined results
 ---------------
@@ -16,6 +17,7 @@ Defined results
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -69,19 +71,19 @@ class Classifier:
     @classmethod
     def fit(cls, bits: np.ndarray, labels: list[str], landmarks: int = 128, ridge: float = 1e-2) -> Classifier:
         languages = sorted(set(labels))
-        of = np.array([languages.index(x) for x in labels])
+        of = np.searchsorted(languages, labels)
         share = max(1, landmarks // len(languages))
         chosen = np.concatenate([np.flatnonzero(of == k)[:share] for k in range(len(languages))])
-        x = normalised(bits)
-        marks = x[chosen]
+        marks = normalised(bits[chosen])
         # Nystroem: phi(x) = K(x, marks) K(marks, marks)^(-1/2); ridge regression of -1/1 targets on phi and a constant.
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6 * values.max()))) @ vectors.T
-        phi = np.hstack([(x @ marks.T) @ root, np.ones((len(x), 1))])
+        kernel = np.vstack([normalised(bits[k : k + 256]) @ marks.T for k in range(0, len(bits), 256)])
+        phi = np.hstack([kernel @ root, np.ones((len(bits), 1))])
         goal = np.where(of[:, None] == np.arange(len(languages)), 1.0, -1.0)
         # Each language counts the same, however many texts it has.
-        weight = (1 / np.bincount(of, minlength=len(languages)))[of][:, None] * len(x) / len(languages)
-        fitted = np.linalg.solve(phi.T @ (weight * phi) + ridge * len(x) * 1e-2 * np.eye(phi.shape[1]), phi.T @ (weight * goal))
+        weight = (1 / np.bincount(of, minlength=len(languages)))[of][:, None] * len(bits) / len(languages)
+        fitted = np.linalg.solve(phi.T @ (weight * phi) + ridge * len(bits) * 1e-2 * np.eye(phi.shape[1]), phi.T @ (weight * goal))
         return cls(languages, marks, np.vstack([root @ fitted[:-1], fitted[-1:]]).astype(np.float32))
 
     def scores(self, bits: np.ndarray) -> np.ndarray:
@@ -100,13 +102,14 @@ class Classifier:
         return names, sure
 
 
-def fit(df: DataFrame, may_learn: Column, text: str, lang: str, id_col: str, per_language: int = 600, max_languages: int = 64, landmarks: int = 128) -> Classifier | None:
+def fit(df: DataFrame, may_learn: Column, text: str, lang: str, id_col: str, per_language: int = 600, sample_rows: int = 24_000, landmarks: int = 128) -> Classifier | None:
     """A classifier from a bounded sample of the rows that may_learn."""
     rows = df.where(may_learn & F.col(lang).isNotNull() & F.col(id_col).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(F.col(lang).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = rows.groupBy(F.col(lang).cast("string").alias("lang")).count().collect()  # one row per label
     if not counts:
         return None
-    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], per_language / r["count"])])
+    each = max(2.0, min(per_language, sample_rows / len(counts)))
+    shares = F.from_json(F.lit(json.dumps({r["lang"]: each / r["count"] for r in counts})), "map<string,double>")
     # A hash between 0 and 1; of each language the rows below its share, about per_language of them.
     draw = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("sample")), 11) / float(1 << 53)
     rows = rows.where(draw < F.element_at(shares, F.col(lang).cast("string")))
