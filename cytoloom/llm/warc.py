@@ -15,6 +15,8 @@ Defined results
 * Null bodies have an empty payload. Null addresses are written as ``-``; white space in addresses is percent-encoded.
 * The response is the record with the largest number in the id header (absent ones are smallest), then the latest date, then the last place in the archives; so
   of repeated rows exactly one is the response.
+* An empty table gives no archives and no records. Blocks that aren't HTTP messages are resources, and their copies revisit the
+  resource; HTTP messages may lack a Content-Length or state a wrong one. A page number that isn't a number counts as absent.
 * A header line without the fields of its version, or a length beyond the end of the file, raises ValueError with the place.
 """
 
@@ -44,6 +46,8 @@ ARC_FIELDS = {
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID_HEADER = "X-Page-Id"
+#: A field of our own: a revisit has no payload, and its HTTP header may lack the length or state a wrong one.
+PAYLOAD_BYTES = "WARC-X-Payload-Length"
 
 
 def packed(data: bytes, level: int = 1) -> bytes:
@@ -172,6 +176,11 @@ def payload_of(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines if x)}, block[:cut], block[cut:]
 
 
+def page_number(http: dict[str, str]) -> int | None:
+    page = http.get(ID_HEADER.lower(), "")
+    return int(page) if re.fullmatch(r"-?\d{1,19}", page) else None
+
+
 def digest_text(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -191,6 +200,7 @@ def warc_record(name: str, place: int, arc: dict[str, str], block: bytes, origin
     http = bool(head)
     fields = {"WARC-Type": "response" if http else "resource", "WARC-Record-ID": record_id(name, place, arc["URL"]), "WARC-Date": iso_date(arc["Archive-date"])}
     fields |= {"WARC-Target-URI": arc["URL"], "WARC-IP-Address": arc["IP-address"], "WARC-Payload-Digest": digest_text(payload)}
+    fields[PAYLOAD_BYTES] = str(len(payload))
     fields["Content-Type"] = "application/http; msgtype=response" if http else arc["Content-type"]
     if original:
         fields |= {"WARC-Type": "revisit", "WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": original["record_id"]}
@@ -222,7 +232,10 @@ def parse_warc(data: bytes):
 
 
 def archives(spark, folder: str, pattern: str) -> DataFrame:
-    """(name, content) of the files in a folder."""
+    """(name, content) of the files in a folder; none if nothing was written there."""
+    store, path = fs.FileSystem.from_uri(folder)
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        return spark.createDataFrame([], "name string, content binary")
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
@@ -239,8 +252,8 @@ def index_arcs(spark, folder: str) -> DataFrame:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for place, arc, block in parse_arc(unpacked(content)):
                     http, _, payload = payload_of(block)
-                    page = http.get(ID_HEADER.lower())
-                    rows.append((name, place, int(page) if page else None, record_id(name, place, arc["URL"]), arc["URL"], iso_date(arc["Archive-date"]), len(payload), digest_text(payload)))
+                    page = page_number(http)
+                    rows.append((name, place, page, record_id(name, place, arc["URL"]), arc["URL"], iso_date(arc["Archive-date"]), len(payload), digest_text(payload)))
             types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
             columns = zip(*rows) if rows else [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=[x.split()[0] for x in INDEX.split(", ")])
@@ -291,12 +304,13 @@ def read_warcs(spark, folder: str) -> DataFrame:
                     if kind == "warcinfo":
                         continue
                     http, _, payload = payload_of(block)
-                    page = http.get(ID_HEADER.lower())
+                    page = page_number(http)
                     if kind == "revisit":
-                        size, digest = int(http["content-length"]), base64.b32decode(headers["warc-payload-digest"].partition(":")[2]).hex()
+                        size = headers.get(PAYLOAD_BYTES.lower()) or http.get("content-length")
+                        size, digest = int(size) if size and size.isdigit() else None, base64.b32decode(headers["warc-payload-digest"].partition(":")[2]).hex()
                     else:
                         size, digest = len(payload), hashlib.sha1(payload).hexdigest()
-                    rows.append((headers["warc-record-id"], kind, headers.get("warc-target-uri"), headers["warc-date"], int(page) if page else None, size, digest, headers.get("warc-refers-to")))
+                    rows.append((headers["warc-record-id"], kind, headers.get("warc-target-uri"), headers["warc-date"], page, size, digest, headers.get("warc-refers-to")))
             types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             columns = zip(*rows) if rows else [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=[x.split()[0] for x in RECORDS.split(", ")])
@@ -306,5 +320,5 @@ def read_warcs(spark, folder: str) -> DataFrame:
 
 def with_referents(records: DataFrame) -> DataFrame:
     """records with refers_to, the page_id of the record that each revisit refers to."""
-    heads = records.where(F.col("record_type") == "response").select(F.col("record_id").alias("h_id"), F.col("page_id").alias("refers_to"))
+    heads = records.where(F.col("record_type") != "revisit").select(F.col("record_id").alias("h_id"), F.col("page_id").alias("refers_to"))
     return records.join(heads, records["refers_to_id"] == heads["h_id"], "left").drop("h_id")

@@ -26,7 +26,24 @@ def test_round_trip_with_nulls_and_copies(spark, tmp_path):
 
 
 def test_no_pages(spark, tmp_path):
-    assert warc.write_arcs(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e").count() == 0
+    assert convert(spark, [], tmp_path).count() == 0
+
+
+def test_records_without_length_and_blocks_that_are_not_http(spark, tmp_path):
+    """Copies of an HTTP message that states no length or a wrong one, and of a block that is no HTTP message."""
+    folder = f"{tmp_path}/arc"
+    bodies = [b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\n" + b"y" * 2000] * 2
+    bodies += [b"HTTP/1.0 200 OK\r\nContent-Length: 7\r\nX-Page-Id: none\r\n\r\n" + b"z" * 1500] * 2 + [b"plain block " * 200] * 2
+    data = warc.arc_start("f.arc", 1, "20260102030405")
+    for k, block in enumerate(bodies):
+        data += warc.arc_line({"URL": f"http://x/{k}", "IP-address": "1.2.3.4", "Archive-date": "20260102030405", "Content-type": "text/html"}, 1, block) + block + b"\n"
+    warc.write_file(f"file://{folder}", "f.arc.gz", gzip.compress(data))
+    warc.arc_to_warc(spark, f"file://{folder}", f"file://{tmp_path}/warc")
+    rows = warc.with_referents(warc.read_warcs(spark, f"file://{tmp_path}/warc")).collect()
+    assert sorted(r["payload_bytes"] for r in rows) == [1500, 1500, 2000, 2000, 2400, 2400]
+    assert sorted(r["record_type"] for r in rows) == ["resource", "response", "response", "revisit", "revisit", "revisit"]
+    ids = {r["record_id"] for r in rows if r["record_type"] != "revisit"}
+    assert all(r["refers_to_id"] in ids for r in rows if r["record_type"] == "revisit")
 
 
 def test_members_and_plain_files():
