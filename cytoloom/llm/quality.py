@@ -1,44 +1,41 @@
 """Quality rules by distribution divergence, with DataFrame functions only.
 
-A document is compared with language references in two histograms: character classes, and a fixed list of common
-words against all other words. The distance is the square root of the Jensen-Shannon divergence to base 2, from 0 to 1.
-References come from the corpus itself: one per value of the language column, over all its rows and whole texts.
+A document is compared with language references in two histograms: character classes, and common words against all other words.
+The distance is the square root of the Jensen-Shannon divergence to base 2, from 0 to 1. References come from the corpus itself: one
+per value of the language column, over all its rows and whole texts. Common words are learned as well: of each language the
+``common`` most frequent words of at most ``longest`` code points (function words are short), ties by code point; the histograms
+have the words of all languages.
+
+Scale: two aggregations with map-side combine make the references, and one pass judges; texts are never shuffled. What reaches the
+driver is a few numbers and words for each language.
 
 Defined results
 ---------------
 * Null, empty and blank texts: no words, every count 0, base rules fail, not kept.
 * Null language: such rows build no reference; a document is compared with every reference and the nearest counts,
-  so its own label plays no part.
-* Languages beyond ``max_languages`` (by rows) are pooled into one further reference, never dropped.
+  so its own label plays no part. Every language has a reference of its own, however many there are.
 * No reference at all (empty table, or all labels null): the base rules alone decide.
 * Repeated rows are judged alike; extra columns stay untouched.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from .common import SPACES, free_name, materialize, words_of
 
-from .common import free_name, words_of
+MAX_WORD_DISTANCE = 0.45
 
 #: Character classes counted by pattern; white space and all other characters are the two classes that remain.
 CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{Nd}", "mark": r"[\p{P}\p{S}]"}
 SYMBOLS = r"[#*$%&|<>]"
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "q_classes", "q_runs")
 VERDICTS = ("base_failed", "class_distance", "word_distance", "kept")
-#: Frequent function words by language, as in any stop-word list.
-COMMON_WORDS = {
-    "en": "the of and to a in is that for it was on are as with be by this an at from or not have but",
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an er aus",
-    "fr": "le la les de des et en un une du que est pour qui dans par sur au il ne pas plus ce se avec",
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero",
-    "it": "di e il che la per un in non una sono del con si le della da dei gli alla",
-    "pt": "de a o que e do da em um para com não uma os no se na por mais as",
-    "nl": "de het een van en in is dat op te zijn met voor niet aan er om ook als maar",
-}
-LISTED = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
-
-
 def word_features(words: Column, text: Column) -> dict[str, Column]:
     """The base counts of a text; words is a column that holds words_of(text)."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -73,11 +70,11 @@ def with_repeated_words(df: DataFrame, grams: str, out: str, name, width: int =
     return df.withColumn(out, total.cast("long")).drop(twice, order, at)
 
 
-def quality_features(df: DataFrame, text: str = "text") -> DataFrame:
+def quality_features(df: DataFrame, listed: list[str], text: str = "text") -> DataFrame:
     """Add the base counts, the class counts and the runs of common words; one pass, no shuffle.
 
-    q_classes: characters by class (upper case, digits, marks, white space, all others). q_runs: (k, n) for each word of
-    COMMON_WORDS in the text, by its place in the list.
+    q_classes: characters by class (upper case, digits, marks, white space, all others). q_runs: (k, n) for each word of the list in
+    the text, by its place in the list.
     """
     inner = {}
     name = lambda k: inner.setdefault(k, free_name(df, f"_q_{k}"))
@@ -93,14 +90,14 @@ def quality_features(df: DataFrame, text: str = "text") -> DataFrame:
         {
             name("marks"): F.array(*marks, space),
             name("grams"): F.when(F.col("n_words") > 3, windows),
-            name("hits"): F.sort_array(F.filter(words, lambda w: w.isin(*LISTED))),
+            name("hits"): F.sort_array(F.filter(words, lambda w: w.isin(*listed))) if listed else F.array().cast("array<string>"),
         }
     )
     hits, all_marks = F.col(name("hits")), [F.get(F.col(name("marks")), F.lit(k)) for k in range(4)]
     ends = F.filter(F.sequence(F.lit(1), F.size(hits)), lambda i: F.coalesce(F.get(hits, i) != F.get(hits, i - 1), F.lit(True)))
     rest = F.length(body) - sum(all_marks[1:], all_marks[0])
     out = out.withColumns({"q_classes": F.array(*all_marks, rest), name("ends"): F.when(F.size(hits) > 0, ends).otherwise(F.array().cast("array<int>"))})
-    ends, places = F.col(name("ends")), F.array(*[F.lit(w) for w in LISTED])
+    ends, places = F.col(name("ends")), F.array(*[F.lit(w) for w in listed]) if listed else F.array().cast("array<string>")
     run = lambda e, j: F.struct(
         (F.array_position(places, F.get(hits, e - 1)) - 1).cast("int").alias("k"), (e - F.coalesce(F.get(ends, j - 1), F.lit(0))).alias("n")
     )
@@ -108,63 +105,65 @@ def quality_features(df: DataFrame, text: str = "text") -> DataFrame:
     return with_repeated_words(out, name("grams"), "n_repeat_words", name).drop(*inner.values())
 
 
-def language_references(features: DataFrame, lang: str = "lang", max_languages: int = 32) -> list[dict]:
-    """One reference per language, from the columns of quality_features(): shares of character classes and of common words.
-
-    Aggregations over all rows with a language; at most (max_languages + 1) x (5 + length of the word list) numbers come back.
-    """
-    rows = features.where(F.col(lang).isNotNull()).withColumn("q_lang", F.col(lang).cast("string"))
-    top = [r["q_lang"] for r in rows.groupBy("q_lang").count().orderBy(F.desc("count"), "q_lang").limit(max_languages).collect()]
-    if not top:
-        return []
-    rows = rows.withColumn("q_lang", F.when(F.col("q_lang").isin(top), F.col("q_lang")))
-    sums = rows.groupBy("q_lang").agg(F.sum("n_words").alias("n"), *[F.sum(F.get("q_classes", F.lit(k))).alias(f"c{k}") for k in range(5)])
-    # explode() would make Spark filter by the size of q_runs first, and so build the arrays twice, inside a filter.
-    runs = rows.select("q_lang", F.explode_outer("q_runs").alias("r")).groupBy("q_lang", "r.k").agg(F.sum("r.n").alias("n"))
-    counts: dict[str | None, dict[int, int]] = {}
-    for r in runs.collect():
-        counts.setdefault(r["q_lang"], {})[r["k"]] = r["n"]
+def language_references(df: DataFrame, text: str = "text", lang: str = "lang", common: int = 24, longest: int = 5) -> tuple[list[str], list[dict]]:
+    """(listed, references): all languages' common words, and for each language its shares of character classes and of those words."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = df.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), body.alias("text"))
+    counts = [F.regexp_count("text", F.lit(v)) for v in CLASSES.values()]
+    inside = F.length(F.regexp_replace("text", SPACES, ""))
+    n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    sums = rows.groupBy("lang").agg(F.sum(n_words).alias("n"), F.sum(F.length("text")).alias("chars"), F.sum(inside).alias("inside"), *[F.sum(c).alias(f"c{k}") for k, c in enumerate(counts)])
+    sums = sorted(sums.where("n > 0").collect(), key=lambda r: r["lang"])  # one row per language
+    if not sums:
+        return [], []
+    short = rows.select("lang", F.explode(F.filter(words_of(F.col("text")), lambda w: F.length(w) <= longest)).alias("word"))
+    short = short.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    short = materialize(short)
+    listed = sorted({r["word"] for r in short.withColumn("place", place).where(F.col("place") <= common).select("word").distinct().collect()})
+    seen: dict[str, dict[str, int]] = {}
+    for r in short.where(F.col("word").isin(*listed)).collect():  # languages x listed words
+        seen.setdefault(r["lang"], {})[r["word"]] = r["n"]
     references = []
-    for r in sorted(sums.collect(), key=lambda r: (r["q_lang"] is None, r["q_lang"] or "")):
-        classes = [r[f"c{k}"] for k in range(5)]
-        if r["n"]:
-            shares = [counts.get(r["q_lang"], {}).get(k, 0) / r["n"] for k in range(len(LISTED))]
-            references.append({"lang": r["q_lang"], "classes": [c / sum(classes) for c in classes], "words": shares})
-    return references
+    for r in sums:
+        classes = [r["c0"], r["c1"], r["c2"], r["chars"] - r["inside"]]
+        classes.append(r["chars"] - sum(classes))
+        words = [seen.get(r["lang"], {}).get(w, 0) / r["n"] for w in listed]
+        references.append({"lang": r["lang"], "classes": [c / r["chars"] for c in classes], "words": words, "every": math.fsum(words)})
+    return listed, references
+
+
+REFERENCES = "array<struct<classes:array<double>,words:array<double>,every:double>>"
 
 
 def _plogp(p: Column, m: Column) -> Column:
     return F.when(p > 0, p * F.log2(p / m)).otherwise(F.lit(0.0))
 
 
+def _both(p: Column, q: Column) -> Column:
+    return _plogp(p, (p + q) / 2) + _plogp(q, (p + q) / 2)
+
+
 def _distance(divergence: Column) -> Column:
-    return F.sqrt(F.greatest(F.lit(0.0), divergence))
+    return F.sqrt(F.greatest(F.lit(0.0), divergence / 2))
 
 
-def class_distance(shares: Column, reference: list[float]) -> Column:
+def class_distance(shares: Column, reference: Column) -> Column:
     """Jensen-Shannon distance of an array of shares from a reference."""
-    terms = []
-    for k, q in enumerate(reference):
-        p, q = F.get(shares, F.lit(k)), F.lit(float(q))
-        terms += [_plogp(p, (p + q) / 2), _plogp(q, (p + q) / 2)]
-    return _distance(sum(terms[1:], terms[0]) / 2)
+    return F.aggregate(F.zip_with(shares, reference["classes"], _both), F.lit(0.0), lambda a, x: a + x, _distance)
 
 
-def word_distance(runs: Column, n_words: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance of a document's common words from a reference; the words that neither lists form one class.
+def word_distance(runs: Column, n_words: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance of a document's common words from a reference; the words that the reference lacks form one class with all others.
 
-    Words that the reference has and the document lacks give half their share, so that only the document's runs are walked.
+    Words that the reference has and the document lacks give their share, so that only the document's runs are walked.
     """
-    shares = F.array(*[F.lit(float(q)) for q in reference])
-    own = F.transform(runs, lambda r: F.struct((r["n"] / n_words).alias("p"), F.get(shares, r["k"]).alias("q")))
-    term = lambda p, q: p + q + p * F.log2(p / (p + q)) + q * F.log2(q / (p + q))
+    own = F.transform(runs, lambda r: F.struct((r["n"] / n_words).alias("p"), F.get(reference["words"], r["k"]).alias("q")))
     start = F.struct(F.lit(0.0).alias("js"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
-    plus = lambda a, r: F.struct((a["js"] + term(r["p"], r["q"])).alias("js"), (a["p"] + r["p"]).alias("p"), (a["q"] + r["q"]).alias("q"))
-    add = lambda a, r: F.when(r["q"] > 0, plus(a, r)).otherwise(a)
-    all_q = float(sum(reference))
-    both = lambda p, q: _plogp(p, (p + q) / 2) + _plogp(q, (p + q) / 2)
-    other = lambda s: both(F.greatest(F.lit(0.0), 1 - s["p"]), F.lit(max(0.0, 1.0 - all_q)))
-    return F.aggregate(own, start, add, lambda s: _distance((s["js"] + (F.lit(all_q) - s["q"]) + other(s)) / 2))
+    plus = lambda a, r: F.struct((a["js"] + _both(r["p"], r["q"])).alias("js"), (a["p"] + r["p"]).alias("p"), (a["q"] + r["q"]).alias("q"))
+    rest = lambda x: F.greatest(F.lit(0.0), 1 - x)
+    done = lambda s: _distance(s["js"] + (reference["every"] - s["q"]) + _both(rest(s["p"]), rest(reference["every"])))
+    return F.aggregate(own, start, lambda a, r: F.when(r["q"] > 0, plus(a, r)).otherwise(a), done)
 
 
 def quality_verdicts(
@@ -173,7 +172,7 @@ def quality_verdicts(
     min_words: int = 50,
     max_repeat_percent: int = 50,
     max_class_distance: float = 0.28,
-    max_word_distance: float = 0.45,
+    max_word_distance: float = MAX_WORD_DISTANCE,
     min_chars_for_classes: int = 200,
     min_words_for_words: int = 100,
 ) -> DataFrame:
@@ -189,12 +188,13 @@ def quality_verdicts(
         none = F.lit(None).cast("double")
         return out.withColumns({"class_distance": none, "word_distance": none, "kept": ~F.col("base_failed")})
     chars = F.aggregate("q_classes", F.lit(0).cast("long"), lambda a, x: a + x)
-    nearest = lambda columns: columns[0] if len(columns) == 1 else F.least(*columns)
+    made = F.from_json(F.lit(json.dumps([{k: r[k] for k in ("classes", "words", "every")} for r in references])), REFERENCES)
+    nearest = lambda f: F.array_min(F.transform(made, f))
     total, shares = free_name(features, "_q_chars"), free_name(features, "_q_shares")
     out = out.withColumn(total, chars)
     out = out.withColumn(shares, F.when(F.col(total) > 0, F.transform("q_classes", lambda c: c / F.col(total))))
-    by_class = nearest([class_distance(F.col(shares), r["classes"]) for r in references])
-    by_word = nearest([word_distance(F.col("q_runs"), F.col("n_words"), r["words"]) for r in references])
+    by_class = nearest(lambda r: class_distance(F.col(shares), r))
+    by_word = nearest(lambda r: word_distance(F.col("q_runs"), F.col("n_words"), r))
     out = out.withColumns({"class_distance": F.when(F.col(total) > 0, by_class), "word_distance": F.when(F.col("n_words") > 0, by_word)})
     odd = ((F.col(total) >= min_chars_for_classes) & (F.col("class_distance") > max_class_distance)) | (
         (F.col("n_words") >= min_words_for_words) & (F.col("word_distance") > max_word_distance)
@@ -202,15 +202,14 @@ def quality_verdicts(
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).drop(total, shares)
 
 
-def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", references: list[dict] | None = None, **limits) -> DataFrame:
+def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", references: tuple[list[str], list[dict]] | None = None, **limits) -> DataFrame:
     """df with the base counts, base_failed, class_distance, word_distance and kept; references are built from df if not given.
 
     Columns of these names that df has already are replaced.
     """
-    features = quality_features(df, text)
-    if references is None:
-        references = language_references(features, lang)
-    return quality_verdicts(features.drop(*(set(VERDICTS) - {text, lang})), references, **limits).drop("q_classes", "q_runs")
+    listed, known = references or language_references(df, text, lang)
+    features = quality_features(df, listed, text)
+    return quality_verdicts(features.drop(*(set(VERDICTS) - {text, lang})), known, **limits).drop("q_classes", "q_runs")
 
 
 def keep_good(df: DataFrame, text: str = "text", lang: str = "lang", **how) -> DataFrame:

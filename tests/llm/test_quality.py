@@ -22,39 +22,53 @@ def base(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(rows) - len(set(rows)), len(covered)
 
 
-def histograms(text):
+def words_in(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def common_words(rows, common=24, longest=5):
+    """The words that each language has most of, all languages together."""
+    seen = {}
+    for _, lang, text in rows:
+        if lang is not None:
+            seen.setdefault(lang, Counter()).update(w for w in words_in(text) if len(w) <= longest)
+    return sorted({w for c in seen.values() for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:common]})
+
+
+def histograms(text, listed):
     import regex
 
-    text, words = text or "", (text or "").replace("\x0b", " ").split()
-    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    text, words = text or "", words_in(text)
     marks = [len(regex.findall(p, text)) for p in quality.CLASSES.values()] + [len(text) - sum(map(len, words))]
-    listed = Counter(w for w in words if w in set(quality.LISTED))
-    return [*marks, len(text) - sum(marks)], [listed[w] for w in quality.LISTED], len(words)
+    own = Counter(words)
+    return [*marks, len(text) - sum(marks)], [own[w] for w in listed], len(words)
 
 
 def distance(p, q):
+    p, q = [a for a, b in zip(p, q) if b], [b for b in q if b]
+    p, q = p + [max(0, 1 - sum(p))], q + [max(0, 1 - sum(q))]
     js = sum((a * math.log2(2 * a / (a + b)) if a else 0) + (b * math.log2(2 * b / (a + b)) if b else 0) for a, b in zip(p, q)) / 2
     return math.sqrt(max(0, js))
 
 
 def brute(rows, **limits):
     """kept of each (doc_id, lang, text)."""
-    langs = {}
+    langs, listed = {}, common_words(rows)
     for _, lang, text in rows:
         if lang is not None:
-            c, w, n = histograms(text)
+            c, w, n = histograms(text, listed)
             old = langs.setdefault(lang, ([0] * 5, [0] * len(w), 0))
             langs[lang] = ([a + b for a, b in zip(old[0], c)], [a + b for a, b in zip(old[1], w)], old[2] + n)
-    refs = [([x / sum(c) for x in c], [x / n for x in w] + [1 - sum(w) / n]) for c, w, n in langs.values() if n]
+    refs = [([x / sum(c) for x in c], [x / n for x in w]) for c, w, n in langs.values() if n]
     out = {}
     for i, _, text in rows:
         n_words, *_, repeats = base(text)
-        c, w, n = histograms(text)
+        c, w, n = histograms(text, listed)
         good = n_words >= 50 and 100 * repeats <= 50 * n_words
         if good and sum(c) >= 200:
             good &= min(distance([x / sum(c) for x in c], r) for r, _ in refs) <= 0.28
         if good and n >= 100:
-            good &= min(distance([x / n for x in w] + [1 - sum(w) / n], r) for _, r in refs) <= 0.45
+            good &= min(distance([x / n for x in w], r) for _, r in refs) <= 0.45
         out[i] = good
     return out
 
@@ -72,7 +86,7 @@ def test_query_against_brute_force(spark):
 
 @pytest.mark.parametrize("text", ["a b c a b c a", "a b a b a b a b", "x " * 200, "a b c", "a a a", "one two three four", " ".join(f"{k % 50} q{k // 3}" for k in range(300))])
 def test_repeated_windows(spark, text):
-    (row,) = quality.quality_features(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    (row,) = quality.quality_features(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["a", "x"]).collect()
     assert row["n_repeat_words"] == base(text)[4]
 
 
@@ -87,6 +101,12 @@ def test_edge_rows(spark):
     assert quality.keep_good(docs).columns == docs.columns
 
 
+def test_no_language_is_pooled(spark):
+    rows = [(f"l{k}", f"w{k} " * 60 + f"v{k}") for k in range(40)]
+    listed, references = quality.language_references(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(references) == 40 and {f"w{k}" for k in range(40)} <= set(listed)
+
+
 def test_junk_goes_and_prose_stays(spark):
     prose = "the cat and the dog sat on the mat for an hour but it was not in the house as they have said to be with this of that " * 1
     rows = [(k, "en", " ".join(f"{prose} number{k} of{k * 7} things{k * 3}".split())) for k in range(20)]
