@@ -24,11 +24,14 @@ def words_of(text: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. In local mode one of our own will do where none is named;
+    on a cluster a folder of one machine wouldn't be seen by the others, so that raises ValueError."""
     context = spark.sparkContext
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="cytoloom-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -45,3 +48,9 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def set_aside(df: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """df with all columns but the needed ones under names of no operator's, and the way back for withColumnsRenamed()."""
+    aside = {c: f"_own_{k}_" for k, c in enumerate(df.columns) if c not in needed}
+    return df.withColumnsRenamed(aside), {v: k for k, v in aside.items()}

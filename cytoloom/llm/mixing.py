@@ -13,7 +13,8 @@ Defined results
 * Null, empty and blank texts have size 0 and are taken 0 times. Null sources are one source, last in order.
 * Targets stop at ``max_epochs`` times their source's size; the excess is reshared by weight among the rest.
 * If all sizes are 0, or the table is empty, targets are 0. Repeated rows are separate documents; ties in the shuffle go by id,
-  and rows that tie in everything share what their places take, which depends on nothing but how many there are.
+  and rows that tie in everything share what their places take, which depends on nothing but how many there are. Of rows that share
+  source, id and size, take_mix() deals the copies out in turn.
 * Nothing depends on partitioning or row order; reruns agree. Columns of df with clashing names are replaced.
 """
 
@@ -23,15 +24,19 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize
+from .common import materialize, set_aside
 
 GOLDEN = (math.sqrt(5) - 1) / 2
 
 
+def word_count(text: str) -> Column:
+    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
 def targets(sizes: list[int], weights: list[float], max_epochs: float) -> list[float]:
     """Shares of the total size by weight; what exceeds max_epochs times a source's size goes to the others by weight."""
     capped: set[int] = set()
@@ -54,15 +59,27 @@ def slot_sources(start: int, end: int, bounds: np.ndarray) -> np.ndarray:
 def schedule(spark, quota: list[int], block: int, stretch: int = 1 << 16) -> DataFrame:
     """(slot, src, rank): the slots of the mix in order, until each source has the slots that its quota of words needs.
 
-    Slots beyond a source's need are left out. The golden-ratio sequence gives a part of width w of the first n points n * w of
-    them up to a few times log n, so a small surplus of slots is enough; it doubles in the rare case that it isn't.
+    The golden-ratio sequence gives a part of width w of the first n points n * w of them up to a few times log n. So n points, with a
+    surplus of that size, are enough for every source that needs more than the surplus itself; their other slots are left out. The
+    few slots of smaller sources are spread evenly instead, by the same sequence from each one's own start: rank r gets the slot
+    nearest to (r + frac(source * golden ratio)) / need of the way. Slot numbers of those may tie with others; the order by slot,
+    source and rank is the mix. The number of slots of each source is checked when the plan runs: one that falls short raises an error.
     """
     need = [-(-q // block) for q in quota]
     total = sum(need)
     if not total:
         return spark.createDataFrame([], "slot long, src int, rank long")
-    bounds = np.cumsum(np.array(need) / total)
     spare = 16 + 4 * math.log2(total + 2)
+    small = [k for k, n in enumerate(need) if 0 < n <= spare]
+    wide = [0 if k in set(small) else n for k, n in enumerate(need)]
+    rows = [(int((r + (k * GOLDEN) % 1.0) / need[k] * total), k, r) for k in small for r in range(need[k])]  # at most spare rows a source
+    even = spark.createDataFrame(rows, "slot long, src int, rank long")
+    return _golden(spark, wide, total, spare, stretch).unionByName(even) if any(wide) else even
+
+
+def _golden(spark, need: list[int], span: int, spare: float, stretch: int) -> DataFrame:
+    total = sum(need)
+    bounds = np.cumsum(np.array(need) / total)
     n = math.ceil(max((k + spare) * total / k for k in need if k))
 
     def run(frames):
@@ -73,16 +90,19 @@ def schedule(spark, quota: list[int], block: int, stretch: int = 1 << 16) -> Dat
                 first = np.searchsorted(source[order], np.arange(len(bounds)))
                 inner = np.empty(len(source), np.int64)
                 inner[order] = np.arange(len(source)) - first[source[order]]
-                slot = np.arange(len(source), dtype=np.int64) + c * stretch
+                slot = (np.arange(len(source), dtype=np.int64) + c * stretch) * span // total
                 yield pd.DataFrame({"chunk": np.int64(c), "slot": slot, "src": source.astype(np.int32), "inner": inner})
 
     chunks = spark.range(-(-n // stretch))
     slots = chunks.repartition("id").mapInPandas(run, "chunk long, slot long, src int, inner long")
-    counts = slots.groupBy("src", "chunk").agg(F.count("*").alias("n"))
+    counts = slots.groupBy("src", "chunk").agg(F.count("*").alias("n"))  # sources x stretches: small beside the slots
+    every = F.sum("n").over(W.partitionBy("src"))
     earlier = F.sum("n").over(W.partitionBy("src").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))
-    counts = counts.select("src", "chunk", F.coalesce(earlier, F.lit(0)).alias("earlier"))
     needs = F.array(*[F.lit(int(k)) for k in need])
-    ranked = slots.join(counts, ["src", "chunk"]).select("slot", "src", (F.col("earlier") + F.col("inner")).alias("rank"))
+    short = F.raise_error(F.lit("the schedule has too few slots for a source"))
+    earlier = F.when(every < F.get(needs, F.col("src")), short).otherwise(F.coalesce(earlier, F.lit(0)))
+    counts = counts.select("src", "chunk", earlier.alias("earlier"))
+    ranked = slots.hint("merge").join(counts, ["src", "chunk"]).select("slot", "src", (F.col("earlier") + F.col("inner")).alias("rank"))
     return ranked.where(F.col("rank") < F.get(needs, F.col("src")))
 
 
@@ -125,8 +145,7 @@ def mix_sources(
     First: (doc_id, source, size, source_size, target, taken, copies) per row of df: taken counts words with repeats; copies counts
     how often the mix comes past the document's first word, the number of whole copies to take. Second: (slot, src, rank) of schedule().
     """
-    size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    rows = materialize(df.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size")))
+    rows = materialize(df.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size")))
     sources = source_table(rows, weights, max_epochs)
     spark = df.sparkSession
     lengths = [s["size"] for s in sources]
@@ -174,10 +193,40 @@ def mix_sources(
 
 
 def take_mix(df: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of df in the mix, as often as the mix comes past their first word; the columns of df."""
+    """The rows of df in the mix, as often as the mix comes past their first word; the columns of df.
+
+    Rows are told apart by source, id and size. Copies of rows that tie in all three are dealt to them in turn: each gets the whole
+    share, and as many of them as there are copies left over get one more, in the order of a hash of the row.
+    """
+    names = df.columns
+    df, back = set_aside(df, (text, source, id_col))
     plan, _ = mix_sources(df, text, source, id_col, **how)
-    # Rows that share an id are told apart by nothing else that is kept, so each gets the copies of one of them, dealt in order.
-    copies = plan.groupBy("doc_id").agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("mix_rows")).withColumnRenamed("doc_id", "mix_id")
-    each = F.ceil(F.col("mix_copies") / F.col("mix_rows")).cast("int")
-    joined = df.join(copies.hint("merge"), df[id_col].eqNullSafe(copies["mix_id"]))
-    return joined.where("mix_copies > 0").withColumn("mix_n", F.explode(F.sequence(F.lit(1), each))).select(*[df[c] for c in df.columns])
+    keys = {"mix_source": F.col(source).cast("string"), "mix_id": F.col(id_col), "mix_size": word_count(text)}
+    copies = plan.groupBy(F.col("source").alias("p_source"), F.col("doc_id").alias("p_id"), F.col("size").alias("p_size")).agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("mix_rows"))
+    rows = df.withColumns(keys)
+    same = rows["mix_source"].eqNullSafe(copies["p_source"]) & rows["mix_id"].eqNullSafe(copies["p_id"]) & (rows["mix_size"] == copies["p_size"])
+    joined = rows.hint("merge").join(copies.where("mix_copies > 0"), same)
+    alone = joined.where("mix_rows = 1").withColumn("mix_n", F.col("mix_copies"))
+    tied = dealt(joined.where("mix_rows > 1"), [F.col(c).cast("string") for c, t in df.dtypes if not t.startswith(("map", "variant"))])
+    both = alone.unionByName(tied).where("mix_n > 0")
+    both = both.withColumn("mix_n", F.explode(F.sequence(F.lit(1), F.col("mix_n").cast("int"))))
+    return both.select(*df.columns).withColumnsRenamed(back).select(*names)
+
+
+def dealt(rows: DataFrame, columns: list) -> DataFrame:
+    """rows with mix_n: their group's mix_copies dealt over its mix_rows rows.
+
+    Groups may be large (all rows without an id), so rows are counted by ranges of a hash first and ordered inside a range only.
+    """
+    group = ["p_source", "p_id", "p_size"]
+    rows = rows.withColumn("mix_hash", F.xxhash64(*columns)).withColumn("mix_part", F.shiftrightunsigned("mix_hash", 52))
+    parts = rows.groupBy(*group, "mix_part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*group).orderBy("mix_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*[F.col(c).alias(f"q_{c}") for c in group], F.col("mix_part").alias("q_part"), before.alias("mix_before"))
+    same = rows["mix_part"] == parts["q_part"]
+    for c in group:
+        same &= rows[c].eqNullSafe(parts[f"q_{c}"])
+    place = F.row_number().over(W.partitionBy(*group, "mix_part").orderBy("mix_hash"))
+    rows = rows.withColumn("mix_place", place).join(parts, same)
+    more = F.col("mix_before") + F.col("mix_place") <= F.col("mix_copies") % F.col("mix_rows")
+    return rows.withColumn("mix_n", F.floor(F.col("mix_copies") / F.col("mix_rows")) + more.cast("long")).drop("mix_hash", "mix_part", "mix_place", "mix_before", "q_part", *[f"q_{c}" for c in group])

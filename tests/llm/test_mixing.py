@@ -48,3 +48,59 @@ def test_edge_rows(spark):
     assert mixing.take_mix(docs).columns == docs.columns
     blank = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert {r["taken"] for r in mix(blank).collect()} == {0}
+
+
+def golden(quota, block):
+    """(slot, src, rank) by a plain walk along the golden-ratio sequence, for sources that need many slots."""
+    need = [-(-q // block) for q in quota]
+    bounds, out, have, j = [sum(need[: k + 1]) / sum(need) for k in range(len(need))], [], [0] * len(need), 0
+    while any(h < n for h, n in zip(have, need)):
+        point = ((j + 1) * mixing.GOLDEN) % 1.0
+        k = next((i for i, b in enumerate(bounds) if point < b), len(need) - 1)
+        if have[k] < need[k]:
+            out.append((j, k, have[k]))
+            have[k] += 1
+        j += 1
+    return out
+
+
+def test_schedule_against_a_plain_walk(spark):
+    quota = [3000, 7000, 12000]
+    got = sorted((r["slot"], r["src"], r["rank"]) for r in mixing.schedule(spark, quota, 10, stretch=128).collect())
+    assert got == golden(quota, 10)
+
+
+def test_small_sources_get_their_slots_without_a_long_schedule(spark):
+    got = mixing.schedule(spark, [5, 200_000, 0], 10).collect()
+    assert sorted(r["rank"] for r in got if r["src"] == 0) == [0] and sorted(r["rank"] for r in got if r["src"] == 1) == list(range(20_000))
+    assert not any(r["src"] == 2 for r in got)
+
+
+def test_taken_words_against_a_plain_version(spark):
+    """A source's mix is the first words of its line, repeated up to its quota; a document takes what its place on the line covers."""
+    rows = [(i, "w " * (1 + (i * 7) % 23), "abc"[i % 3]) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r["doc_id"]: r for r in mix(df, block=16).collect()}
+    from pyspark.sql import functions as F
+
+    h = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.xxhash64("doc_id", F.lit("mix")).alias("h")).collect()}
+    sizes = {i: 1 + (i * 7) % 23 for i in range(240)}
+    goals = mixing.targets([sum(sizes[i] for i in range(240) if i % 3 == k) for k in range(3)], [1, 2, 3], 3)
+    for k in range(3):
+        own = sorted((i for i in range(240) if i % 3 == k), key=lambda i: ((h[i] & (1 << 64) - 1) >> 33, h[i], i))
+        line = [i for i in own for _ in range(sizes[i])]
+        quota = min(round(goals[k]), 3 * len(line))
+        want = {i: 0 for i in own}
+        for w in range(quota):
+            want[line[w % len(line)]] += 1
+        assert {i: out[i]["taken"] for i in own} == want
+
+
+def test_copies_of_tied_rows_are_dealt(spark):
+    rows = [(None, f"t{i} " * 5, "a") for i in range(300)] + [(i, "w " * 5, "b") for i in range(1000)] + [(7, "w " * 5, "c")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mix(df, weights=(1, 30, 1), block=16).collect()
+    for source in "abc":
+        copies = sum(r["copies"] for r in plan if r["source"] == source)
+        took = mixing.take_mix(df, weights=(1, 30, 1), block=16).where(f"source = '{source}'").count()
+        assert took == copies
