@@ -5,7 +5,7 @@ their lines in every document. The distinct 128-bit key hashes are dealt into sh
 hash (levels of bit arrays, each holding the keys that had a place to themselves) into a compact array of fingerprints and one of
 document counts. Documents send the hashes of their own distinct lines to the shards, never the lines, and get back the hashes to drop.
 
-Scale: a shard has about ``shard_keys`` keys (more only beyond ``max_shards``). Its probes are known beforehand, the sum of its
+Scale: a shard has about ``shard_keys`` keys, however many there are. Its probes are known beforehand, the sum of its
 counts; a shard with more than ``probe_rows`` of them is copied, and probes are salted over the copies, so a line that stands
 in a third of all documents doesn't end in one task.
 
@@ -17,6 +17,8 @@ Defined results
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -132,18 +134,19 @@ def probe(shard: pd.Series, lo: np.ndarray, hi: np.ndarray, cap: int) -> np.ndar
 
 
 def frequent_lines(
-    df: DataFrame, text: str, id_name: str, min_docs: int, min_chars: int, shard_keys: int, max_shards: int, probe_rows: int
+    df: DataFrame, text: str, id_name: str, min_docs: int, min_chars: int, shard_keys: int, probe_rows: int
 ) -> DataFrame:
     """(id, lo, hi): of each document, the keys that stand in at least min_docs documents."""
     lines = document_lines(df, text, id_name, min_chars)
     counts = materialize(lines.groupBy("lo", "hi").agg(F.count("*").alias("n")))
-    shards = min(max_shards, max(1, -(-counts.count() // shard_keys)))
+    shards = max(1, -(-counts.count() // shard_keys))
     table = materialize(build_shards(counts, shards, min_docs))
-    copies = {r["shard"]: -(-r["probes"] // probe_rows) for r in table.select("shard", "probes").collect()}
-    times = F.array(*[F.lit(int(copies.get(k, 1))) for k in range(shards)])
-    table = table.withColumn("copy", F.explode(F.sequence(F.lit(0), F.get(times, F.col("shard")) - 1)))
+    # Only shards that are probed more often than a task should be come to the driver: at most all probes over probe_rows of them.
+    hot = {r["shard"]: -(-r["probes"] // probe_rows) for r in table.where(F.col("probes") > probe_rows).select("shard", "probes").collect()}
+    copies = F.coalesce(F.element_at(F.from_json(F.lit(json.dumps(hot)), "map<string,int>"), F.col("shard").cast("string")), F.lit(1)) if hot else F.lit(1)
+    table = table.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
     lines = lines.withColumn("shard", F.pmod(F.xxhash64("lo"), F.lit(shards)).cast("int"))
-    lines = lines.withColumn("copy", F.pmod(F.xxhash64("id", "hi"), F.get(times, F.col("shard"))).cast("int"))
+    lines = lines.withColumn("copy", F.pmod(F.xxhash64("id", "hi"), copies).cast("int"))
 
     def run(own: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(shard):
@@ -163,18 +166,20 @@ def line_dedup(
     min_docs: int = 10,
     min_chars: int = 1,
     shard_keys: int = 1 << 18,
-    max_shards: int = 4096,
     probe_rows: int = 1 << 20,
 ) -> DataFrame:
     """df with n_lines, n_dropped and kept_text, replacing columns of these names.
 
-    Drops follow from the keys alone, so rows that share an id get the drops of all of them, which are right for each.
+    Drops follow from the keys alone, so rows that share id and text get the same drops, which are right for each.
     """
     df = df.drop(*({"n_lines", "n_dropped", "kept_text"} - {text, id_col}))
-    drops = frequent_lines(df, text, id_col, min_docs, min_chars, shard_keys, max_shards, probe_rows)
+    columns, key = df.columns, free_name(df, "_row_key")
+    df = df.withColumn(key, F.xxhash64(id_col, text))  # rows without an id, or with one id, meet by their texts only
+    drops = frequent_lines(df, text, key, min_docs, min_chars, shard_keys, probe_rows)
     drops = drops.groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("keys")).withColumnRenamed("id", "drop_id")
     name = free_name(df, "_drops")
-    joined = df.join(drops.withColumnRenamed("keys", name), df[id_col].eqNullSafe(F.col("drop_id")), "left").drop("drop_id")
+    joined = df.join(drops.withColumnRenamed("keys", name), df[key] == F.col("drop_id"), "left").select(*columns, name)
+    df = df.select(*columns)
     place = df.columns.index(text)
     added = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())]
 
