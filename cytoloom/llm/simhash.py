@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, free_name, materialize
+from .common import SPACE_CHARS, free_name, materialize, set_aside
 from .components import connected_components
 
 BITS = 64
@@ -90,7 +90,7 @@ def with_fingerprints(df: DataFrame, text: str = "text", id_col: str = "doc_id",
             ends = pa.array(np.arange(len(fps) + 1, dtype=np.int32) * blocks)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["doc_id", "fp"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = df.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp array<long>")
 
 
@@ -403,7 +403,7 @@ def near_roots(
 
 def near_components(df: DataFrame, text: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
     """(doc_id, component_id) for each row of df, by similarity (Jaccard) of the sets of word shingles; how as for near_roots()."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_node(text).alias("node"))
+    rows = df.select(F.col(id_col).try_cast("long").alias("doc_id"), text_node(text).alias("node"))
     stars = near_roots(df, text, **how)
     least = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
@@ -416,6 +416,8 @@ def drop_near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_i
     Rows with one id but different texts, null ids among them, are told apart by their texts. Only rows that are equal in all
     columns of plain types are left to chance.
     """
+    names = df.columns
+    df, back = set_aside(df, (text, id_col))
     node, row, root, n = (free_name(df, c) for c in ("_node", "_row", "_root", "_n"))
     plain = [F.col(c).cast("string") for c, t in df.dtypes if not t.startswith(("map", "variant"))]
     rows = df.withColumns({node: text_node(text), row: F.xxhash64(*plain)})
@@ -427,4 +429,5 @@ def drop_near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_i
     same = (rows[node] == first[f"{root}_node"]) & (rows[row] == first[f"{root}_row"]) & rows[id_col].eqNullSafe(first[f"{root}_id"])
     found = rows.join(first, same)
     repeated = found.where(F.col(f"{root}_n") > 1).dropDuplicates([root])
-    return found.where(F.col(f"{root}_n") == 1).select(*df.columns).unionByName(repeated.select(*df.columns))
+    kept = found.where(F.col(f"{root}_n") == 1).select(*df.columns).unionByName(repeated.select(*df.columns))
+    return kept.withColumnsRenamed(back).select(*names)
