@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, language_id, lines, mixing, quality, sentencepiece, simhash, substrings, topk_search, warc
-from .common import checkpoint_dir, materialize, read_table
+from .common import checkpoint_dir, read_table
 
 #: Words of a text and lines in DuckDB.
 SQL_WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
@@ -88,12 +88,11 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    features = materialize(quality.quality_features(documents).drop("text"))
-    judged = quality.quality_verdicts(features, quality.language_references(features))
+    judged = quality.quality_rules(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"
-    )
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"),
+    )
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +112,35 @@ def _sql_replaced(column: str, pairs) -> str:
 
 #: Keys of lines: stripped of white space at both ends, A-Z in lower case.
 _KEY = r"translate(regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_JS = "(CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2({q} / (({p} + {q}) / 2)) ELSE 0 END)"
+#: Characters of a text by kind.
+_COUNT_OF = {k: f"length(regexp_replace(text, '[^{c}]', '', 'g'))" for k, c in (("symbols", "#*$%&|<>"), ("upper", r"\p{Lu}"), ("digit", r"\p{Nd}"), ("mark", r"\p{P}\p{S}"))}
+_CLASSES = ("c0", "c1", "c2", "c3", "c4")
 ORACLE_SQL: dict[str, str] = {
+    "op9_quality_rules": rf"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS text, {SQL_WORDS.format("text")} AS w FROM documents),
+        f AS (SELECT k, doc_id, lang, text, w, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {_COUNT_OF["symbols"]} AS n_symbols,
+                     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS own, length(text) AS chars,
+                     {_COUNT_OF["upper"]} AS c0, {_COUNT_OF["digit"]} AS c1, {_COUNT_OF["mark"]} AS c2 FROM d),
+        c AS (SELECT * EXCLUDE (text), chars - coalesce(word_chars, 0) AS c3, chars - c0 - c1 - c2 - (chars - coalesce(word_chars, 0)) AS c4 FROM f),
+        g AS (SELECT k, i, array_to_string(w[i:i + 2], ' ') AS t FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM c WHERE n_words > 2)),
+        r AS (SELECT k, count(DISTINCT i + j) AS n_repeat FROM (SELECT k, i FROM g QUALIFY count(*) OVER (PARTITION BY k, t) > 1), (SELECT unnest(range(0, 3)) AS j) GROUP BY k),
+        u AS (SELECT k, lang, n_words, unnest(w) AS word FROM c), s AS (SELECT lang, word, count(*) AS n FROM u WHERE lang IS NOT NULL AND length(word) <= 5 GROUP BY ALL),
+        listed AS (SELECT DISTINCT word FROM (SELECT word FROM s QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 24)),
+        l AS (SELECT lang, sum(n_words) AS n, {", ".join(f"sum({x}) / sum(chars) AS q{x}" for x in _CLASSES)} FROM c WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n_words) > 0),
+        q AS (SELECT l.lang, listed.word, coalesce(s.n, 0) / l.n AS q FROM l CROSS JOIN listed LEFT JOIN s ON s.lang = l.lang AND s.word = listed.word),
+        p AS (SELECT k, word, count(*) / any_value(n_words) AS p FROM u JOIN listed USING (word) GROUP BY k, word),
+        wd AS (SELECT c.k, q.lang, sum(CASE WHEN q > 0 THEN {_JS.format(p="coalesce(p, 0)", q="q")} ELSE 0 END) AS js, greatest(0, 1 - sum(CASE WHEN q > 0 THEN coalesce(p, 0) ELSE 0 END)) AS po, greatest(0, 1 - sum(q)) AS qo
+               FROM c CROSS JOIN q LEFT JOIN p ON p.k = c.k AND p.word = q.word WHERE c.n_words > 0 GROUP BY ALL),
+        w1 AS (SELECT k, min(sqrt(greatest(0, (js + {_JS.format(p="po", q="qo")}) / 2))) AS word_distance FROM wd GROUP BY k),
+        c1 AS (SELECT k, min(sqrt(greatest(0, ({" + ".join(_JS.format(p=f"({x} / chars)", q=f"q{x}") for x in _CLASSES)}) / 2))) AS class_distance FROM c, l WHERE chars > 0 GROUP BY k),
+        v AS (SELECT doc_id, n_words::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, (len(own) - len(list_distinct(own)))::BIGINT AS n_dup_lines,
+                     coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, class_distance, word_distance, chars FROM c LEFT JOIN r USING (k) LEFT JOIN w1 USING (k) LEFT JOIN c1 USING (k)),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM v)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND NOT coalesce(chars >= 200 AND class_distance > 0.28, false) AND NOT coalesce(n_words >= 100 AND word_distance > {quality.MAX_WORD_DISTANCE}, false) AS kept,
+               round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance FROM b""",
     "op1_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
