@@ -2,6 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs.
 All but the last return the columns of documents.
+
+Defined results
+---------------
+* Null and blank texts fail the quality rules and go in the first stage. A stage on its own takes them: a null text is one empty line,
+  all blank texts are copies of one another, and they have no words to mix.
+* Rows with null or repeated ids are rows like others; what tells them apart is their text. Repeated rows are near copies: one stays.
+  Ties go by id, null last, then by a hash of the row.
+* Texts are taken whole, however long. Further columns of documents come back as they were, whatever their names; n_chars follows the
+  text where lines went. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytoloom.llm import lines, mixing, quality, sentencepiece, simhash
-from cytoloom.llm.common import checkpoint_dir, read_table
+from cytoloom.llm.common import checkpoint_dir, read_table, set_aside
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +31,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand in ten documents or more go from every text; n_chars follows."""
-    found = lines.line_dedup(docs)
-    text = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return found.withColumns({k: v for k, v in text.items() if k in docs.columns}).select(docs.columns)
+    own, back = set_aside(docs, ("doc_id", "text"))
+    kept = [F.col("kept_text").alias("text") if c == "text" else F.col(c) for c in own.columns]
+    found = lines.line_dedup(own).select(*kept).withColumnsRenamed(back)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
