@@ -47,9 +47,9 @@ def column_kinds(df: DataFrame, columns: list[str], max_levels: int = 10) -> Dat
     levels = df.select(pairs.alias("p")).select("p.*").where("v IS NOT NULL").groupBy("column", "number", "v").agg(F.count("*").alias("n"))
     first = levels.withColumn("k", F.row_number().over(W.partitionBy("column").orderBy(F.xxhash64("v"), "v"))).where(F.col("k") <= max_levels + 1)
     found = first.groupBy("column", "number").agg(F.count("*").alias("n"), F.bool_and(F.col("v").isin(*YES_NO)).alias("plain"))
-    kind = F.when(F.col("plain") & (F.col("n") <= 2), "binary").when(~F.col("number") | (F.col("n") <= max_levels), "categorical").otherwise("continuous")
+    kind = F.when(F.col("n").isNull() | (F.col("plain") & (F.col("n") <= 2)), "binary").when(~F.col("number") | (F.col("n") <= max_levels), "categorical").otherwise("continuous")
     every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    return every.join(found, "column", "left").select("column", F.coalesce(kind, F.lit("binary")).alias("kind"))
+    return every.join(found, "column", "left").select("column", kind.alias("kind"))
 
 
 def zero_filled(counts: DataFrame, samples: DataFrame, by: str = "sample_id") -> DataFrame:
