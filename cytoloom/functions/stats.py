@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .draws import first_by_hash
+from .percentiles import placed_values
 
 TINY = 1e-300
 DOUBLE = T.DoubleType()
@@ -121,17 +122,8 @@ def value_ranks(rows: DataFrame, keys: list[str], value: str, ranges: int = 256)
     rows have a boolean column ``one``. Equal values are counted together before anything is ordered.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count_if("one").alias("ones"), F.count_if(~F.col("one")).alias("twos"))
-    ends = counts.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
-    counts = counts.join(ends, keys) if keys else counts.crossJoin(F.broadcast(ends))  # one row
-    share = F.when(F.col("_hi") > F.col("_lo"), (F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    counts = counts.withColumn("_part", F.floor(share * ranges)).drop("_lo", "_hi")
-    n = F.col("ones") + F.col("twos")
-    sums = counts.groupBy(*keys, "_part").agg(F.sum(n).alias("_n"))
-    before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    sums = sums.select(*keys, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.sum(n).over(W.partitionBy(*keys, "_part").orderBy("v").rowsBetween(W.unboundedPreceding, -1))
-    counts = counts.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(sums, [*keys, "_part"])
-    return counts.select(*keys, F.col("v").alias(value), "ones", "twos", (F.col("_before") + F.col("_inside")).alias("below"))
+    placed = placed_values(counts.withColumn("n", F.col("ones") + F.col("twos")), keys, ranges)
+    return placed.select(*keys, F.col("v").alias(value), "ones", "twos", "below")
 
 
 def rank_sum(rows: DataFrame, one: Column, keys: list[str], value: str = "value") -> DataFrame:
@@ -256,20 +248,11 @@ def rank_sum_against_first(rows: DataFrame, group: str, first, value: str = "val
     return rank_sum(both, F.col("_one"), [group], value).withColumn("stars", stars(F.col("p")))
 
 
-def contact_enrichment(table: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """table (of contact_table()) with p_out and p_in: that so many query cells, or more, touch the reference by chance, and the reverse.
-
-    A query type's touching cells are draws out of all cells; white ones are the cells of the other type.
-    """
-    out = table.withColumn("p_out", upper_hypergeometric("query_cells", "n_query", "n", "ref_cells_drawn"))
-    return out.withColumn("p_in", upper_hypergeometric("ref_cells", "n_ref", "n", "query_cells_drawn"))
-
-
-def drawn_cells(table: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """table with the draws: all cells that touch the reference type, and all that touch the query type."""
-    touching = F.sum("query_cells").over(W.partitionBy(*keys, "ref"))
-    touched = F.sum("ref_cells").over(W.partitionBy(*keys, "query"))
-    return table.withColumns({"ref_cells_drawn": touching, "query_cells_drawn": touched})
+def contact_enrichment(table: DataFrame) -> DataFrame:
+    """table (of contact_table()) with p_out and p_in: the chance of as many touching cells, or more, of the query type among as many
+    draws from all cells as the reference has cells, and the same with the types' parts exchanged."""
+    out = table.withColumn("p_out", upper_hypergeometric("query_cells", "n_query", "n", "n_ref"))
+    return out.withColumn("p_in", upper_hypergeometric("ref_cells", "n_ref", "n", "n_query"))
 
 
 def minus_log10(tests: DataFrame, p: str = "p", keys: tuple[str, ...] = (), out: str = "minus_log10") -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cytoloom.functions.percentiles import percentiles
+
 
 def qc_totals(expr: DataFrame) -> DataFrame:
     """(cell_id, total_counts, n_genes)."""
@@ -85,7 +87,7 @@ def log_normalise(expr: DataFrame, scale: float = 1e4, log: bool = True) -> Data
 def volume_normalise(expr: DataFrame, volumes: DataFrame) -> DataFrame:
     """log1p of value / volume * median volume; volumes (cell_id, volume) of 0 or less count as 1e-6."""
     safe = volumes.select("cell_id", F.when(F.col("volume") <= 0, F.lit(1e-6)).otherwise(F.col("volume")).alias("_v"))
-    middle = safe.agg(F.expr("percentile(_v, 0.5)").alias("_mid"))
+    middle = percentiles(safe, [], "_v", {"_mid": 0.5})
     joined = expr.join(safe, "cell_id").crossJoin(F.broadcast(middle))  # one row
     return joined.withColumn("norm", F.log1p(F.col("value") / F.col("_v") * F.col("_mid"))).drop("_v", "_mid")
 
@@ -105,7 +107,8 @@ def pearson_residuals(expr: DataFrame, theta: float = 100.0) -> DataFrame:
 
 def group_summary(expr: DataFrame, group: str = "celltype") -> DataFrame:
     """(group, feature, value): medians; if the medians of any feature sum to 0 over the groups, means for all."""
-    both = expr.groupBy(group, "feature").agg(F.expr("percentile(value, 0.5)").alias("_median"), F.avg("value").alias("_mean"))
+    means = expr.groupBy(group, "feature").agg(F.avg("value").alias("_mean"))
+    both = percentiles(expr, [group, "feature"], "value", {"_median": 0.5}).join(means, [group, "feature"])
     sums = both.groupBy("feature").agg((F.sum("_median") == 0).alias("_zero")).agg(F.max("_zero").alias("_use_mean"))
     pick = F.when(F.col("_use_mean"), F.col("_mean")).otherwise(F.col("_median"))
     return both.crossJoin(F.broadcast(sums)).select(group, "feature", pick.alias("value"))  # one row
@@ -136,7 +139,7 @@ def template_phenotypes(expr: DataFrame, template: DataFrame, group: str = "cell
 
     A marker is high if the group's median, standardised over the groups, is above 0. Only the last sign is taken off a marker.
     """
-    medians = expr.groupBy(group, "feature").agg(F.expr("percentile(value, 0.5)").alias("value"))
+    medians = percentiles(expr, [group, "feature"], "value", {"value": 0.5})
     high = zscore(medians).select(group, "feature", F.when(F.col("z") > 0, "+").otherwise("-").alias("sign"))
     needs = template.select("celltype_name", F.explode(F.split("markers", r"\s*,\s*")).alias("m"))
     needs = needs.select("celltype_name", F.expr("substring(m, 1, length(m) - 1)").alias("feature"), F.expr("right(m, 1)").alias("need"))

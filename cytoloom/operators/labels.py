@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cytoloom.functions.draws import draw_quotas
+from cytoloom.functions.percentiles import percentiles
 
 
 def classifier_labels(df: DataFrame, column: str) -> DataFrame:
@@ -154,7 +155,7 @@ def file_summary(frames: dict[str, DataFrame]) -> DataFrame:
 def import_figures(expr: DataFrame, metadata_columns: int) -> DataFrame:
     """(cells, genes, metadata_columns, median_counts) of a long expression table."""
     totals = expr.groupBy("cell_id").agg(F.sum("value").alias("t"))
-    counts = totals.agg(F.count("*").alias("cells"), F.percentile("t", F.lit(0.5)).alias("median_counts"))
+    counts = totals.agg(F.count("*").alias("cells")).join(percentiles(totals, [], "t", {"median_counts": 0.5}), how="left")
     genes = expr.select("feature").distinct().agg(F.count("*").alias("genes"))
     return counts.crossJoin(genes).withColumn("metadata_columns", F.lit(metadata_columns).cast("long"))  # one row each
 
@@ -178,10 +179,10 @@ def head(df: DataFrame, n: int, *order) -> DataFrame:
 def colour_range(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99, few: int = 100, out: str = "colour") -> DataFrame:
     """df with the value clipped to two of its percentiles; unclipped if it has no more than ``few`` distinct values.
 
-    The percentiles come from counts of distinct values; whether these are few is decided by counting at most few + 1 of them.
+    Whether distinct values are few is decided by counting at most few + 1 of them.
     """
     distinct = df.select(value).where(F.col(value).isNotNull()).distinct().limit(few + 1).agg((F.count("*") > few).alias("_many"))
-    ends = df.agg(F.percentile(value, F.lit(low)).alias("_lo"), F.percentile(value, F.lit(high)).alias("_hi"))
+    ends = percentiles(df, [], value, {"_lo": low, "_hi": high})
     clipped = F.greatest(F.col("_lo"), F.least(F.col("_hi"), F.col(value)))
     joined = df.crossJoin(F.broadcast(ends.crossJoin(distinct)))  # one row
     return joined.withColumn(out, F.when(F.col(value).isNotNull(), F.when(F.col("_many"), clipped).otherwise(F.col(value)))).drop("_lo", "_hi", "_many")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cytoloom.functions.percentiles import percentiles
+
 from .gates import affine
 from .neighbors import neighbor_pairs
 
@@ -45,7 +47,7 @@ def one_to_one(matches: DataFrame) -> DataFrame:
 
 def match_figures(matches: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """(pairs, rate_a, rate_b, median_dist): matches in per cent of each side to one place, the median distance to two."""
-    found = matches.agg(F.count("*").alias("pairs"), F.percentile("dist", F.lit(0.5)).alias("m"))
+    found = matches.agg(F.count("*").alias("pairs")).join(percentiles(matches, [], "dist", {"m": 0.5}), how="left")  # one row each
     sizes = left.agg(F.count("*").alias("n_a")).crossJoin(right.agg(F.count("*").alias("n_b")))  # one row each
     rate = lambda n: F.when(F.col(n) > 0, F.round(100 * F.col("pairs") / F.col(n), 1))
     return found.crossJoin(sizes).select("pairs", rate("n_a").alias("rate_a"), rate("n_b").alias("rate_b"), F.round("m", 2).alias("median_dist"))

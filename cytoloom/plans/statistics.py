@@ -26,8 +26,7 @@ RANKS = f"""WITH {COARSE}, g AS (SELECT feature, value, celltype IN {ONE} AS one
 def tested(spark, sf_dir):
     cells = vectors(spark, sf_dir)
     expr = expression(spark, sf_dir).withColumn("value", F.round("value", 1))
-    positive = expr.withColumn("value", F.col("value"))
-    return S.differential_expression(positive, cells, F.col("celltype").isin(*ONE), F.col("celltype").isin(*TWO))
+    return S.differential_expression(expr, cells, F.col("celltype").isin(*ONE), F.col("celltype").isin(*TWO))
 
 
 @query(f"""{RANKS} SELECT feature, n1::BIGINT AS n1, n2::BIGINT AS n2, u::DOUBLE AS u, round((away - 0.5 * sign(away)) / sd, 6) AS z, round(pct1, 6) AS pct1, round(pct2, 6) AS pct2 FROM u""")
@@ -121,9 +120,7 @@ TAIL = f"""exp({CHOOSE.format(n="white", k="k")} + {CHOOSE.format(n="(total - wh
     SELECT sample_id, ref, query, round(least(1, coalesce(p, 0)), 6) AS p FROM h LEFT JOIN q USING (sample_id, ref, query)""")
 def hypergeometric(spark, sf_dir):
     """That so many cells of the query type, or more, are among as many draws as the reference has cells."""
-    t = contacts(spark, sf_dir)
-    p = S.upper_hypergeometric("query_cells", "n_query", "n", "n_ref")
-    return t.select("sample_id", "ref", "query", F.round(p, 6).alias("p"))
+    return S.contact_enrichment(contacts(spark, sf_dir)).select("sample_id", "ref", "query", F.round("p_out", 6).alias("p"))
 
 
 HASHED = "md5('{seed}:' || cell_id::VARCHAR)"
