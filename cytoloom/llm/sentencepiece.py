@@ -40,7 +40,7 @@ MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters below this have a row of their own in the table of pairs; the space mark has one, and all others share one.
 OWN_ROWS = 0x600
-BATCH_ROWS, BATCH_BYTES, STRETCH = 1 << 14, 8 << 20, 1 << 17
+BATCH_ROWS, BATCH_BYTES, STRETCH = 1 << 14, 4 << 20, 1 << 17
 #: Pairs of pieces whose relation is remembered.
 KNOWN_PAIRS = 1 << 18
 
@@ -77,7 +77,7 @@ class Model:
     NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
     UNIGRAM, BPE = 1, 2
 
-    def __init__(self, data: bytes, cache_words: int = 200_000, cache_chars: int = 48):
+    def __init__(self, data: bytes, cache_words: int = 100_000, cache_chars: int = 48):
         self.kind, self.prefix, self.squeeze, self.unknown = self.UNIGRAM, True, True, 0
         pieces = []
         for number, value in wire_fields(data):
@@ -295,6 +295,10 @@ class Model:
             cache.update((w, f) for w, f in new.items() if len(w) <= self.cache_chars)
         return found
 
+    def forget(self) -> None:
+        """Drop what is remembered; a Python worker lives on after its task, beside the next stages' workers."""
+        self.cache, self.older, self.known = {}, {}, {}
+
     def normalised(self, texts: pa.Array) -> pa.Array:
         """Texts with space marks for spaces; null texts are empty."""
         texts = pc.fill_null(texts, "")
@@ -361,7 +365,7 @@ class Model:
         return out
 
 
-#: Models that this Python worker has loaded, by the SHA-256 of their bytes: caches live on from task to task.
+#: Models that this Python worker has loaded, by the SHA-256 of their bytes. They stay from task to task, their caches don't.
 _loaded: dict[str, Model] = {}
 
 
@@ -400,9 +404,12 @@ def _mapped(df: DataFrame, column: str, added: dict[str, T.DataType], model_path
 
     def run(batches):
         model = _loaded.get(key) or load(data.value, key)
-        for batch in (part for whole in batches for part in _pieces(whole, place)):
-            columns = dict(zip(batch.schema.names, batch.columns)) | dict(zip(added, make(model, batch.column(place))))
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        try:
+            for batch in (part for whole in batches for part in _pieces(whole, place)):
+                columns = dict(zip(batch.schema.names, batch.columns)) | dict(zip(added, make(model, batch.column(place))))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        finally:
+            model.forget()
 
     fields = {f.name: f for f in df.schema.fields} | {c: T.StructField(c, t) for c, t in added.items()}
     return df.mapInArrow(run, T.StructType(list(fields.values())))
