@@ -202,39 +202,56 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def bucket_links(
-    fps: np.ndarray, starts: np.ndarray, radius: int, tile_batch: int = 1 << 16, small: int = 0, group: np.ndarray | None = None
-) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest inside each bucket, as places in fps; starts holds where buckets begin.
-
-    Buckets of up to small fingerprints give all their links. With a group of each fingerprint, all links between groups come.
+class Buckets:
+    """The fingerprints of buckets that hold more than one; places are where they stood. starts holds where buckets begin."""
+
+    def __init__(self, fps: np.ndarray, starts: np.ndarray):
+        sizes = np.diff(np.append(starts, len(fps)))
+        keep = np.repeat(sizes > 1, sizes)
+        self.places, self.fps, self.sizes = np.flatnonzero(keep), fps[keep], sizes[sizes > 1]
+
+    def pairs(self, radius: int, tile_batch: int):
+        """(a, b), by batches of comparisons: those within the radius, each once; so few are held at a time, however many there are."""
+        if not len(self.fps):
+            return
+        sliced = BitPlanes(self.fps, np.cumsum(self.sizes) - self.sizes, self.sizes)
+        query, word = sliced.tiles()
+        for k in range(0, len(query), tile_batch):
+            q, w = query[k : k + tile_batch], word[k : k + tile_batch]
+            tile, hits = within(sliced.planes, sliced.used, self.fps[q], w, radius)
+            lanes = np.unpackbits(hits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            row, lane = np.nonzero(lanes)
+            a, b = q[tile[row]], sliced.member[w[tile[row]], lane]
+            yield a[a < b], b[a < b]
+
+
+def bucket_links(fps: np.ndarray, starts: np.ndarray, radius: int, tile_batch: int = 1 << 14, small: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest inside each bucket, as places in fps. Buckets of up to small fingerprints give all their links.
+
+    Pairs join the forest as they are found and are forgotten, so that a bucket of copies never holds all its pairs.
     """
-    sizes = np.diff(np.append(starts, len(fps)))
-    large = sizes > 1
-    keep = np.repeat(large, sizes)
-    places, fps, sizes = np.flatnonzero(keep), fps[keep], sizes[large]
-    if not len(fps):
-        return places, places
-    starts = np.cumsum(sizes) - sizes
-    sliced = BitPlanes(fps, starts, sizes)
-    query, word = sliced.tiles()
-    group = None if group is None else group[keep]
-    found = []
-    for k in range(0, len(query), tile_batch):
-        q, w = query[k : k + tile_batch], word[k : k + tile_batch]
-        tile, hits = within(sliced.planes, sliced.used, fps[q], w, radius)
-        lanes = np.unpackbits(hits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        row, lane = np.nonzero(lanes)
-        a, b = q[tile[row]], sliced.member[w[tile[row]], lane]
-        once = a < b if group is None else (a < b) & (group[a] != group[b])
-        found.append((a[once], b[once]))
+    own = Buckets(fps, starts)
+    root, whole = np.arange(len(own.fps)), np.repeat(own.sizes <= small, own.sizes)
+    found = [(root[:0], root[:0])]
+    for a, b in own.pairs(radius, tile_batch):
+        few = whole[a]
+        found.append((a[few], b[few]))
+        a, b = root[a[~few]], root[b[~few]]
+        apart = a != b
+        if apart.any():
+            root = forest(len(root), a[apart], b[apart])[root]
     a, b = (np.concatenate(x) for x in zip(*found))
-    if group is not None:
-        return places[a], places[b]
-    whole = np.repeat(sizes <= small, sizes)[a]
-    root = forest(len(fps), a[~whole], b[~whole])
-    tied = np.flatnonzero(root != np.arange(len(fps)))
-    return places[np.append(tied, a[whole])], places[np.append(root[tied], b[whole])]
+    tied = np.flatnonzero(root != np.arange(len(root)))
+    return own.places[np.append(tied, a)], own.places[np.append(root[tied], b)]
+
+
+def between_links(fps: np.ndarray, starts: np.ndarray, radius: int, group: np.ndarray, tile_batch: int = 1 << 13):
+    """All links of each bucket whose ends are in different groups, as places in fps, by batches."""
+    own = Buckets(fps, starts)
+    for a, b in own.pairs(radius, tile_batch):
+        a, b = own.places[a], own.places[b]
+        apart = group[a] != group[b]
+        yield a[apart], b[apart]
 
 
 def links(
@@ -267,26 +284,25 @@ def links(
             cut = int(np.flatnonzero(new)[-1]) if len(frame) else 0
             rest = frame.iloc[cut:]
             if cut:
-                yield done(frame.iloc[:cut], new[:cut])
+                yield from done(frame.iloc[:cut], new[:cut])
         if rest is not None and len(rest):
-            yield done(rest, np.arange(len(rest)) == 0)
+            yield from done(rest, np.arange(len(rest)) == 0)
 
     def done(frame, new):
         nodes = frame["node"].to_numpy(np.int64)
         parts = frame["part"].to_numpy(np.int64) if between else None
         fps = np.concatenate(frame["fp"].to_numpy()).astype(np.int64).view(np.uint64).reshape(-1, blocks)
         starts = np.flatnonzero(new)
-        out = []
         at = 0
         while at < len(starts):  # whole buckets, about batch_rows at a time
             to = max(at + 1, int(np.searchsorted(starts, starts[at] + batch_rows)))
             end = starts[to] if to < len(starts) else len(fps)
             some = slice(starts[at], end)
-            a, b = bucket_links(fps[some], starts[at:to] - starts[at], radius, small=small, group=parts[some] if between else None)
-            out.append((nodes[some][a], nodes[some][b]))
+            one = (fps[some], starts[at:to] - starts[at], radius)
+            for a, b in between_links(*one, parts[some]) if between else [bucket_links(*one, small=small)]:
+                u, v = nodes[some][a], nodes[some][b]
+                yield pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
             at = to
-        u, v = (np.concatenate(x) for x in zip(*out))
-        return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "u long, v long").distinct()
 
