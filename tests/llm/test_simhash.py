@@ -136,3 +136,29 @@ def test_null_and_repeated_ids_with_different_texts(spark):
     assert out == [(0, "d1x0"), (0, "d2x0"), (0, "d6x0"), (5, "d4x0"), (5, "d5x0"), (7, "d3x0")]
     kept = {r["text"] for r in simhash.drop_near_duplicates(df.repartition(2)).collect()}
     assert kept == {r["text"] for r in simhash.drop_near_duplicates(df).collect()}
+
+
+def test_components_of_random_graphs_equal_a_plain_search(spark):
+    import random
+
+    from cytoloom.llm.components import connected_components
+
+    rng = random.Random(3)
+    chain = [(k, k + 1) for k in range(1000, 1060)]
+    hub = [(2000, k) for k in range(2001, 2100)]
+    loose = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)]
+    for edges in (chain + hub + loose + loose[:5] + [(5000, 5000), (None, 7)], [(2, 1), (3, 1)], []):
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            if a is not None and a != b:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+        expected = sorted((x, find(x)) for x in root if find(x) != x)
+        found = connected_components(spark.createDataFrame(edges, "u long, v long"))
+        assert sorted(map(tuple, found.collect())) == expected
