@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_id, lines, mixing, quality, sentencepiece, simhash, substrings, topk_search, warc
+from . import chat, divergence, language_id, lines, mixing, quality, sentencepiece, simhash, substrings, topk_search, warc
 from .common import checkpoint_dir, read_table
 
 #: Words of a text and lines in DuckDB.
@@ -95,13 +95,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read_table(spark, sf_dir, "documents").select("lang", "source", "text"), min_docs=30, top=50)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_sentencepiece, op3_simhash, op4_warc, op5_chat_format, op6_substring_dedup, op7_language_id, op8_line_dedup, op9_quality_rules, op10_mix_sources, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_sentencepiece, op3_simhash, op4_warc, op5_chat_format, op6_substring_dedup, op7_language_id, op8_line_dedup, op9_quality_rules, op10_mix_sources, op11_source_divergence, pipeline)}
 
 
 def _sql_replaced(column: str, pairs) -> str:
@@ -141,6 +145,23 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND NOT coalesce(chars >= 200 AND class_distance > 0.28, false) AND NOT coalesce(n_words >= 100 AND word_distance > {quality.MAX_WORD_DISTANCE}, false) AS kept,
                round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance FROM b""",
+    "op11_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        u AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+        t AS (SELECT lang, term, count(*) AS n FROM u GROUP BY lang, term HAVING count(DISTINCT k) >= 30),
+        c AS (SELECT lang, source, term, count(*) AS n FROM u SEMI JOIN t USING (lang, term) GROUP BY ALL),
+        l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM t GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d), s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(s.total, 0) + 5 * l.v) AS p,
+                     1 + (1000000000::HUGEINT * (t.n + 5)) // (l.total + 5 * l.v) AS q
+              FROM g JOIN t USING (lang) JOIN l USING (lang) LEFT JOIN s ON s.lang = g.lang AND s.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term),
+        o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN (SELECT a.lang, a.source AS s, b.source AS o, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL) AS x
+              ON x.lang = a.lang AND x.s = a.source AND x.o = b.source
+              UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM o)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank FROM r WHERE part = 'pair' OR rank <= 50""",
     "op1_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
