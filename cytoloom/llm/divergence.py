@@ -12,8 +12,8 @@ is absent from nearly all groups, and there p is one number of the group, p0. So
 The first three come from each group's counts of equal p, the last from pairs inside posting lists of at most ``light`` groups, which are
 summed in the task before anything is shuffled. Dense and sparse sums are whole numbers and are added.
 
-On Spark: one pass over the texts counts terms by group inside each task (a table of at most ``hold`` terms, then it is handed on); a
-hot language or source is met as one row per task and term. What grows with languages and sources is joined, not collected.
+On Spark: one pass over the texts counts terms inside each task (a table of about ``hold`` terms of groups, then it is handed on), and one row
+per task and term is shuffled, whichever language or source is hot. What grows with languages and sources is joined, not collected.
 
 Defined results
 ---------------
@@ -29,6 +29,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -39,32 +40,66 @@ from .terms import LETTERS, terms_of
 PAIR = "lang string, source string, other string, value long"
 
 
-def term_counts(docs: DataFrame, hold: int = 200_000) -> DataFrame:
-    """(lang, source, term, docs, n): documents of the group that hold the term, and its occurrences; the row of the term '' counts the
-    group's documents, so that groups without terms are there too."""
-
-    def rows(held: dict) -> pd.DataFrame:
-        out = [(lang, source, t, d, n[t]) for (lang, source), (n, in_docs) in held.items() for t, d in in_docs.items()]
-        return pd.DataFrame(out, columns=["lang", "source", "term", "docs", "n"])
-
-    def count(frames):
-        held: dict = {}
-        for f in frames:
-            for lang, source, text in zip(f["lang"], f["source"], f["text"]):
-                n, in_docs = held.setdefault((lang, source), (Counter(), Counter()))
-                own = terms_of(text, LETTERS)
-                n.update(own)
-                in_docs.update({b"", *own})
-            if sum(len(d) for _, d in held.values()) > hold:
-                yield rows(held)
-                held = {}
-        if held:
-            yield rows(held)
+class Held:
+    """Counts of one task: per group the occurrences of terms, per language the documents that hold them."""
+
+    def __init__(self):
+        self.groups: dict[str, dict[str, Counter]] = {}
+        self.docs: dict[str, Counter] = {}
+
+    def add(self, lang: str, source: str, text: bytes | None) -> None:
+        own = terms_of(text, LETTERS)
+        own.append(b"")  # a group without terms has this one
+        self.groups.setdefault(lang, {}).setdefault(source, Counter()).update(own)
+        self.docs.setdefault(lang, Counter()).update(set(own))
+
+    def size(self) -> int:
+        return sum(len(c) for by_source in self.groups.values() for c in by_source.values())
+
+    def batches(self):
+        """Per language a batch with one row per term: its documents, the sources that hold it, and its occurrences in each."""
+        for lang, docs in self.docs.items():
+            place = {t: k for k, t in enumerate(docs)}
+            names, counts = list(self.groups[lang]), list(self.groups[lang].values())
+            term = np.concatenate([np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in counts])
+            source = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+            order = np.argsort(term, kind="stable")
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(docs)))]), pa.int32())
+            n = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in counts])[order]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([lang] * len(docs), pa.string()),
+                    pa.array(list(docs), pa.binary()),
+                    pa.array(np.fromiter(docs.values(), np.int64, len(docs))),
+                    pa.ListArray.from_arrays(ends, pa.array(names, pa.string()).take(pa.array(source[order]))),
+                    pa.ListArray.from_arrays(ends, pa.array(n)),
+                ],
+                ["lang", "term", "docs", "sources", "ns"],
+            )
+
+
+def term_counts(docs: DataFrame, min_docs: int, hold: int = 300_000) -> DataFrame:
+    """(lang, source, term, n): the occurrences of each kept term in the groups that hold it. The term '' stands once in each group, so that
+    groups without terms are there too. One shuffle, by language and term, of a row for each task and term."""
+
+    def count(batches):
+        held = Held()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for row in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns]):
+                    held.add(*row)
+                if held.size() > hold:
+                    yield from held.batches()
+                    held = Held()
+        yield from held.batches()
 
     own = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     texts = docs.select(own("lang").alias("lang"), own("source").alias("source"), own("text").cast("binary").alias("text"))
-    counted = texts.mapInPandas(count, "lang string, source string, term binary, docs long, n long")
-    return counted.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    rows = texts.mapInArrow(count, "lang string, term binary, docs long, sources array<string>, ns array<long>")
+    rows = rows.withColumn("term", F.col("term").cast("string")).withColumn("all_docs", F.sum("docs").over(W.partitionBy("lang", "term")))
+    rows = rows.where((F.col("all_docs") >= min_docs) | (F.col("term") == ""))
+    each = rows.select("lang", "term", F.explode(F.arrays_zip(F.col("sources").alias("source"), F.col("ns").alias("n"))).alias("e")).select("lang", "term", "e.*")
+    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -108,6 +143,8 @@ def block_pairs(f: pd.DataFrame, sums) -> pd.DataFrame:
         one.append(np.full(len(others), g))
         two.append(others)
         values.append(sums(g, others) if len(others) else np.zeros(0, np.int64))
+    if not sum(map(len, values)):
+        return pd.DataFrame()
     return pair_rows(f["lang"].iloc[0], names[np.concatenate(one)], names[np.concatenate(two)], np.concatenate(values))
 
 
@@ -144,12 +181,12 @@ def divergence(
 ) -> DataFrame:
     """(lang, source, part, item, value, rank): part `pair`, every other source of the language and the sum of differences to it, largest
     first; part `term`, the ``top`` terms that the source gives more weight than its language, and by how much."""
-    counts = materialize(term_counts(docs))
     by_term = W.partitionBy("lang", "term")
-    held = counts.where("term <> ''").withColumns(
-        {"lang_docs": F.sum("docs").over(by_term), "lang_n": F.sum("n").over(by_term), "n_groups": F.count("*").over(by_term), "first": F.min("source").over(by_term) == F.col("source")}
+    counts = term_counts(docs, min_docs).withColumns(
+        {"lang_n": F.sum("n").over(by_term), "heavy": F.count("*").over(by_term) > light, "first": F.min("source").over(by_term) == F.col("source")}
     )
-    held = materialize(held.where(F.col("lang_docs") >= min_docs).select("lang", "source", "term", "n", "lang_n", (F.col("n_groups") > light).alias("heavy"), "first"))
+    counts = materialize(counts)
+    held = counts.where("term <> ''")
 
     kept = held.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count_if("first").alias("v"), F.count_if(F.col("first") & F.col("heavy")).alias("n_heavy"))
     totals = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
