@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cytoloom.functions.mixtures import high_share, two_normals
 from cytoloom.functions.percentiles import percentiles
 
 
@@ -134,6 +135,16 @@ def marker_signature(expr: DataFrame, group: str = "celltype", low: float = 0.05
     return out.groupBy(group).agg(F.array_join(F.sort_array(F.collect_list(F.concat("feature", sign))), ",").alias("signature"))
 
 
+def _satisfied(high: DataFrame, template: DataFrame, group: str) -> DataFrame:
+    """(group, phenotype): the names of the template rows all of whose signs a group has in (group, feature, sign)."""
+    needs = template.select("celltype_name", F.explode(F.split("markers", r"\s*,\s*")).alias("m"))
+    needs = needs.select("celltype_name", F.expr("substring(m, 1, length(m) - 1)").alias("feature"), F.expr("right(m, 1)").alias("need"))
+    size = needs.groupBy("celltype_name").agg(F.count("*").alias("size"))
+    met = high.join(needs, "feature").where("sign = need").groupBy(group, "celltype_name").agg(F.count("*").alias("met"))
+    full = met.join(size, "celltype_name").where("met = size")
+    return full.groupBy(group).agg(F.array_join(F.sort_array(F.collect_list("celltype_name")), ",").alias("phenotype"))
+
+
 def template_phenotypes(expr: DataFrame, template: DataFrame, group: str = "celltype") -> DataFrame:
     """(group, phenotype): the template rows (celltype_name, markers like ``CD3+,CD4-``) that a group satisfies, or Unannotated.
 
@@ -141,12 +152,7 @@ def template_phenotypes(expr: DataFrame, template: DataFrame, group: str = "cell
     """
     medians = percentiles(expr, [group, "feature"], "value", {"value": 0.5})
     high = zscore(medians).select(group, "feature", F.when(F.col("z") > 0, "+").otherwise("-").alias("sign"))
-    needs = template.select("celltype_name", F.explode(F.split("markers", r"\s*,\s*")).alias("m"))
-    needs = needs.select("celltype_name", F.expr("substring(m, 1, length(m) - 1)").alias("feature"), F.expr("right(m, 1)").alias("need"))
-    size = needs.groupBy("celltype_name").agg(F.count("*").alias("size"))
-    met = high.join(needs, "feature").where("sign = need").groupBy(group, "celltype_name").agg(F.count("*").alias("met"))
-    full = met.join(size, "celltype_name").where("met = size")
-    names = full.groupBy(group).agg(F.array_join(F.sort_array(F.collect_list("celltype_name")), ",").alias("phenotype"))
+    names = _satisfied(high, template, group)
     every = expr.select(group).distinct()
     return every.join(names, group, "left").select(group, F.coalesce("phenotype", F.lit("Unannotated")).alias("phenotype"))
 
@@ -157,3 +163,17 @@ def joint_features(a: DataFrame, b: DataFrame, pairs: DataFrame, weight: float =
         "pair_id", F.concat(F.lit(tag), "feature").alias("feature"), (F.col("z") * w).alias("value")
     )
     return part(a, "a_id", weight, "a_").unionByName(part(b, "b_id", 1 - weight, "b_"))
+
+
+def template_phenotypes_by_mixture(expr: DataFrame, template: DataFrame, group: str = "celltype", compat: bool = False) -> DataFrame:
+    """(group, phenotype): as template_phenotypes(), but a marker is high if its group's median is more likely of the higher of two normal
+    components of the feature; groups that satisfy no row are Unannotated_ and their name.
+
+    The components are fitted to the values of all cells; compat fits them to the groups' medians.
+    """
+    medians = percentiles(expr, [group, "feature"], "value", {"value": 0.5})
+    model = two_normals(medians if compat else expr, ["feature"], "value")
+    high = high_share(medians, model, ["feature"], "value").select(group, "feature", F.when(F.col("high") > 0.5, "+").otherwise("-").alias("sign"))
+    named = _satisfied(high, template, group)
+    every = expr.select(group).distinct()
+    return every.join(named, group, "left").select(group, F.coalesce("phenotype", F.concat(F.lit("Unannotated_"), F.col(group).cast("string"))).alias("phenotype"))
