@@ -10,11 +10,13 @@ from pyspark.sql import Window as W
 
 
 def placed_values(counts: DataFrame, keys: list[str], ranges: int = 256) -> DataFrame:
-    """counts (keys, v, n) with below: how many rows of the group have a smaller value. In two levels: ranges of value, then inside a range."""
-    ends = counts.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
-    counts = counts.join(ends, keys) if keys else counts.crossJoin(F.broadcast(ends))  # one row
-    share = F.when(F.col("_hi") > F.col("_lo"), (F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    counts = counts.withColumn("_part", F.floor(share * ranges)).drop("_lo", "_hi")
+    """counts (keys, v, n), one row per value, with below: how many rows of the group have a smaller value. In two levels: ranges, then inside a range.
+
+    Ranges end at approximate quantiles of the group's distinct values, so each holds about as many of them, however skewed they are.
+    """
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx("v", [k / ranges for k in range(1, ranges)], 50 * ranges).alias("_cuts"))
+    counts = counts.join(cuts, keys) if keys else counts.crossJoin(F.broadcast(cuts))  # one row
+    counts = counts.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("v")))).drop("_cuts")
     sums = counts.groupBy(*keys, "_part").agg(F.sum("n").alias("_n"))
     before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     sums = sums.select(*keys, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
@@ -26,8 +28,8 @@ def placed_values(counts: DataFrame, keys: list[str], ranges: int = 256) -> Data
 def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """(keys, one column per name): exact percentiles with linear interpolation; nulls don't count, groups without values are left out.
 
-    Equal values are counted together with map-side combine, and a value's place comes from sums by ranges, so that no task holds or
-    sorts all values of a group.
+    Equal values are counted together with map-side combine, and a value's place comes from sums by ranges, so that a task sorts one range
+    of a group's distinct values, not all.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
     placed = placed_values(counts, keys)

@@ -90,18 +90,36 @@ def exact_rank_sum(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DOUBLE)
 def upper_hypergeometric(hits: pd.Series, white: pd.Series, total: pd.Series, draws: pd.Series) -> pd.Series:
-    """The probability of at least so many white ones among the draws without replacement."""
+    """The probability of at least so many white ones among the draws without replacement.
+
+    Terms follow from each other by their ratio, outwards from the largest one of the tail, so the time grows with the deviation of the number of
+    white ones, not with the draws.
+    """
 
     def choose(n, k):
         return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
 
+    def terms(k, end, step, ratio):
+        """The terms after k over that of k, until the next would change nothing."""
+        term, out = 1.0, 0.0
+        while k != end:
+            term *= ratio(k)
+            if term < 1e-17 * (1 + out):
+                break
+            out += term
+            k += step
+        return out
+
     def one(c, w, n, d):
-        low, high = max(c, 0, d - (n - w)), min(w, d)
+        low, high = int(max(c, 0, d - (n - w))), int(min(w, d))
         if low > high:
             return 0.0
-        logs = [choose(w, k) + choose(n - w, d - k) - choose(n, d) for k in range(int(low), int(high) + 1)]
-        top = max(logs)
-        return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
+        if low == max(0, d - (n - w)):
+            return 1.0
+        k = min(max(low, int((w + 1) * (d + 1) / (n + 2))), high)  # the largest term of the tail
+        up = terms(k, high, 1, lambda j: (w - j) * (d - j) / ((j + 1) * (n - w - d + j + 1)))
+        down = terms(k, low, -1, lambda j: j * (n - w - d + j) / ((w - j + 1) * (d - j + 1)))
+        return min(1.0, math.exp(choose(w, k) + choose(n - w, d - k) - choose(n, d)) * (1 + up + down))
 
     return pd.Series([one(*x) for x in zip(hits, white, total, draws)], dtype="float64")
 
@@ -288,14 +306,17 @@ def distance_effect(cells: DataFrame, n: int = 200, seed: int = 42) -> DataFrame
     return ks_greater(near.unionByName(far), F.col("_one"), ["ref", "query"], "dist")
 
 
-def bootstrap_median(rows: DataFrame, keys: list[str], value: str = "value", draws: int = 100, seed: int = 42, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """(keys, low, middle, high): percentiles of the medians of resampled values, and the median; groups are samples, so small.
+def bootstrap_median(rows: DataFrame, keys: list[str], value: str = "value", draws: int = 100, seed: int = 42, low: float = 0.025, high: float = 0.975, most: int = 100_000) -> DataFrame:
+    """(keys, low, middle, high): percentiles of the medians of resampled values, and the median.
 
-    Draws are by hash of seed, keys and place, so reruns agree.
+    Meant for groups of samples, which are held whole: a group of more than ``most`` values raises an error. Draws are by the md5 sum of seed, keys,
+    draw and place, so reruns agree.
     """
     lists = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_v"))
+    lists = lists.withColumn("_v", F.when(F.size("_v") > most, F.raise_error(F.lit(f"a group has more than {most} values"))).otherwise(F.col("_v")))
     lists = lists.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    pick = lambda i: F.get("_v", F.pmod(F.xxhash64(F.lit(seed), *keys, "_b", i), F.size("_v")).cast("int"))
+    place = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("_b").cast("string"), i.cast("string"))), 1, 13), 16, 10).cast("long")
+    pick = lambda i: F.get("_v", (place(i) % F.size("_v")).cast("int"))
     drawn_values = F.sort_array(F.transform(F.sequence(F.lit(1), F.size("_v")), pick))
     middle = lambda a: (F.get(a, F.expr(f"(size({a}) - 1) div 2").cast("int")) + F.get(a, F.expr(f"size({a}) div 2").cast("int"))) / 2
     lists = lists.withColumn("_d", drawn_values).withColumn("_m", middle("_d")).withColumn("_own", middle("_v"))

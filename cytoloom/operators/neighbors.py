@@ -43,6 +43,17 @@ def neighbors_within(cells: DataFrame, radius: float, inner: float | None = None
     return neighbor_pairs(cells, cells, radius, inner, keys)
 
 
+def _squares(df: DataFrame, ends, size: float) -> DataFrame:
+    return df.withColumns({g: F.floor((F.col(c) - F.lit(float(ends[f"lo_{c}"] or 0.0))) / size) for g, c in (("gx", "x"), ("gy", "y"))})
+
+
+def _crowded(df: DataFrame, keys: tuple[str, ...], ends, size: float, most: int) -> float:
+    """The share of cells in squares that hold more than ``most``, where smaller squares would divide them; copies of one place count once."""
+    places = _squares(df.select(*keys, "x", "y").distinct(), ends, size).groupBy(*keys, "gx", "gy").agg(F.count("*").alias("n"))
+    found = places.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") > most, F.col("n"))).alias("full")).first()
+    return (found["full"] or 0) / max(1, found["all"] or 0)
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int, same: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, src, src_type, dst, dst_type, d2, rank): the k nearest of right for each cell of left, ties by dst; same leaves out the cell itself.
 
@@ -50,23 +61,26 @@ def nearest(left: DataFrame, right: DataFrame, k: int, same: bool = False, keys:
     nearest lie within s times the root of 2, so the three by three squares of side 2 s around it hold them all. The level of each
     square is found from counts of squares; then one equi-join on (level, square) finds the candidates. Right cells are copied to
     the levels that some square near them asks for, as a rule one or two. The plan is the same for any number of cells; one
-    aggregate, of the extent and the number of rows, runs before it. A cell far from all others looks at a large part of the table.
+    aggregate, of the extent and the number of rows, runs before it, and one count of squares for each size tried. A cell far from all others
+    looks at a large part of the table; the others' squares don't depend on it. Copies of one place are all compared with each other.
     """
     need = k + int(same)
     at = "x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)"
     side = lambda df: df.where(at).select(*keys, "cell_id", "celltype", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     left, right = side(left), side(right)
     ends = [f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]
-    both = left.select("x", "y").unionByName(right.select("x", "y")).agg(*ends, F.count("*").alias("n")).first()
-    wide, high = (float(both[f"hi_{c}"] - both[f"lo_{c}"]) if both["n"] else 0.0 for c in "xy")
-    extent = max(wide, high)
-    base = max(math.sqrt(max(wide, extent / 1e3) * max(high, extent / 1e3) * 2 * need / max(1, both["n"])), extent / 2**40) or 1.0
+    middle = [F.percentile_approx(c, [0.05, 0.95], 1000).alias(f"mid_{c}") for c in "xy"]
+    both = left.select("x", "y").unionByName(right.select("x", "y")).agg(*ends, *middle, F.count("*").alias("n")).first()
+    extent = max(float(both[f"hi_{c}"] - both[f"lo_{c}"]) for c in "xy") if both["n"] else 0.0
+    # Squares start at a size that would suit cells spread evenly over where most of them are, and shrink while too many are crowded.
+    wide, high = (float(both[f"mid_{c}"][1] - both[f"mid_{c}"][0]) if both["n"] else 0.0 for c in "xy")
+    most, finest = max(wide, high) or extent, extent / 2**48
+    base = max(math.sqrt(max(wide, most / 1e3) * max(high, most / 1e3) * 2 * need / max(1, both["n"])), finest) or 1.0
+    while base > finest and _crowded(right, keys, both, base, 8 * need) > 0.05:
+        base = max(base / 8, finest)
     top = max(0, math.ceil(math.log2(max(1.0, extent / base))) + 1)
 
-    def squares(df: DataFrame) -> DataFrame:
-        return df.withColumns({g: F.floor((F.col(c) - F.lit(float(both[f"lo_{c}"] or 0.0))) / base) for g, c in (("gx", "x"), ("gy", "y"))})
-
-    left, right = squares(left), squares(right)
+    left, right = _squares(left, both, base), _squares(right, both, base)
     levels = F.explode(F.sequence(F.lit(0), F.lit(top)))
     coarse = lambda g: F.expr(f"shiftright({g}, level)")
     counts = right.groupBy(*keys, "gx", "gy").agg(F.count("*").alias("n"))

@@ -114,9 +114,9 @@ def cluster_summary(spark, sf_dir):
     return L.cluster_summary(load(spark, sf_dir, "documents"), "lang").withColumns(r6("fraction"))
 
 
-@query("SELECT lang, count(*) AS n, arg_min(source, doc_id) AS batch FROM documents WHERE source IS NOT NULL GROUP BY lang")
+@query("SELECT lang, count(*) AS n, arg_min(coalesce(source, ''), doc_id) AS batch FROM documents GROUP BY lang")
 def sample_summary(spark, sf_dir):
-    rows = load(spark, sf_dir, "documents").where("source IS NOT NULL").withColumnRenamed("source", "batch")
+    rows = load(spark, sf_dir, "documents").withColumn("batch", F.coalesce("source", F.lit("")))
     return L.sample_summary(rows, "lang", "batch", "doc_id")
 
 
@@ -262,10 +262,11 @@ def joint_features(spark, sf_dir):
     return E.joint_features(expr, expr, pairs, 0.4).withColumns(r6("value"))
 
 
-@query(f"WITH {EXPR} SELECT DISTINCT feature FROM expr WHERE cell_id < 100")
+@query(f"WITH {EXPR} SELECT DISTINCT feature FROM expr")
 def feature_union(spark, sf_dir):
+    """The features of two modalities: even and odd cells."""
     expr = expression(spark, sf_dir)
-    return M.all_features(expr.where("cell_id < 50"), expr.where("cell_id >= 50 AND cell_id < 100"))
+    return M.all_features(expr.where("cell_id % 2 = 0"), expr.where("cell_id % 2 <> 0"))
 
 
 @query(f"WITH {EVENTS} SELECT sample_id, trunc(min(x))::INT AS x_min, trunc(max(x))::INT AS x_max, trunc(min(y))::INT AS y_min, trunc(max(y))::INT AS y_max FROM cells GROUP BY sample_id")

@@ -15,7 +15,7 @@ from cytoloom.sources import sinks as K
 from cytoloom.sources import tables as T
 from cytoloom.sources.folders import scratch_folder
 
-from .common import lines, load, r6, registry
+from .common import EXPR, expression, lines, load, r6, registry
 from .labels import MATRICES, matrices
 from .tables import GATED, GATES
 
@@ -98,6 +98,21 @@ def folder_scan(spark, sf_dir):
     return T.read_folder(spark, folder).select("name", F.col("k").cast("long").alias("k"))
 
 
+@query("""SELECT r_name AS sample, n_name AS name, n_nationkey::BIGINT AS k, CASE WHEN n_regionkey % 2 = 0 THEN n_nationkey * 0.5::DOUBLE END AS score FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_regionkey <> 4""")
+def companion_scan(spark, sf_dir):
+    """Files of different headers, in folders that name a sample; the files of the last region have no sample and are left out."""
+    folder = scratch_folder(spark, "companions")
+    regions = load(spark, sf_dir, "region")
+    rows = load(spark, sf_dir, "nation").join(F.broadcast(regions), F.col("r_regionkey") == F.col("n_regionkey"))  # one row per region
+    parts = {"even": ("n_nationkey", "n_name", "score"), "odd": ("n_name", "n_nationkey")}
+    for k, (name, columns) in enumerate(parts.items()):
+        own = rows.where(F.col("n_regionkey") % 2 == k).withColumn("score", F.col("n_nationkey") * 0.5)
+        own.select(F.concat(F.lit("scan of "), "r_name", F.lit(" 1")).alias("of"), *columns).write.partitionBy("of").option("header", True).csv(f"{folder}/{name}")
+    samples = regions.where("r_regionkey <> 4").select(F.col("r_name").alias("sample"))
+    found = T.read_companions(spark, folder, samples, "*.csv", newest_only=False)
+    return found.select("sample", F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("k"), F.col("score").cast("double").alias("score"))
+
+
 SCORES = {"l_suppkey": "Sample Name", "l_returnflag": "First Cell Compartment", "l_linestatus": "First Stain Component", "l_shipdate": "Second Cell Compartment", "l_linenumber": "Second Stain Component", "l_tax": "CD3 Threshold", "l_quantity": "Number of Cells"}
 
 
@@ -121,12 +136,12 @@ def matrix_file(spark, sf_dir):
     return T.read_matrix(spark, written(square, spark, "matrix"), "m1").select("matrix", "ref", "query", "value")
 
 
-TEMPLATE = [("early", "g00+,g01-"), ("T cell", "HLA-DR+, CD3+"), ("odd", "CD4-")]
-
-
-@query("SELECT * FROM (VALUES ('early', 'g00', '+'), ('early', 'g01', '-'), ('T cell', 'HLA-DR', '+'), ('T cell', 'CD3', '+'), ('odd', 'CD4', '-')) AS t(celltype_name, marker, sign)")
+@query(f"WITH {EXPR} SELECT 'type ' || celltype AS celltype_name, feature AS marker, CASE WHEN avg(value) > 0 THEN '+' ELSE '-' END AS sign FROM expr GROUP BY celltype, feature")
 def template_file(spark, sf_dir):
-    rows = spark.createDataFrame(TEMPLATE, "CELLTYPE string, MARKERS string")
+    """A template that asks of each type the signs of its own means, written as a file and read again."""
+    means = expression(spark, sf_dir).groupBy("celltype", "feature").agg(F.avg("value").alias("m"))
+    signs = F.concat("feature", F.when(F.col("m") > 0, "+").otherwise("-"))
+    rows = means.groupBy(F.concat(F.lit("type "), "celltype").alias("CELLTYPE")).agg(F.array_join(F.sort_array(F.collect_list(signs)), ", ").alias("MARKERS"))
     return T.template_markers(T.read_template(spark, written(rows, spark, "template")))
 
 
@@ -186,14 +201,14 @@ def provenance(spark, sf_dir):
 
 @query()
 def demo_autocorrelation(spark, sf_dir):
-    """Moran's I over the demonstration tissue; genes 51 to 53 follow the place."""
-    cells = T.demo_cells(spark, 800)
+    """Moran's I over a demonstration tissue of one cell for each vector; genes 51 to 53 follow the place."""
+    cells = T.demo_cells(load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")))
     return S.morans_i(N.knn_edges(cells, 10), T.demo_expression(cells, 60).select("cell_id", "feature", "value")).select("feature", "i", "p_adj").withColumns(r6("i"))
 
 
-_NAMES = ["Centroid X µm", "Nucleus: DAPI (DAPI): Mean", "Cell: CD3: Mean", "Area"]
-
-
-@query("SELECT * FROM (VALUES ('Centroid X µm', 'centroid_x_um'), ('Nucleus: DAPI (DAPI): Mean', 'nucleus_dapi_dapi_mean'), ('Cell: CD3: Mean', 'cell_cd3_mean'), ('Area', 'area')) AS t(name, snake)")
+@query("SELECT DISTINCT p_brand || ': ' || p_type || ' (µm)' AS name, trim(regexp_replace(replace(lower(p_brand || ': ' || p_type || ' (µm)'), 'µm', 'um'), '[^a-z0-9]+', '_', 'g'), '_') AS snake FROM part")
 def snake_names(spark, sf_dir):
-    return spark.createDataFrame(list(zip(_NAMES, P.snake(_NAMES))), "name string, snake string")
+    """Column names made of the brands and types of parts; the names of a table's columns are a list on the driver."""
+    found = load(spark, sf_dir, "part").select(F.concat("p_brand", F.lit(": "), "p_type", F.lit(" (µm)")).alias("name")).distinct()
+    given = [r["name"] for r in found.collect()]  # brands x types
+    return spark.createDataFrame(list(zip(given, P.snake(given))), "name string, snake string")

@@ -84,12 +84,12 @@ def morans_i_compat(spark, sf_dir):
 
 
 
-@query("""WITH c AS (SELECT l_linestatus AS g, l_returnflag AS flag, l_extendedprice::DOUBLE AS x FROM lineitem WHERE l_linenumber < 4),
+@query("""WITH c AS (SELECT l_linestatus AS g, l_returnflag AS flag, l_extendedprice::DOUBLE AS x FROM lineitem),
     s AS (SELECT flag, g, count(*) AS n, avg(x) AS m, var_samp(x) AS v FROM c GROUP BY ALL), two AS (SELECT flag FROM s GROUP BY flag HAVING count(*) = 2),
     p AS (SELECT flag, sum(v / n) AS se2, sum((v / n) ** 2 / (n - 1)) AS down, (min_by(m, g) - max_by(m, g)) AS diff FROM s JOIN two USING (flag) GROUP BY flag)
     SELECT flag, round(diff / sqrt(se2), 6) AS t, round(se2 * se2 / down, 4) AS df2 FROM p""")
 def welch_t(spark, sf_dir):
-    rows = load(spark, sf_dir, "lineitem").where("l_linenumber < 4").select("l_linestatus", F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").cast("double").alias("x"))
+    rows = load(spark, sf_dir, "lineitem").select("l_linestatus", F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").cast("double").alias("x"))
     return S.compare_groups(rows, "l_linestatus", "x", ("flag",)).where("groups = 2").select("flag", F.round("t", 6).alias("t"), F.round("df2", 4).alias("df2"))
 
 
@@ -114,13 +114,14 @@ CHOOSE = "(lgamma({n}::DOUBLE + 1) - lgamma({k}::DOUBLE + 1) - lgamma({n}::DOUBL
 TAIL = f"""exp({CHOOSE.format(n="white", k="k")} + {CHOOSE.format(n="(total - white)", k="(draws - k)")} - {CHOOSE.format(n="total", k="draws")})"""
 
 
-@query(f"""WITH {CONTACTS}, d AS (SELECT sample_id, ref, query, query_cells, n_query, n, least(n_ref, n) AS draws FROM t),
-    h AS (SELECT sample_id, ref, query, query_cells::BIGINT AS hits, n_query::BIGINT AS white, n::BIGINT AS total, draws::BIGINT AS draws FROM d),
-    k AS (SELECT *, unnest(range(greatest(hits, 0, draws - (total - white)), least(white, draws) + 1)) AS k FROM h), q AS (SELECT sample_id, ref, query, sum({TAIL}) AS p FROM k GROUP BY ALL)
-    SELECT sample_id, ref, query, round(least(1, coalesce(p, 0)), 6) AS p FROM h LEFT JOIN q USING (sample_id, ref, query)""")
+@query(f"""WITH {CONTACTS}, h AS (SELECT sample_id, ref, query, 'p_out' AS side, query_cells::BIGINT AS hits, n_query::BIGINT AS white, n::BIGINT AS total, least(n_ref, n)::BIGINT AS draws FROM t
+        UNION ALL SELECT sample_id, ref, query, 'p_in', ref_cells::BIGINT, n_ref::BIGINT, n::BIGINT, least(n_query, n)::BIGINT FROM t),
+    k AS (SELECT *, unnest(range(greatest(hits, 0, draws - (total - white)), least(white, draws) + 1)) AS k FROM h), q AS (SELECT sample_id, ref, query, side, sum({TAIL}) AS p FROM k GROUP BY ALL)
+    SELECT sample_id, ref, query, round(least(1, coalesce(sum(p) FILTER (side = 'p_out'), 0)), 6) AS p, round(least(1, coalesce(sum(p) FILTER (side = 'p_in'), 0)), 6) AS p_in
+    FROM h LEFT JOIN q USING (sample_id, ref, query, side) GROUP BY sample_id, ref, query""")
 def hypergeometric(spark, sf_dir):
-    """That so many cells of the query type, or more, are among as many draws as the reference has cells."""
-    return S.contact_enrichment(contacts(spark, sf_dir)).select("sample_id", "ref", "query", F.round("p_out", 6).alias("p"))
+    """That so many cells of the query type, or more, are among as many draws as the reference has cells; and the same from the other side."""
+    return S.contact_enrichment(contacts(spark, sf_dir)).select("sample_id", "ref", "query", F.round("p_out", 6).alias("p"), F.round("p_in", 6).alias("p_in"))
 
 
 HASHED = "md5('{seed}:' || cell_id::VARCHAR)"
@@ -154,6 +155,16 @@ def bootstrap_middle(spark, sf_dir):
     return S.bootstrap_median(sums, ["kind"]).select("kind", "middle")
 
 
+@query("""WITH c AS (SELECT l_returnflag AS kind, l_linenumber AS k, sum(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY ALL), l AS (SELECT kind, list(v ORDER BY v) AS vs FROM c GROUP BY kind),
+    d AS (SELECT kind, b, vs[1 + (('0x' || substr(md5(concat_ws(':', 42, kind, b, i)), 1, 13))::BIGINT % len(vs))] AS v FROM l, range(1, 101) AS t(b), LATERAL (SELECT unnest(range(1, len(vs) + 1)) AS i)),
+    m AS (SELECT kind, b, median(v) AS m FROM d GROUP BY ALL), o AS (SELECT kind, median(v) AS middle FROM c GROUP BY kind)
+    SELECT kind, round(quantile_cont(m, 0.025), 6) AS low, middle, round(quantile_cont(m, 0.975), 6) AS high FROM m JOIN o USING (kind) GROUP BY kind, middle""")
+def bootstrap_band(spark, sf_dir):
+    """The median of each kind's sums over line numbers, with the band of the medians of 100 resampled sets."""
+    sums = load(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("kind"), "l_linenumber").agg(F.sum("l_quantity").cast("double").alias("value"))
+    return S.bootstrap_median(sums, ["kind"]).select("kind", F.round("low", 6).alias("low"), "middle", F.round("high", 6).alias("high"))
+
+
 @query(f"""WITH {EXPR}, m AS (SELECT celltype, feature, avg(value) AS m FROM expr GROUP BY ALL) SELECT celltype, feature, round(m, 6) AS m FROM m QUALIFY rank() OVER (PARTITION BY celltype ORDER BY m DESC) <= 5""")
 def top_markers(spark, sf_dir):
     means = expression(spark, sf_dir).groupBy("celltype", "feature").agg(F.avg("value").alias("m"))

@@ -7,12 +7,16 @@ stay lazy. A column whose every value reads as a number becomes a number when in
 from __future__ import annotations
 
 import csv
+import math
 import os
 import re
 from functools import reduce
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import names
 
@@ -79,8 +83,19 @@ def read_legacy(spark: SparkSession, path: str, infer: bool = True) -> DataFrame
 
 
 def with_row_ids(df: DataFrame, out: str = "row_id") -> DataFrame:
-    """df with an id per row, increasing in the order of the file; it holds as long as the file and its splits do."""
-    return df.withColumn(out, F.monotonically_increasing_id() + 1)
+    """df, as a reader gave it, with each row's place from 1 in the order of the files' paths and of the rows in them.
+
+    A row's place inside its block of a file comes from the order in which the task reads it; blocks are counted and summed up in order, one
+    row each. So ids are the same however files are split. Tables that aren't read from files get increasing ids with gaps.
+    """
+    try:
+        rows = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    except AnalysisException:
+        return df.withColumn(out, F.monotonically_increasing_id() + 1)
+    blocks = rows.groupBy("_path", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_path", "_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row per block of a file
+    rows = rows.join(blocks.select("_path", "_block", "_first", before.alias("_before")), ["_path", "_block"])
+    return rows.withColumn(out, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_path", "_block", "_at", "_first", "_before")
 
 
 def renamed(df: DataFrame) -> DataFrame:
@@ -113,9 +128,9 @@ def with_cell_ids(df: DataFrame, source: str | None = "cell_id", order: list[str
     text = F.col(source).cast("string")
     base = F.concat(F.lit("C"), F.when(F.length(text) < 7, F.lpad(text, 7, "0")).otherwise(text)) if numeric else text
     df = df.withColumn("_base", base)
-    from pyspark.sql import Window as W
-
-    place = F.row_number().over(W.partitionBy("_base").orderBy(*(order or [source])))
+    # Rows without an id stay without one; they are kept out of each other's window.
+    apart = F.when(F.col("_base").isNull(), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    place = F.row_number().over(W.partitionBy("_base", apart).orderBy(*(order or [source])))
     return df.withColumn(out, F.when(place > 1, F.concat("_base", F.lit("."), (place - 1).cast("string"))).otherwise(F.col("_base"))).drop("_base")
 
 
@@ -151,28 +166,79 @@ def read_matched_pair(spark: SparkSession, expression: str, metadata: str, least
     return matched_pair(read(expression), read(metadata), least)
 
 
-def read_folder(spark: SparkSession, folder: str, pattern: str = "*.csv", newest_only: bool = False, columns: list[str] | None = None) -> DataFrame:
-    """All files of a folder and its subfolders that match, by name, with file_name and the time they were changed.
+def file_headers(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """(file_path, header): the first line of each file of a folder and its subfolders that matches."""
+    lines = spark.read.options(recursiveFileLookup=True, pathGlobFilter=pattern).text(folder)
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = lines.select(F.col("_metadata.file_path").alias("file_path"), "value", at.alias("at")).where("at.block = 0")
+    return lines.groupBy("file_path").agg(F.ltrim(F.min_by("value", "at"), F.lit("\ufeff")).alias("header"))
+
 
-    newest_only keeps, of files with one name, those changed last; files are compared, not rows.
+def united(tables: list[DataFrame]) -> DataFrame:
+    """The rows of all tables by column name, in the order in which names come first; a table without a column has nulls there. Of
+    differing types, whole numbers become long, other numbers double, and all else text."""
+    types: dict[str, set[str]] = {}
+    for t in tables:
+        for name, kind in t.dtypes:
+            types.setdefault(name, set()).add(kind)
+    whole, numbers = {"tinyint", "smallint", "int", "bigint"}, {"float", "double"}
+    common = lambda kinds: next(iter(kinds)) if len(kinds) == 1 else "bigint" if kinds <= whole else "double" if kinds <= whole | numbers else "string"
+    cast = [t.select(*[F.col(f"`{n}`").cast(common(k)).alias(n) if n in t.columns else F.lit(None).cast(common(k)).alias(n) for n, k in types.items()]) for t in tables]
+    return reduce(DataFrame.union, cast)
+
+
+def read_folder(spark: SparkSession, folder: str, pattern: str = "*.csv", newest_only: bool = False, columns: list[str] | None = None, most_headers: int = 200) -> DataFrame:
+    """All files of a folder and its subfolders that match, by column name, with file_name, file_path and the time they were changed.
+
+    Files are grouped by their header and delimiter and each group is read under its own, so columns may stand in any order or be missing. The
+    headers' lines are found by a scan; more than ``most_headers`` different ones raise ValueError. newest_only keeps, of files with one
+    name, those changed last; files are compared, not rows.
     """
-    first = spark.read.format("text").options(recursiveFileLookup=True, pathGlobFilter=pattern, wholetext=False).load(folder)
-    line = first.limit(1).first()
-    if line is None:
+    found = file_headers(spark, folder, pattern).where("header <> ''").groupBy("header").agg(F.collect_list("file_path").alias("paths"))
+    groups = sorted(found.limit(most_headers + 1).collect())  # the reader keeps a list of all files on the driver anyway
+    if len(groups) > most_headers:
+        raise ValueError(f"the files have more than {most_headers} different headers")
+    if not groups:
         return spark.range(0).select()
-    line = line[0].lstrip("﻿")
-    sep = sniff(line, 2)
-    how = {"sep": sep, "header": True, "recursiveFileLookup": True, "pathGlobFilter": pattern, "nullValue": "NA", "inferSchema": True}
-    rows = spark.read.options(**how).csv(folder)
+    tables = []
+    for header, paths in groups:
+        sep = sniff(header, 2)
+        given = names.made_unique([n or f"V{k}" for k, n in enumerate(split_line(header, sep), 1)])
+        rows = spark.read.options(sep=sep, header=True, nullValue="NA", escape='"', inferSchema=True).csv(sorted(unquote(p) for p in paths))
+        rows = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(rows.columns, given)], file_name().alias("file_name"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("changed"))
+        tables.append(rows)
+    rows = united(tables)
     if columns:
-        rows = rows.select(*[F.col(f"`{c}`") for c in columns])
-    rows = rows.select("*", file_name().alias("file_name"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("changed"))
+        rows = rows.select(*[F.col(f"`{c}`") for c in columns], "file_name", "file_path", "changed")
+    else:
+        rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c not in ("file_name", "file_path", "changed")], "file_name", "file_path", "changed")
     if not newest_only:
         return rows
     best = rows.groupBy("file_name").agg(F.max_by("file_path", F.struct("changed", "file_path")).alias("file_path"))
     return rows.join(best, ["file_name", "file_path"], "left_semi").select(rows.columns)
 
 
+def companions(files: DataFrame, samples: DataFrame) -> DataFrame:
+    """(file_path, sample): files (file_path) and the samples (sample) whose names a folder or file of their path holds.
+
+    Names are met by equality with the pieces of a path's parts that are as long as some name, so nothing is compared with everything.
+    """
+    lengths = [r[0] for r in samples.select(F.length("sample").alias("n")).where("n > 0").distinct().collect()]  # of names: at most 255
+    parts = files.select("file_path").distinct().select("file_path", F.explode(F.split(F.regexp_replace("file_path", "^[a-z]+:/*", ""), "/")).alias("part"))
+    at = F.explode(F.array(*[F.lit(n) for n in lengths])) if lengths else F.explode(F.array().cast("array<int>"))
+    pieces = parts.withColumn("n", at).where(F.length("part") >= F.col("n")).withColumn("k", F.explode(F.expr("sequence(1, length(part) - n + 1)")))
+    pieces = pieces.select("file_path", F.expr("substring(part, k, n)").alias("sample")).distinct()
+    return pieces.join(samples.select("sample").distinct(), "sample").select("file_path", "sample")
+
+
+def read_companions(spark: SparkSession, folder: str, samples: DataFrame, pattern: str = "*score_data.txt", newest_only: bool = True) -> DataFrame:
+    """read_folder() with sample: the rows of a file once for each of the samples (sample) that its path names; other files are left out."""
+    rows = read_folder(spark, folder, pattern, newest_only)
+    if "file_path" not in rows.columns:
+        return rows
+    return rows.join(companions(rows.select("file_path").distinct(), samples), "file_path")
+
+
 def score_tables(scores: DataFrame, sample: str = "Sample Name") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of score rows: (stains with their compartments, mean thresholds by sample, whether a sample's values differ)."""
     part = lambda n: scores.select(F.col(sample), F.col(f"{n} Cell Compartment").alias("compartment"), F.col(f"{n} Stain Component").alias("component"))
@@ -226,15 +292,25 @@ def template_markers(template: DataFrame) -> DataFrame:
     return each.select("celltype_name", F.regexp_replace("m", r"[+-]$", "").alias("marker"), F.regexp_extract("m", r"[+-]$", 0).alias("sign"))
 
 
-def demo_cells(spark: SparkSession, cells: int = 3000, seed: int = 42) -> DataFrame:
-    """Cells of a demonstration tissue: five clusters of normal spread 100, with area, blank counts and field of view."""
+def uniform(*key: Column) -> Column:
+    """A number from 0 to 1, 1 excluded, by the hash of its key, so that reruns and other partitions agree."""
+    return F.shiftrightunsigned(F.xxhash64(*key), 11) / float(1 << 53)
+
+
+def normal(*key: Column) -> Column:
+    """A standard normal number by hashes of its key."""
+    return F.sqrt(-2 * F.log(1 - uniform(F.lit("size"), *key))) * F.cos(2 * math.pi * uniform(F.lit("angle"), *key))
+
+
+def demo_cells(ids: DataFrame, seed: int = 42) -> DataFrame:
+    """A cell of a demonstration tissue for each id: five clusters of normal spread 100, with area, blank counts and field of view."""
     places = [(200, 200, 0.30), (800, 200, 0.50), (500, 600, 0.70), (200, 800, 0.85), (800, 800, 1.00)]  # fixed values: centre, cumulative share
-    u = F.rand(seed)
-    df = spark.range(cells).withColumn("u", u)
+    key = lambda tag: (F.lit(seed), F.lit(tag), F.col("id"))
+    df = ids.select("id").withColumn("u", uniform(*key("cluster")))
     cluster = reduce(lambda acc, k: F.when(F.col("u") < places[k][2], k).otherwise(acc), reversed(range(len(places))), F.lit(len(places) - 1))
     centre = lambda axis: F.get(F.array(*[F.lit(float(p[axis])) for p in places]), F.col("cluster"))
-    df = df.withColumn("cluster", cluster).withColumns({"x": centre(0) + 100 * F.randn(seed + 1), "y": centre(1) + 100 * F.randn(seed + 2)})
-    area = F.exp(F.log(F.lit(200.0)) + 0.5 * F.randn(seed + 3))
+    df = df.withColumn("cluster", cluster).withColumns({"x": centre(0) + 100 * normal(*key("x")), "y": centre(1) + 100 * normal(*key("y"))})
+    area = F.exp(F.log(F.lit(200.0)) + 0.5 * normal(*key("area")))
     fov = F.when(F.col("x") < 500, 0).otherwise(1) + F.when(F.col("y") < 500, 0).otherwise(2)
     ids = F.concat(F.lit("cell_"), F.lpad((F.col("id") + 1).cast("string"), 5, "0"))
     return df.select(
@@ -245,7 +321,7 @@ def demo_cells(spark: SparkSession, cells: int = 3000, seed: int = 42) -> DataFr
 
 def poisson(rate: Column, steps: int, *key: Column) -> Column:
     """A Poisson draw by inversion of one hash-based uniform; ``steps`` bounds the values."""
-    u = (F.shiftrightunsigned(F.xxhash64(*key), 11) / float(1 << 53)).cast("double")
+    u = uniform(*key)
     start = F.struct(F.lit(0).alias("n"), F.exp(-rate).alias("p"), F.exp(-rate).alias("c"))
 
     def step(s, k):

@@ -60,7 +60,7 @@ def test_adjustment(spark):
 
 def test_demo_tissue(spark):
     """The demonstration tissue's own truth: markers of a cluster lead its tests, genes that follow the place lead autocorrelation."""
-    cells = T.demo_cells(spark, 500)
+    cells = T.demo_cells(spark.range(500))
     expr = T.demo_expression(cells, 60)
     found = S.differential_expression(expr, cells, F.col("celltype") == "C0", F.col("celltype") != "C0").orderBy("p_adj", F.desc("log2fc")).limit(10).collect()
     assert {r["feature"] for r in found} == {f"Gene_{k:03}" for k in range(1, 11)}
