@@ -172,20 +172,21 @@ def inside_share(x: Column, y: Column, r: Column, x0: Column, x1: Column, y0: Co
 
 
 def local_intensity(cells: DataFrame, bandwidth: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """cells with lam, their type's intensity at each of them: a product of Epanechnikov kernels of half-width ``bandwidth``, over the
-    kernel's mass inside the window. cells have the window's edges x0, x1, y0 and y1."""
-    by = (*keys, "kind")
-    own = cells.withColumn("kind", F.col("celltype"))
-    pairs = neighbor_pairs(own, own, bandwidth * 1.4142136, keys=by, carry=("x", "y"))
+    """cells with lam_own and lam_all, the intensities of their type and of all cells at each of them: a product of Epanechnikov kernels of
+    half-width ``bandwidth``, over the kernel's mass inside the window. cells have the window's edges x0, x1, y0 and y1."""
+    pairs = neighbor_pairs(cells, cells, bandwidth * 1.4142136, keys=keys, carry=("x", "y"))
     bump = lambda c: F.greatest(F.lit(0.0), 0.75 / bandwidth * (1 - F.pow((F.col(f"src_{c}") - F.col(f"dst_{c}")) / bandwidth, F.lit(2))))
-    sums = pairs.groupBy(*by, "src").agg(F.sum(bump("x") * bump("y")).alias("_sum")).withColumnsRenamed({"src": "cell_id", "kind": "celltype"})
+    pairs = pairs.withColumn("_bump", bump("x") * bump("y"))
+    own = F.sum(F.when(F.col("src_type") == F.col("dst_type"), F.col("_bump")))
+    sums = pairs.groupBy(*keys, F.col("src").alias("cell_id")).agg(own.alias("_own"), F.sum("_bump").alias("_all"))
 
     def upto(t: Column) -> Column:
         t = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), t / bandwidth))
         return 0.5 + 0.75 * t - 0.25 * t * t * t
 
     mass = lambda c: upto(F.col(f"{c}1") - F.col(c)) - upto(F.col(f"{c}0") - F.col(c))
-    return cells.join(sums, [*keys, "celltype", "cell_id"]).withColumn("lam", F.col("_sum") / (mass("x") * mass("y"))).drop("_sum")
+    inside = mass("x") * mass("y")
+    return cells.join(sums, [*keys, "cell_id"]).withColumns({"lam_own": F.col("_own") / inside, "lam_all": F.col("_all") / inside}).drop("_own", "_all")
 
 
 def pair_correlation(
@@ -206,31 +207,43 @@ def pair_correlation(
     window = window.withColumn("box", box).withColumns({"x0": F.col("x0") - 1, "x1": F.col("x1") + 1, "y0": F.col("y0") - 1, "y1": F.col("y1") + 1})
     window = window.withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
     window = window.withColumn("reach", stoyan / F.sqrt(F.col("_n") / F.col("area")))
-    both = at.select(*keys, "cell_id", "x", "y", "celltype").unionByName(at.select(*keys, "cell_id", "x", "y", F.lit("All").alias("celltype")))
-    both = both.join(window, keys_) if keys else both.crossJoin(F.broadcast(window))  # one row
-    both = local_intensity(both, bandwidth, keys)
+    placed = at.select(*keys, "cell_id", "x", "y", "celltype")
+    placed = placed.join(window, keys_) if keys else placed.crossJoin(F.broadcast(window))  # one row
+    placed = local_intensity(placed, bandwidth, keys)
     far = radius + (window.agg(F.max("reach")).first()[0] or 0.0)
 
-    first = lambda a, b: (F.col(a) == "All") | ((F.col(b) != "All") & (F.col(a) <= F.col(b)))
-    carry = ("x", "y", "lam", "x0", "x1", "y0", "y1", "area", "reach")
-    pairs = neighbor_pairs(both, both, far, keys=keys, carry=carry).where((F.col("src") != F.col("dst")) & first("src_type", "dst_type") & (F.col("d2") > 0))
+    # Every pair of cells is met once, and counts for All and All, All and a type, and both types. Its kernel is a parabola in the radius, so sums
+    # of w, w d and w d^2 from the first radius that it reaches to the last are all that is needed; pairs are summed by these two radii.
+    carry = ("x", "y", "lam_own", "lam_all", "x0", "x1", "y0", "y1", "reach")
+    pairs = neighbor_pairs(placed, placed, far, keys=keys, carry=carry).where((F.col("src") != F.col("dst")) & (F.col("d2") > 0))
     d = F.sqrt("d2")
-    edges = [F.col(f"src_{c}") for c in ("x0", "x1", "y0", "y1")]
-    weight = 1 / (F.col("src_lam") * F.col("dst_lam") * inside_share(F.col("src_x"), F.col("src_y"), d, *edges))
+    inside = inside_share(F.col("src_x"), F.col("src_y"), d, *[F.col(f"src_{c}") for c in ("x0", "x1", "y0", "y1")])
     low, high = F.ceil((d - F.col("src_reach")) / width), F.floor((d + F.col("src_reach")) / width)
-    low, high = F.greatest(F.lit(1), low), F.least(F.lit(steps - 1), high)
-    spread = pairs.select(*keys, F.col("src_type").alias("ref"), F.col("dst_type").alias("query"), d.alias("d"), weight.alias("w"), F.col("src_reach").alias("h"), F.col("src_area").alias("area"),
-                          F.explode(F.when(low <= high, F.sequence(low, high))).alias("step"))
-    kernel = 0.75 / F.col("h") * (1 - F.pow((F.col("step") * width - F.col("d")) / F.col("h"), F.lit(2)))
-    seen = spread.groupBy(*keys, "ref", "query", "step").agg(F.sum(F.greatest(F.lit(0.0), kernel) * F.col("w") / (2 * PI * F.col("step") * width * F.col("area"))).alias("g"))
-
-    sides = both.groupBy(*keys, "celltype").agg(F.count("*").alias("n"), F.sum(1 / F.col("lam")).alias("s"), F.first("box").alias("box"))
-    a = sides.select(*keys, F.col("celltype").alias("ref"), F.col("n").alias("n_a"), F.col("s").alias("s_a"), "box")
+    pairs = pairs.withColumns({"d": d, "inside": inside, "low": F.greatest(F.lit(1), low), "high": F.least(F.lit(steps - 1), high)}).where("low <= high")
+    kinds = (("all", "All", "All", ("all", "all")), ("one", "All", F.col("dst_type"), ("all", "own")), ("two", F.col("src_type"), F.col("dst_type"), ("own", "own")))
+    power = {0: F.lit(1.0), 1: F.col("d"), 2: F.col("d2")}
+    weight = lambda one, two: 1 / (F.col(f"src_lam_{one}") * F.col(f"dst_lam_{two}") * F.col("inside"))
+    sums = pairs.groupBy(*keys, "src_type", "dst_type", "low", "high").agg(*[F.sum(weight(*of) * x).alias(f"{name}{k}") for name, _, _, of in kinds for k, x in power.items()])
+    as_column = lambda x: F.lit(x) if isinstance(x, str) else x
+    part = lambda name, ref, query, step, sign: F.struct(as_column(ref).alias("ref"), as_column(query).alias("query"), step.cast("long").alias("step"), *[(sign * F.col(f"{name}{k}")).alias(f"s{k}") for k in power])
+    ends = [part(name, ref, query, step, sign) for name, ref, query, _ in kinds for step, sign in ((F.col("low"), 1.0), (F.col("high") + 1, -1.0))]
+    steps_of = sums.select(*keys, F.explode(F.array(*ends)).alias("e")).select(*keys, "e.*").where((F.col("ref") == "All") | (F.col("ref") <= F.col("query")))
+    steps_of = steps_of.groupBy(*keys, "ref", "query", "step").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in power])
+
+    first = lambda a, b: (F.col(a) == "All") | ((F.col(b) != "All") & (F.col(a) <= F.col(b)))
+    side = lambda kind, lam: placed.groupBy(*keys, kind.alias("celltype")).agg(F.count("*").alias("n"), F.sum(1 / F.col(lam)).alias("s"), *[F.first(c).alias(c) for c in ("box", "area", "reach")])
+    sides = side(F.col("celltype"), "lam_own").unionByName(side(F.lit("All"), "lam_all"))
+    a = sides.select(*keys, F.col("celltype").alias("ref"), F.col("n").alias("n_a"), F.col("s").alias("s_a"), "box", "area", "reach")
     b = sides.select(*keys, F.col("celltype").alias("query"), F.col("n").alias("n_b"), F.col("s").alias("s_b"))
     full = (a.join(b, keys_) if keys else a.crossJoin(b)).where(first("ref", "query"))  # types x types
     full = full.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))))
-    out = full.join(seen, [*keys, "ref", "query", "step"], "left").withColumn("min_count", F.least("n_a", "n_b"))
-    g = F.when(F.col("min_count") >= least, F.coalesce("g", F.lit(0.0)))
+    upto = W.partitionBy(*keys, "ref", "query").orderBy("step").rowsBetween(W.unboundedPreceding, 0)  # one row per radius
+    out = full.join(steps_of, [*keys, "ref", "query", "step"], "left").withColumns({f"s{k}": F.coalesce(F.sum(f"s{k}").over(upto), F.lit(0.0)) for k in power})
+    out = out.withColumn("min_count", F.least("n_a", "n_b"))
+    r, h2 = F.col("step") * width, F.col("reach") * F.col("reach")
+    kernel = 0.75 / F.col("reach") * (F.col("s0") + (2 * r * F.col("s1") - r * r * F.col("s0") - F.col("s2")) / h2)
+    curve = F.when(F.col("step") > 0, F.greatest(F.lit(0.0), kernel) / (2 * PI * r * F.col("area"))).otherwise(0.0)
+    g = F.when(F.col("min_count") >= least, curve)
     norm = g / (F.col("s_a") * F.col("s_b") / (F.col("box") * F.col("box")))
     return out.select(*keys, "ref", "query", "min_count", F.col("step").cast("int").alias("step"), (F.col("step") * width).alias("r"), g.alias("g"), norm.alias("norm_g"))
 
