@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cytoloom.functions.mixtures import two_normals
+from cytoloom.lineage import materialize
 from cytoloom.operators.communities import clusters, communities, modularity, named_by_size, snn_graph, sub_clusters
 from cytoloom.operators.decompositions import harmony, pca
 from cytoloom.operators.expression import template_phenotypes_by_mixture
+from cytoloom.operators.layouts import fuzzy_weights, neighbour_layout, spectral_layout
 from cytoloom.operators.vectors import nearest_vectors
 
 from .common import expression, lines, load, r6, registry
@@ -120,3 +122,33 @@ def mixture_phenotypes(spark, sf_dir):
     """Labels by a template whose signs come from mixtures of the features."""
     template = spark.createDataFrame([("first", "g00+,g01-"), ("second", "g02+"), ("third", "g00-,g02-")], "celltype_name string, markers string")
     return template_phenotypes_by_mixture(expression(spark, sf_dir).where("feature IN ('g00', 'g01', 'g02')"), template)
+
+
+def neighbours(spark, sf_dir):
+    """(src, dst, dist) to the 15 nearest vectors."""
+    return nearest_vectors(points(spark, sf_dir), 15).select("src", "dst", F.sqrt("d2").alias("dist"))
+
+
+@query(f"""WITH RECURSIVE {_knn(15)}, o AS (SELECT src, list(dist ORDER BY dist) AS ds, coalesce(min(dist) FILTER (dist > 0), 0) AS rho FROM e GROUP BY src),
+        b AS (SELECT src, 0 AS i, 0::DOUBLE AS lo, 'inf'::DOUBLE AS hi, 1::DOUBLE AS mid FROM o
+              UNION ALL SELECT src, i + 1, lo, hi, CASE WHEN isinf(hi) THEN mid * 2 ELSE (lo + hi) / 2 END
+              FROM (SELECT src, i, mid, CASE WHEN high THEN lo ELSE mid END AS lo, CASE WHEN high THEN mid ELSE hi END AS hi
+                    FROM (SELECT b.*, list_sum(list_transform(ds, lambda d: exp(-greatest(0, d - rho) / mid))) > log2(15) AS high FROM b JOIN o USING (src) WHERE i < 64))),
+        w AS (SELECT e.src, e.dst, exp(-greatest(0, dist - rho) / greatest(mid, 1e-12)) AS w FROM e JOIN o USING (src) JOIN b ON b.src = e.src AND b.i = 64)
+        SELECT least(src, dst) AS src, greatest(src, dst) AS dst, round(CASE WHEN count(*) > 1 THEN max(w) + min(w) - max(w) * min(w) ELSE max(w) END, 5) AS w FROM w GROUP BY ALL""")
+def fuzzy_links(spark, sf_dir):
+    """How surely two vectors are neighbours, from bandwidths of their own."""
+    return fuzzy_weights(neighbours(spark, sf_dir), 15).withColumns({"w": F.round("w", 5)})
+
+
+@query()
+def spectral_places(spark, sf_dir):
+    """Second and third eigenvector of the graph of neighbours; tests hold their residuals."""
+    return spectral_layout(neighbours(spark, sf_dir)).select(F.col("node").alias("cell_id"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query()
+def layout_places(spark, sf_dir):
+    """A layout by attraction and repulsion, from the vectors' first two components on."""
+    cells = points(spark, sf_dir).select(F.col("cell_id").alias("node"), F.get("v", F.lit(0)).alias("x"), F.get("v", F.lit(1)).alias("y"))
+    return neighbour_layout(materialize(neighbours(spark, sf_dir)), 15, rounds=20, start=cells).select(F.col("node").alias("cell_id"), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
