@@ -7,6 +7,6 @@ QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
 #: Queries that no SQL is given for; tests hold them against plain versions.
 UNTESTED_BY_SQL = (
-    "ring_correlation", "de_regulation", "circuit_permutation", "provenance", "demo_autocorrelation", "snn_communities", "divided_labels", "batch_corrected", "marker_mixtures", "mixture_phenotypes", "spectral_places",
+    "de_regulation", "provenance", "demo_autocorrelation", "snn_communities", "divided_labels", "batch_corrected", "marker_mixtures", "mixture_phenotypes", "spectral_places",
     "layout_places",
 )

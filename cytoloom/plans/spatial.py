@@ -200,6 +200,12 @@ def curve_areas(spark, sf_dir):
     return I.curve_areas(I.pair_subset(curves(spark, sf_dir), "view", "click")).withColumn("area", F.round("area", 5))
 
 
-@query()
+@query(f"""WITH {EVENTS}, e AS (SELECT a.sample_id, a.celltype AS ref, b.celltype AS query, floor(sqrt({D2}) / 0.3::DOUBLE)::INT AS step, count(*) AS seen
+        FROM cells a JOIN cells b ON a.sample_id = b.sample_id AND a.cell_id <> b.cell_id AND abs(a.x - b.x) <= 9 AND {D2} <= 81 GROUP BY ALL),
+    w AS (SELECT sample_id, max(x) - min(x) AS w, max(y) - min(y) AS h FROM cells GROUP BY sample_id), n AS (SELECT sample_id, celltype, count(*) AS n FROM cells GROUP BY ALL),
+    f AS (SELECT a.sample_id, a.celltype AS ref, b.celltype AS query, a.n AS n_a, b.n - (a.celltype = b.celltype)::INT AS n_b, w, h, unnest(range(0, 30))::INT AS step FROM n a JOIN n b USING (sample_id) JOIN w USING (sample_id)),
+    m AS (SELECT *, (step + 0.5) * 0.3::DOUBLE AS mid FROM f),
+    x AS (SELECT *, n_a * n_b * pi() * 0.09 * (2 * step + 1) * (w * h - 2 * mid * (w + h) / pi() + mid * mid / pi()) / ((w * h) * (w * h)) AS expected FROM m)
+    SELECT sample_id, ref, query, step, round(step * 0.3::DOUBLE, 6) AS r, round(CASE WHEN expected > 0 THEN coalesce(seen, 0) / expected END, 5) AS g FROM x LEFT JOIN e USING (sample_id, ref, query, step)""")
 def ring_correlation(spark, sf_dir):
-    return I.ring_correlation(events(spark, sf_dir), 9.0, 30)
+    return I.ring_correlation(events(spark, sf_dir), 9.0, 30).withColumns({"r": F.round("r", 6), "g": F.round("g", 5)})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from cytoloom.functions import stats as S
 from cytoloom.operators import interactions as I
@@ -54,6 +55,17 @@ def bh_adjusted(spark, sf_dir):
     return S.bh_adjust(pvalues(spark, sf_dir)).select("test", F.round("p_adj", 9).alias("p_adj"))
 
 
+@query(f"""WITH {PVALUES}, r AS (SELECT *, count(*) OVER () AS n, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k FROM tests),
+    a AS (SELECT test, least(1, min(p * n / k) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS p_adj, (test * 31 % 201 - 100) / 100.0::DOUBLE AS log2fc FROM r)
+    SELECT test, round(p_adj, 9) AS p_adj, log2fc, CASE WHEN p_adj < 0.05 AND log2fc > 0.25 THEN 'Up' WHEN p_adj < 0.05 AND log2fc < -0.25 THEN 'Down' ELSE 'NS' END AS regulation,
+           row_number() OVER (ORDER BY round(p_adj, 9), abs(log2fc) DESC, test) AS place FROM a""")
+def regulated_tests(spark, sf_dir):
+    """Tests with given probabilities and changes as Up, Down or NS, and their places in order of report."""
+    tests = S.bh_adjust(pvalues(spark, sf_dir)).withColumn("log2fc", (F.col("test") * 31 % 201 - 100) / F.lit(100.0))
+    rows = S.regulated(tests).select("test", F.round("p_adj", 9).alias("p_adj"), "log2fc", "regulation")
+    return rows.withColumn("place", F.row_number().over(W.orderBy("p_adj", F.desc(F.abs("log2fc")), "test")))  # one row per test
+
+
 @query(f"""WITH {PVALUES}, f AS (SELECT brand, quantile_cont(-log10(p), 0.99) AS high FROM tests WHERE p > 0 GROUP BY brand)
     SELECT test, round(CASE WHEN p = 0 THEN high ELSE -log10(p) END, 6) AS minus_log10 FROM tests JOIN f USING (brand)""")
 def minus_log10(spark, sf_dir):
@@ -143,10 +155,18 @@ def circuit_null_compat(spark, sf_dir):
     return I.circuit_null_closed(I.circuit_scores(around(spark, sf_dir), MEMBERS), MEMBERS).withColumns(r6("observed", "null_mean"))
 
 
-@query()
+@query(f"""WITH {EVENTS}, l AS (SELECT sample_id, celltype, row_number() OVER (PARTITION BY sample_id ORDER BY md5('42:' || cell_id)) AS place FROM cells),
+    g AS (SELECT sample_id, round, cell_id, row_number() OVER (PARTITION BY sample_id, round ORDER BY md5('42:' || round || ':' || cell_id)) AS place FROM cells, range(1, 21) AS t(round)),
+    n AS (SELECT sample_id, round, cell_id AS dst, celltype FROM g JOIN l USING (sample_id, place) UNION ALL SELECT sample_id, 0, cell_id, celltype FROM cells),
+    e AS MATERIALIZED (SELECT a.sample_id, a.cell_id AS src, b.cell_id AS dst FROM cells a JOIN cells b ON a.sample_id = b.sample_id AND abs(a.x - b.x) <= 7.3 AND {D2} <= 7.3 * 7.3::DOUBLE),
+    c AS (SELECT round, src, {", ".join(f"count(*) FILTER (celltype = '{m}') AS {m}" for m in MEMBERS)} FROM e JOIN n USING (sample_id, dst) GROUP BY round, sample_id, src),
+    s AS (SELECT round, avg(least({", ".join(f"{m} / greatest({' + '.join(MEMBERS)}, 1)" for m in MEMBERS)})) AS mean FROM c GROUP BY round), o AS (SELECT mean AS observed FROM s WHERE round = 0)
+    SELECT round(observed, 6) AS observed, round(avg(mean), 6) AS null_mean, round(stddev_pop(mean), 6) AS null_sd, round((observed - avg(mean)) / greatest(stddev_pop(mean), 1e-10), 4) AS z,
+           avg((mean >= observed)::INT) AS p FROM s, o WHERE round > 0 GROUP BY observed""")
 def circuit_permutation(spark, sf_dir):
     """The mean score against labels shuffled within samples; shuffles go by hash, so reruns agree."""
-    return I.circuit_permutation(events(spark, sf_dir), 7.3, MEMBERS, 20, keys=("sample_id",))
+    found = I.circuit_permutation(events(spark, sf_dir), 7.3, MEMBERS, 20, keys=("sample_id",))
+    return found.withColumns(r6("observed", "null_mean", "null_sd")).withColumn("z", F.round("z", 4))
 
 
 @query("""WITH c AS (SELECT l_returnflag AS kind, l_linenumber AS k, sum(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY ALL) SELECT kind, median(v) AS middle FROM c GROUP BY kind""")
