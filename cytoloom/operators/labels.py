@@ -127,10 +127,6 @@ def subcluster_label(group: str, resolution: float, clusters: int, names: Column
     return F.concat(F.lit(f"{group}_subclustered_res{resolution:g}_{clusters}clusters_"), digest)
 
 
-def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    return df.select(*[F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in df.columns])
-
-
 def cluster_summary(df: DataFrame, column: str = "celltype") -> DataFrame:
     """(column, n, fraction), rows without a cluster included as null."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
@@ -142,10 +138,6 @@ def sample_summary(df: DataFrame, sample: str = "sample_id", batch: str = "batch
     return df.groupBy(sample).agg(F.count("*").alias("n"), F.min_by(batch, order).alias("batch"))
 
 
-def first_values(df: DataFrame, by: str, value: str, order: str) -> DataFrame:
-    return df.groupBy(by).agg(F.min_by(value, order).alias(value))
-
-
 def file_summary(frames: dict[str, DataFrame]) -> DataFrame:
     """(file, n_rows, n_columns) of several tables, in one job."""
     counts = [f.agg(F.count("*").alias("n_rows")).select(F.lit(k).alias("file"), "n_rows", F.lit(len(f.columns)).cast("long").alias("n_columns")) for k, f in frames.items()]

@@ -103,9 +103,3 @@ def mask_size(cells: DataFrame, cluster: str = "celltype", bytes_a_pixel: float
     n = cells.groupBy(cluster).agg(F.count("*").alias("_n")).agg(F.count_if(F.col("_n") > 1).alias("clusters"))
     both = box.crossJoin(n)  # one row each
     return both.select("clusters", "mask_gb", compression_factor(F.col("mask_gb"), F.col("clusters"), F.lit(raw_gb)).alias("factor"))
-
-
-def whole_groups(df: DataFrame, by: str, order: str, out: str = "label", prefix: str = "C") -> DataFrame:
-    """df with a label for each group by its size, C01 for the largest; one row per group is ranked."""
-    sizes = df.groupBy(by).agg(F.count("*").alias("_n")).withColumn("_k", F.row_number().over(W.orderBy(F.desc("_n"), order)))
-    return df.join(sizes.select(by, F.concat(F.lit(prefix), F.lpad(F.col("_k").cast("string"), 2, "0")).alias(out)), by)

@@ -81,12 +81,12 @@ def split_expression(spark, sf_dir):
 
 @query("SELECT p_partkey AS cell_id, p_size AS size, p_retailprice AS price, p_brand AS brand FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 = 0")
 def matched_tables(spark, sf_dir):
-    """An expression table and its metadata, each cut to the ids that both have, side by side."""
+    """The files of an expression table and its metadata, each cut to the ids that both have, side by side."""
     part = load(spark, sf_dir, "part")
     a = part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("gene_row"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
     b = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"))
-    expression, metadata = T.matched_pair(a, b)
-    return expression.join(metadata, "cell_id")
+    expression, metadata = T.read_matched_pair(spark, written(a, spark, "expression"), written(b, spark, "metadata"))
+    return expression.join(metadata, "cell_id").withColumn("cell_id", F.col("cell_id").cast("long"))
 
 
 @query("SELECT r_name AS name, r_regionkey::BIGINT AS k FROM region UNION ALL SELECT n_name, n_nationkey::BIGINT FROM nation")

@@ -72,6 +72,11 @@ def minus_log10(spark, sf_dir):
     return S.minus_log10(pvalues(spark, sf_dir), keys=("brand",)).select("test", F.round("minus_log10", 6).alias("minus_log10"))
 
 
+@query(f"""WITH {PVALUES} SELECT test, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'n.s.' END AS stars FROM tests""")
+def p_stars(spark, sf_dir):
+    return pvalues(spark, sf_dir).select("test", S.stars(F.col("p")).alias("stars"))
+
+
 def MORAN(product: str) -> str:
     return f"""WITH {KNN(10)}, {EXPR}, w AS (SELECT src, dst, 1 / (sqrt(d2) + 1e-6) AS w FROM e), m AS (SELECT feature, avg(value) AS m, count(*) AS n FROM expr GROUP BY ALL),
         c AS (SELECT cell_id, feature, value - m AS x FROM expr JOIN m USING (feature)), ss AS (SELECT feature, sum(x * x) AS ss FROM c GROUP BY ALL),

@@ -8,6 +8,7 @@ from cytoloom.cells import cells_from_events
 from cytoloom.operators import compare as C
 from cytoloom.operators import expression as E
 from cytoloom.operators import gates as G
+from cytoloom.operators import labels as L
 
 from .common import EVENTS, EXPR, LINES, POSITIVE, expression, lines, load, r6, registry
 
@@ -88,13 +89,29 @@ def cluster_entropy(spark, sf_dir):
     return E.group_entropy(means).select("celltype", "entropy", "flagged").withColumns(r6("entropy"))
 
 
-@query(f"""WITH {EXPR}, m AS (SELECT celltype, feature, avg(value) AS m FROM expr GROUP BY ALL),
-    q AS (SELECT *, quantile_cont(m, 0.05) OVER w AS lo, quantile_cont(m, 0.9) OVER w AS hi FROM m WINDOW w AS (PARTITION BY celltype))
-    SELECT celltype, string_agg(feature || CASE WHEN m > 0 THEN '+' ELSE '-' END, ',' ORDER BY feature) AS signature FROM q WHERE m > hi OR m < lo GROUP BY ALL""")
+SIGNED = f"""{EXPR}, m AS (SELECT celltype, feature, avg(value) AS m FROM expr GROUP BY ALL),
+    q AS (SELECT *, quantile_cont(m, 0.05) OVER w AS lo, quantile_cont(m, 0.9) OVER w AS hi FROM m WINDOW w AS (PARTITION BY celltype)),
+    signed AS (SELECT celltype, string_agg(feature || CASE WHEN m > 0 THEN '+' ELSE '-' END, ',' ORDER BY feature) AS signature FROM q WHERE m > hi OR m < lo GROUP BY ALL)"""
+
+
+@query(f"WITH {SIGNED} SELECT celltype, signature FROM signed")
 def marker_signature(spark, sf_dir):
     return E.marker_signature(expression(spark, sf_dir))
 
 
+@query(f"WITH {SIGNED} SELECT celltype, 'Tissue: lymph node. Markers of the cluster: ' || signature || '. Name the cell type.' AS prompt FROM signed")
+def cluster_prompts(spark, sf_dir):
+    """What a language model would be asked about each cluster."""
+    return L.prompts(E.marker_signature(expression(spark, sf_dir)), "lymph node")
+
+
+@query(f"""WITH {LINES}, m AS (SELECT min(discount) AS low FROM cells WHERE quantity > 10) SELECT cell_id, round(log2(CASE WHEN low <= 0 THEN discount + abs(low) + 1 ELSE discount END), 6) AS axis FROM cells, m""")
+def log2_axis(spark, sf_dir):
+    """An axis under log2, moved by the least value of a population."""
+    cells = lines(spark, sf_dir).withColumn("many", F.col("quantity") > 10)
+    return G.transform_axis(cells, "discount", "log2", "axis", "many").select("cell_id", F.round("axis", 6).alias("axis"))
+
+
 TEMPLATE = [("early", "g00+,g01-"), ("late", "g02+, g03+"), ("odd", "g05-,g06-,g07+"), ("any", "g09-")]
 NEEDS = ", ".join(f"('{n}', '{m.strip()[:-1]}', '{m.strip()[-1]}')" for n, ms in TEMPLATE for m in ms.split(","))
 

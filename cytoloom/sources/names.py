@@ -14,11 +14,14 @@ COMPARTMENTS = ("cell", "nucleus", "cytoplasm", "membrane")
 MEASURES = ("intensity", "mean")
 SPREADS = ("median", "min", "max", "std", "dev")
 NOT_MARKERS = (
-    "x y x_min x_max y_min y_max xmin xmax ymin ymax centroid_x centroid_y centroid_x_um centroid_y_um centroid_x_px centroid_y_px ctrx ctry "
-    "cell_x_position cell_y_position center_x center_y x_x y_y label size cell_id object_id area perimeter sample_name tissue_category phenotype "
-    "classification orig_object tile_index area_convex min_rot_rect extent orientation elongation compactness_circle compactness_square euler_number"
-).split()
-NOT_IN_MARKERS = "centroid geometry object eccentricity bbox convexity axis diameter solidity euler".split()
+    "x", "y", "x_min", "x_max", "y_min", "y_max", "xmin", "xmax", "ymin", "ymax", "centroid_x", "centroid_y", "centroid_x_um", "centroid_y_um",
+    "centroid_x_px", "centroid_y_px", "ctrx", "ctry", "cell_x_position", "cell_y_position", "center_x", "center_y", "x_x", "y_y", "label", "size",
+    "cell_id", "object_id", "area", "perimeter", "sample_name", "tissue_category", "phenotype", "classification", "orig_object", "tile_index",
+    "area_convex", "min_rot_rect", "extent", "orientation", "elongation", "compactness_circle", "compactness_square", "euler_number",
+)
+NOT_IN_MARKERS = (
+    "centroid", "geometry", "object", "eccentricity", "bbox", "convexity", "axis", "diameter", "solidity", "euler",
+)
 COORDINATES = ("x", "y", "XMin", "XMax", "YMin", "YMax", "Centroid_X", "Centroid_Y")
 NOT_COMPARED = ("XMin", "XMax", "YMin", "YMax", "Analysis.Region", "Analysis Region")
 ALIASES = {"z": ("Z", "Z_Z"), "reg": ("Region", "region"), "tile_num": ("tile_nr", "tile_number"), "size": ("Cell_Area_mm2",)}
