@@ -106,17 +106,21 @@ def _round(edges: DataFrame, nodes: DataFrame, seed: int) -> tuple[DataFrame, bo
     return materialize(after.select("g", "node", F.coalesce("to", "comm").alias("comm"), "s", "lam", F.col("to").isNotNull().alias("moved"))), True
 
 
-def _rounds(edges: DataFrame, nodes: DataFrame, seed: int, max_rounds: int, few: float) -> tuple[DataFrame, int]:
-    """(nodes, how many moved) after rounds until nothing is to be gained, or until the share ``few`` of the nodes or less moves, but some did."""
-    total, moved = nodes.count(), 0
+def _rounds(edges: DataFrame, nodes: DataFrame, seed: int, max_rounds: int, few: float) -> tuple[DataFrame, DataFrame]:
+    """(nodes, moved (g) with the graphs of which any node moved). A graph's rounds end when nothing is to be gained, or when the share ``few`` of
+    its nodes or less moves, but some did; so what happens to it doesn't depend on the other graphs of the job."""
+    tally = nodes.groupBy("g").agg(F.count("*").alias("total")).withColumns({"ever": F.lit(False), "open": F.lit(True)})
     for k in range(max_rounds):
         nodes, gains = _round(edges, nodes, seed + k)
-        now = nodes.where("moved").count() if gains else 0
-        nodes = nodes.drop("moved")
-        moved += now
-        if not gains or moved and now <= few * total:
+        if not gains:
             break
-    return nodes, moved
+        now = nodes.groupBy("g").agg(F.count_if("moved").alias("now"))
+        ever = F.col("ever") | (F.col("now") > 0)
+        tally = materialize(tally.join(now, "g").select("g", "total", ever.alias("ever"), (F.col("open") & ~(ever & (F.col("now") <= few * F.col("total")))).alias("open")))
+        if tally.where("open").isEmpty():
+            break
+        edges = edges.join(tally.where("open").select("g"), "g", "left_semi")
+    return nodes.drop("moved"), tally.where("ever").select("g")
 
 
 def communities(
@@ -142,14 +146,15 @@ def communities(
         inner, level, lowest, changed = links, members, True, False
         while True:
             level, moved = _rounds(inner, level, seed, max_rounds, few)
-            seed, changed = seed + max_rounds, changed or moved > 0
+            seed, none = seed + max_rounds, moved.isEmpty()
+            changed |= not none
             if lowest:
                 members = level
-            elif moved:
+            elif not none:
                 step = level.select("g", F.col("node").alias("comm"), F.col("comm").alias("next"))
                 members = materialize(members.join(step, ["g", "comm"], "left").select("g", "node", F.coalesce("next", "comm").alias("comm"), "s", "lam"))
-            open_graphs = level.where("comm <> node").select("g").distinct()
-            if not moved or open_graphs.isEmpty():
+            open_graphs = level.where("comm <> node").select("g").distinct().join(moved, "g", "left_semi")
+            if none or open_graphs.isEmpty():
                 break
             lowest = False
             to = lambda c: level.select("g", F.col("node").alias(c), F.col("comm").alias(f"{c}_to"))

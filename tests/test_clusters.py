@@ -119,6 +119,26 @@ def test_modularity_never_falls(spark, monkeypatch):
     assert C.modularity(edges, found).first()["modularity"] == pytest.approx(q) and q > 0.25
 
 
+def test_a_sweep_equals_single_runs(spark):
+    _, a = planted(4, 10, 0.7, 0.1, seed=3)
+    edges, nodes = graph(spark, a), spark.range(40).withColumnRenamed("id", "node")
+    rates = spark.createDataFrame([(0.4,), (1.0,), (2.5,)], "resolution double")
+    both = C.communities(edges.crossJoin(rates), nodes.crossJoin(rates), ("resolution",), "resolution")
+    found = {(r["resolution"], r["node"]): r["community"] for r in both.collect()}
+    for rate in (0.4, 2.5):
+        single = {r["node"]: r["community"] for r in C.communities(edges, nodes, (), rate).collect()}
+        assert single == {k: found[rate, k] for k in range(40)}
+    counts = {r: len({found[r, k] for k in range(40)}) for r in (0.4, 1.0, 2.5)}
+    assert counts[0.4] <= counts[1.0] <= counts[2.5] and counts[0.4] < counts[2.5]
+
+
+def test_joint_clusters(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, 100.0 * (k % 3) + rng.normal(), rng.normal(), "t") for k in range(60)]
+    found = {r["cell_id"]: r["cluster"] for r in C.joint_clusters(spark.createDataFrame(rows, "cell_id long, x double, y double, celltype string"), k=12, resolution=0.05).collect()}
+    assert len(set(found.values())) == 3 and all(found[k] == found[k % 3] for k in range(60))
+
+
 def test_sub_clusters(spark):
     rng = np.random.default_rng(7)
     centres = 20 * np.eye(6)[:4]
