@@ -14,7 +14,8 @@ defaults one of 0.8 meets in some of the ``bands`` with probability 0.9999 (band
 A fingerprint of ``blocks`` times 64 bits, made from the distinct shingles, only filters: a pair differs in each bit with probability
 acos(2 s / (1 + s)) / pi, and pairs beyond the expected number of bits plus five standard deviations go. What is left is decided
 exactly, by the Jaccard similarity of the sets of shingle hashes. In buckets of up to ``SMALL`` nodes all pairs are decided; in larger
-ones first a spanning forest, then all pairs that verified links don't connect yet, so large groups of copies don't cost all pairs.
+ones first a spanning forest, then all pairs that verified links don't connect yet, inside the task that holds the two chunks of the bucket with
+their sets of hashes: a group of many texts just below the similarity costs its nodes once a bucket and pair of chunks, never a row a pair.
 
 Scale: only distinct fingerprints go on. A bucket of more than ``chunk`` fingerprints is cut into chunks, and each pair of chunks
 is a group of its own; a group gives a spanning forest of its links, never all pairs.
@@ -26,6 +27,8 @@ Defined results
 * Repeated rows each get a row with the same component. Rows with a null id take part in links; a component of such rows only
   has a null id.
 * For near copies null, empty and blank texts are equal to each other and to nothing else.
+* An empty table gives an empty result. Texts are taken whole, however long. Further columns come back as they were from drop_near_duplicates();
+  the others return columns of their own only.
 """
 
 from __future__ import annotations
@@ -245,32 +248,20 @@ def bucket_links(fps: np.ndarray, starts: np.ndarray, radius: int, tile_batch: i
     return own.places[np.append(tied, a)], own.places[np.append(root[tied], b)]
 
 
-def between_links(fps: np.ndarray, starts: np.ndarray, radius: int, group: np.ndarray, tile_batch: int = 1 << 13):
-    """All links of each bucket whose ends are in different groups, as places in fps, by batches."""
-    own = Buckets(fps, starts)
-    for a, b in own.pairs(radius, tile_batch):
-        a, b = own.places[a], own.places[b]
-        apart = group[a] != group[b]
-        yield a[apart], b[apart]
-
-
-def links(
-    nodes: DataFrame, keys: list[Column], radius: int, blocks: int = 1, chunk: int = 1024, batch_rows: int = 1 << 15, small: int = 0, between: bool = False
-) -> DataFrame:
+def links(nodes: DataFrame, keys: list[Column], radius: int, blocks: int = 1, chunk: int = 1024, batch_rows: int = 1 << 15, small: int = 0) -> DataFrame:
     """(u, v): links between nodes (node, fp) that share a key and differ in at most radius bits of the first blocks.
 
     The links connect all such pairs of a bucket; they are a spanning forest of them, not the pairs themselves. In buckets of up to
-    small nodes they are all pairs. between: instead all pairs of the larger buckets whose nodes differ in the column part.
+    small nodes they are all pairs.
     """
-    part = [F.col("part")] if between else []
-    bands = nodes.select("node", F.slice("fp", 1, blocks).alias("fp"), *part, F.posexplode(F.array(*keys)).alias("band", "bits"))
-    hot = bands.groupBy("band", "bits").agg(F.count("*").alias("n")).where(F.col("n") > (small if between else chunk))
+    bands = nodes.select("node", F.slice("fp", 1, blocks).alias("fp"), F.posexplode(F.array(*keys)).alias("band", "bits"))
+    hot = bands.groupBy("band", "bits").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
     hot = hot.select("band", "bits", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    rows = bands.join(hot, ["band", "bits"], "inner" if between else "left")
+    rows = bands.join(hot, ["band", "bits"], "left")
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     other = F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("node", "fp", *part, "band", "bits", F.coalesce(own, F.lit(0)).alias("own"), other.alias("other"))
-    rows = rows.select("node", "fp", *part, "band", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.select("node", "fp", "band", "bits", F.coalesce(own, F.lit(0)).alias("own"), other.alias("other"))
+    rows = rows.select("node", "fp", "band", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     keys = ["band", "bits", "i", "j"]
 
     def run(frames):
@@ -290,7 +281,6 @@ def links(
 
     def done(frame, new):
         nodes = frame["node"].to_numpy(np.int64)
-        parts = frame["part"].to_numpy(np.int64) if between else None
         fps = np.concatenate(frame["fp"].to_numpy()).astype(np.int64).view(np.uint64).reshape(-1, blocks)
         starts = np.flatnonzero(new)
         at = 0
@@ -298,10 +288,9 @@ def links(
             to = max(at + 1, int(np.searchsorted(starts, starts[at] + batch_rows)))
             end = starts[to] if to < len(starts) else len(fps)
             some = slice(starts[at], end)
-            one = (fps[some], starts[at:to] - starts[at], radius)
-            for a, b in between_links(*one, parts[some]) if between else [bucket_links(*one, small=small)]:
-                u, v = nodes[some][a], nodes[some][b]
-                yield pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
+            a, b = bucket_links(fps[some], starts[at:to] - starts[at], radius, small=small)
+            u, v = nodes[some][a], nodes[some][b]
+            yield pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
             at = to
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "u long, v long").distinct()
@@ -361,8 +350,8 @@ def sketches(texts: DataFrame, width: int, blocks: int, bands: int, rows: int) -
     return texts.mapInArrow(run, "node long, fp array<long>, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets of shingle hashes have the similarity at least; decided exactly."""
+def hashed_sets(texts: DataFrame, ends: DataFrame, width: int) -> DataFrame:
+    """(node, hashes): the sets of shingle hashes, in order, of the texts of the given nodes."""
 
     def sets(batches):
         for batch in batches:
@@ -370,6 +359,13 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
             ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *found])))], names=["node", "hashes"])
 
+    found = once(texts).join(ends.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(sets, "node long, hashes array<long>")
+    return materialize(found)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets of shingle hashes have the similarity at least; decided exactly."""
+
     def decide(batches):
         for batch in batches:
             alike = []
@@ -384,14 +380,81 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
                 alike.append(both / max(1, len(x) + len(y) - both) >= similarity)
             yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
 
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    hashed = once(texts).join(ends, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(sets, "node long, hashes array<long>")
-    hashed = materialize(hashed)
+    hashed = hashed_sets(texts, pairs.select(F.explode(F.array("u", "v")).alias("node")), width)
     rows = pairs.join(hashed.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u")
     rows = rows.join(hashed.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
     return materialize(rows.select("u", "v", "a", "b").mapInArrow(decide, "u long, v long"))
 
 
+def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, slice_bits: int = 8192, batch: int = 1 << 14) -> np.ndarray:
+    """How many hashes the sets a[k] and b[k] share: bits of each set for every hash that two sets hold, and counts of bits in both."""
+    member = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    repeated = times > 1
+    place, member = (np.cumsum(repeated) - 1)[place[repeated[place]]], member[repeated[place]]
+    order = np.argsort(place, kind="stable")
+    place, member = place[order], member[order]
+    both = np.zeros(len(a), np.int64)
+    for first in range(0, int(repeated.sum()), slice_bits):
+        some = slice(*np.searchsorted(place, [first, first + slice_bits]))
+        held = np.zeros((len(sets), slice_bits), np.uint8)
+        held[member[some], place[some] - first] = 1
+        bits = np.packbits(held, axis=1).view(np.uint64)
+        for k in range(0, len(a), batch):
+            both[k : k + batch] += np.bitwise_count(bits[a[k : k + batch]] & bits[b[k : k + batch]]).sum(axis=1, dtype=np.int64)
+    return both
+
+
+def verified_blocks(
+    parts: DataFrame, texts: DataFrame, radius: int, width: int, similarity: float, small: int, chunk: int = 1024, most: int = 1 << 21, tile_batch: int = 1 << 13
+) -> DataFrame:
+    """(u, v): links by similarity between nodes (node, fp, bands, part) of different parts that share a bucket of more than small nodes.
+
+    A node's set of shingle hashes goes to each pair of chunks of its buckets once, not to each of its pairs; pairs are found and decided
+    in the task, each in the first bucket it shares, and what leaves it is a spanning forest. A chunk holds about ``chunk`` nodes or ``most``
+    hashes, whichever is reached first. Buckets of one part have nothing to decide.
+    """
+
+    def decide(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("node", ignore_index=True)
+        part, own = f["part"].to_numpy(np.int64), f["own"].to_numpy()
+        crossing, band = f["i"].iloc[0] != f["j"].iloc[0], int(f["band"].iloc[0])
+        bands = np.stack(f["bands"].to_numpy())
+        fps = np.stack(f["fp"].to_numpy()).astype(np.int64).view(np.uint64)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for a, b in Buckets(fps, np.zeros(1, np.int64)).pairs(radius, tile_batch):
+            apart = part[a] != part[b]
+            if crossing:
+                apart &= own[a] != own[b]
+            a, b = a[apart], b[apart]
+            first = (bands[a, : band + 1] == bands[b, : band + 1]).argmax(axis=1) == band
+            found.append((a[first], b[first]))
+        a, b = (np.concatenate(x) for x in zip(*found))
+        if not len(a):
+            return pd.DataFrame()
+        sets = [np.asarray(x, np.int64) for x in f["hashes"]]
+        size = np.array([len(x) for x in sets])
+        both = overlaps(sets, a, b)
+        alike = both / np.maximum(1, size[a] + size[b] - both) >= similarity
+        root = forest(len(f), a[alike], b[alike])
+        tied = np.flatnonzero(root != np.arange(len(f)))
+        nodes = f["node"].to_numpy(np.int64)
+        return pd.DataFrame({"u": nodes[tied], "v": nodes[root[tied]]})
+
+    at = ["band", "bits"]
+    rows = parts.select("node", "part", F.posexplode("bands").alias("band", "bits"))
+    mixed = rows.groupBy(*at).agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).where((F.col("n") > small) & (F.col("lo") < F.col("hi")))
+    rows = materialize(rows.join(mixed.select(*at), at).select("node", *at))
+    hashed = hashed_sets(texts, rows, width)
+    rows = rows.join(hashed.select("node", F.size("hashes").alias("size")), "node")
+    chunks = F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("size") / most)).cast("int")
+    rows = rows.join(rows.groupBy(*at).agg(chunks.alias("chunks")), at)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("node", *at, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.join(parts.select("node", "part", "fp", "bands"), "node").join(hashed, "node")
+    return materialize(rows.groupBy(*at, "i", "j").applyInPandas(decide, "u long, v long").distinct())
+
+
 def text_node(text: str) -> Column:
     """The number of a text; null, empty and blank ones have the same."""
     return F.xxhash64(F.btrim(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(SPACE_CHARS)))
@@ -411,10 +474,10 @@ def near_roots(
     found = verified(materialize(links(nodes, keys, radius, blocks, small=small)), texts, width, similarity)
     stars = connected_components(found).withColumnRenamed("node", "s_node")
     parts = nodes.join(stars, nodes["node"] == stars["s_node"], "left").select("node", "fp", "bands", F.coalesce("root", "node").alias("part"))
-    more = materialize(links(parts, keys, radius, blocks, small=small, between=True))
+    more = verified_blocks(materialize(parts), texts, radius, width, similarity, small)
     if more.isEmpty():
         return stars.withColumnRenamed("s_node", "node")
-    return connected_components(found.union(verified(more, texts, width, similarity)))
+    return connected_components(found.union(more))
 
 
 def near_components(df: DataFrame, text: str = "text", id_col: str = "doc_id", **how) -> DataFrame:

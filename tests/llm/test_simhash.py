@@ -1,6 +1,7 @@
 import numpy as np
 import xxhash
 from helpers import edge_docs, no_docs
+from pyspark.sql import functions as F
 
 from cytoloom.llm import simhash
 from cytoloom.llm.common import read_table
@@ -128,6 +129,35 @@ def test_near_links_of_large_buckets(spark):
         assert {r["doc_id"]: r["component_id"] for r in simhash.near_components(df, small=4).collect()} == want
 
 
+def test_overlaps_equal_plain_intersections():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(-50, 3000 if k % 3 else 60, rng.integers(0, 400))) for k in range(40)]
+    a, b = rng.integers(0, 40, (2, 500))
+    a, b = a[a != b], b[a != b]
+    want = [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b)]
+    assert simhash.overlaps(sets, a, b).tolist() == simhash.overlaps(sets, a, b, slice_bits=128, batch=7).tolist() == want
+
+
+def test_blocks_cut_into_chunks_lose_no_link(spark):
+    """Chains of near copies in buckets cut into many chunks: every part meets every other, in the first bucket that they share."""
+    base = [f"b{i}" for i in range(120)]
+    some = [(k, " ".join(base[: 2 * k] + [f"own{k}"] + base[2 * k + 1 :])) for k in range(50)]
+    some += [(50 + k, " ".join(base[: 2 * k] + [f"own{k}"] + base[2 * k + 1 : 110] + [f"tail{k % 2}x{i}" for i in range(10)])) for k in range(50)]
+    label = brute_near(some)
+    want = {some[j][0]: min(some[k][0] for k in range(len(some)) if label[k] == label[j]) for j in range(len(some))}
+    df = spark.createDataFrame(some, "doc_id long, text string")
+    nodes = df.select(simhash.text_node("text").alias("node"), "text")
+    parts = simhash.sketches(nodes, 5, 4, 18, 4).withColumn("part", F.col("node"))
+    links = simhash.verified_blocks(parts, nodes, 256, 5, 0.8, small=2, chunk=9, most=700)
+    from cytoloom.llm.components import connected_components
+
+    root = {r["node"]: r["root"] for r in connected_components(links).collect()}
+    node = {r["doc_id"]: r["node"] for r in df.select("doc_id", simhash.text_node("text").alias("node")).collect()}
+    groups = {i: root.get(n, n) for i, n in node.items()}
+    found = {i: min(j for j in groups if groups[j] == groups[i]) for i in groups}
+    assert found == want and len(set(want.values())) < len(want)
+
+
 def test_null_and_repeated_ids_with_different_texts(spark):
     text = lambda k, n=60: " ".join(f"d{k}x{i}" for i in range(n))
     rows = [(None, text(1)), (None, text(2)), (None, text(2) + " more"), (None, text(3)), (7, text(3) + " more"), (5, text(4)), (5, text(5)), (5, text(5)), (None, text(6))]
