@@ -13,6 +13,7 @@ Defined results
 * Texts that are null or have no letter: ``und`` with score 0. So is every text where nothing could be learned.
 * Null labels and null ids teach nothing. Repeated rows get equal predictions; extra columns pass through.
 * The score is the winner's regression value brought from [-1, 1] to [0, 1] and clipped; ties go to the smaller label.
+* Texts are taken whole, however long: their n-grams are counted present or absent. An empty table gives an empty result.
 """
 
 from __future__ import annotations

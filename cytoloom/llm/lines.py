@@ -13,6 +13,8 @@ Defined results
 ---------------
 * Null and empty texts are one empty line; keys of fewer than ``min_chars`` code points are never dropped.
 * Each row is a document, repeated rows and rows with null or repeated ids included. If all lines go, the text is empty.
+* An empty table gives an empty result. Texts are taken whole, however long. Further columns come back as they were; those with the names of the
+  results are replaced.
 """
 
 from __future__ import annotations

@@ -16,6 +16,7 @@ Defined results
   and rows that tie in everything share what their places take, which depends on nothing but how many there are. Of rows that share
   source, id and size, take_mix() deals the copies out in turn.
 * Nothing depends on partitioning or row order; reruns agree. Columns of df with clashing names are replaced.
+* Texts are taken whole, however long; a document's size has no bound.
 """
 
 from __future__ import annotations

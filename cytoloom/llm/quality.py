@@ -16,6 +16,7 @@ Defined results
   so its own label plays no part. Every language has a reference of its own, however many there are.
 * No reference at all (empty table, or all labels null): the base rules alone decide.
 * Repeated rows are judged alike; extra columns stay untouched.
+* Texts are taken whole, however long. An empty table gives an empty result.
 """
 
 from __future__ import annotations

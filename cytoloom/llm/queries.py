@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, divergence, embedding_dedup, language_id, lexical_search, lines, mixing, quality, sentencepiece, simhash, substrings, topk_search, warc
+from . import chat, divergence, embedding_dedup, language_id, lexical_search, lines, mixing, pipeline, quality, sentencepiece, simhash, substrings, topk_search, warc
 from .common import checkpoint_dir, read_table
 
 #: Words of a text and lines in DuckDB.
@@ -107,13 +107,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"), k=20)
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_sentencepiece, op3_simhash, op4_warc, op5_chat_format, op6_substring_dedup, op7_language_id, op8_line_dedup, op9_quality_rules, op10_mix_sources, op11_source_divergence, op12_embedding_dedup, op13_lexical_search, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_sentencepiece, op3_simhash, op4_warc, op5_chat_format, op6_substring_dedup, op7_language_id, op8_line_dedup, op9_quality_rules, op10_mix_sources, op11_source_divergence, op12_embedding_dedup, op13_lexical_search)} | {"pipeline": pipeline.run}
 
 
 def _sql_replaced(column: str, pairs) -> str:

@@ -18,6 +18,7 @@ Defined results
 * An empty table gives no archives and no records. Blocks that aren't HTTP messages are resources, and their copies revisit the
   resource; HTTP messages may lack a Content-Length or state a wrong one. A page number that isn't a number counts as absent.
 * A header line without the fields of its version, or a length beyond the end of the file, raises ValueError with the place.
+* Payloads are written and read whole, however long. Columns of pages beyond those that are read are ignored.
 """
 
 from __future__ import annotations
