@@ -157,8 +157,13 @@ def rank_sum(rows: DataFrame, one: Column, keys: list[str], value: str = "value"
         F.sum(F.col("ones") * (F.col("below") + (n + 1) / 2)).alias("r1"),
         F.sum(n.cast("double") * n * n - n).alias("ties"),
     )
+    n1 = F.col("n1").cast("double")
+    return _rank_sum_tests(sums.withColumn("u", F.col("r1") - n1 * (n1 + 1) / 2), keys)
+
+
+def _rank_sum_tests(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n1, n2, u, z, p) of (keys, n1, n2, u, ties)."""
     n1, n2, both = F.col("n1").cast("double"), F.col("n2").cast("double"), (F.col("n1") + F.col("n2")).cast("double")
-    sums = sums.withColumn("u", F.col("r1") - n1 * (n1 + 1) / 2)
     away = F.col("u") - n1 * n2 / 2
     spread = F.sqrt(n1 * n2 / 12 * (both + 1 - F.col("ties") / (both * (both - 1))))
     sums = sums.withColumn("z", F.when(spread > 0, (away - 0.5 * F.signum(away)) / spread).otherwise(0.0))
@@ -258,12 +263,22 @@ def stars(p: Column) -> Column:
 
 
 def rank_sum_against_first(rows: DataFrame, group: str, first, value: str = "value") -> DataFrame:
-    """(group, n1, n2, u, z, p, stars): each group against the first one."""
-    base = rows.where(F.col(group) == first).select(F.col(value), F.lit(True).alias("_one"))
-    others = rows.where(F.col(group) != first)
-    names = others.select(group).distinct()  # one row per group
-    both = base.crossJoin(F.broadcast(names)).select(group, value, "_one").unionByName(others.select(group, value, F.lit(False).alias("_one")))
-    return rank_sum(both, F.col("_one"), [group], value).withColumn("stars", stars(F.col("p")))
+    """(group, n1, n2, u, z, p, stars): each group against the first one.
+
+    The first group's values are placed once: a group's statistic follows from how many of them are below and at each of its values, and its ties
+    from those of the first group and what its own values add.
+    """
+    counts = rows.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    is_first = F.col(group) == F.lit(first)
+    base = placed_values(counts.groupBy("v").agg(F.coalesce(F.sum(F.when(is_first, F.col("n"))), F.lit(0)).alias("n")), [])
+    cubes = lambda n: n.cast("double") * n * n - n
+    whole = base.agg(F.sum("n").alias("n1"), F.sum(cubes(F.col("n"))).alias("own_ties"))
+    found = counts.where(~is_first).join(base.select("v", F.col("n").alias("b"), "below"), "v")
+    n, b = F.col("n"), F.col("b")
+    sums = found.groupBy(group).agg(F.sum("n").alias("n2"), F.sum(n * (F.col("below") + b / 2)).alias("over"), F.sum(cubes(n + b) - cubes(b)).alias("more_ties"))
+    sums = sums.crossJoin(F.broadcast(whole)).where("n1 > 0")  # one row
+    sums = sums.withColumns({"u": F.col("n1").cast("double") * F.col("n2") - F.col("over"), "ties": F.col("own_ties") + F.col("more_ties")})
+    return _rank_sum_tests(sums, [group]).withColumn("stars", stars(F.col("p")))
 
 
 def contact_enrichment(table: DataFrame) -> DataFrame:

@@ -138,7 +138,8 @@ def circuit_permutation(
     """(observed, null_mean, null_sd, z, p): the mean circuit score against cells whose labels are shuffled within the keys.
 
     Neighbours are looked up once; each shuffle gives the label at one place of a hash order to the cell at that place of another, and
-    a count of the labels around each cell. Rows are pairs of neighbours times shuffles.
+    a count of the labels around each cell. A cell's labels of all shuffles travel together, so what is joined are pairs of neighbours; labels are
+    counted as they are taken apart, before anything else is shuffled.
     """
     pairs = neighbors_within(cells, radius, keys=keys).select(*keys, "src", "dst")
     digest = lambda *parts: F.md5(F.concat_ws(":", *parts))
@@ -148,7 +149,8 @@ def circuit_permutation(
     rounds = shuffled_places(rounds, [*keys, "round"], digest(F.lit(str(seed)), F.col("round").cast("string"), ids))
     given = rounds.join(labels, [*keys, "place"]).select(*keys, "round", F.col("cell_id").alias("dst"), "celltype")
     given = given.unionByName(cells.select(*keys, F.lit(0).alias("round"), F.col("cell_id").alias("dst"), "celltype"))
-    near = pairs.join(given, [*keys, "dst"]).groupBy(*keys, "round", "src").agg(*[F.count_if(F.col("celltype") == m).alias(m) for m in members])
+    given = given.groupBy(*keys, "dst").agg(F.collect_list(F.struct("round", "celltype")).alias("given"))  # one label for each shuffle
+    near = pairs.join(given, [*keys, "dst"]).select(*keys, "src", F.explode("given").alias("g")).select(*keys, "src", "g.*").groupBy(*keys, "round", "src").agg(*[F.count_if(F.col("celltype") == m).alias(m) for m in members])
     means = circuit_scores(near, members, method).groupBy("round").agg(F.avg("score").alias("mean"))
     observed = F.max(F.when(F.col("round") == 0, F.col("mean")))
     null = F.when(F.col("round") > 0, F.col("mean"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from cytoloom.functions.percentiles import percentiles
 
@@ -67,9 +68,14 @@ def bound_metadata(matches: DataFrame, a: DataFrame, b: DataFrame, prefixes: tup
     return out.join(two, F.col("b_id") == F.col(prefixes[1] + id_col)).drop("b_id").withColumn("modality", F.lit("integrated"))
 
 
+def all_values(tables: list[DataFrame], column: str) -> DataFrame:
+    """(column): the values of all tables, each once; made distinct in each table first, so repetitions aren't shuffled."""
+    return reduce(DataFrame.union, [t.select(column).distinct() for t in tables]).distinct()
+
+
 def all_features(a: DataFrame, b: DataFrame) -> DataFrame:
     """(feature): of both sides, each once."""
-    return a.select("feature").distinct().union(b.select("feature").distinct()).distinct()
+    return all_values([a, b], "feature")
 
 
 def bounds(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -269,6 +269,13 @@ def feature_union(spark, sf_dir):
     return M.all_features(expr.where("cell_id % 2 = 0"), expr.where("cell_id % 2 <> 0"))
 
 
+@query(f"WITH {EVENTS} SELECT DISTINCT celltype FROM cells")
+def label_union(spark, sf_dir):
+    """The labels of all samples, each a table of its own."""
+    cells = events(spark, sf_dir)
+    return M.all_values([cells.where(F.col("sample_id") == k) for k in range(4)], "celltype")
+
+
 @query(f"WITH {EVENTS} SELECT sample_id, trunc(min(x))::INT AS x_min, trunc(max(x))::INT AS x_max, trunc(min(y))::INT AS y_min, trunc(max(y))::INT AS y_max FROM cells GROUP BY sample_id")
 def cell_bounds(spark, sf_dir):
     return M.bounds(events(spark, sf_dir), ("sample_id",)).select("sample_id", "x_min", "x_max", "y_min", "y_max")

@@ -120,3 +120,17 @@ def test_composition_keeps_samples_apart(spark):
     rows = [(1, 0, 0.0, 0.0, "a"), (2, 0, 1.0, 0.0, "b"), (1, 1, 0.0, 0.0, "a"), (2, 1, 90.0, 0.0, "b")]
     got = {(r["sample_id"], r["cell_id"]): (r["a"], r["b"]) for r in I.composition(spark.createDataFrame(rows, schema), 3.0, ["a", "b"], ("sample_id",)).collect()}
     assert got == {(0, 1): (1, 1), (0, 2): (1, 1), (1, 1): (1, 0), (1, 2): (0, 1)}
+
+
+def test_rank_sums_against_one_group_equal_single_tests(spark):
+    rng = random.Random(3)
+    rows = [(g, float(rng.randrange(30 * k, 30 * k + 60))) for k, g in enumerate("abc") for _ in range(40 + 30 * k)] + [("d", 1000.0), ("a", None), (None, 3.0)]
+    rows += [("e", x + 0.123 * x) for x in (3.5, 7.5, 200.5)]
+    df = spark.createDataFrame(rows, "kind string, value double")
+    found = {r["kind"]: r for r in S.rank_sum_against_first(df, "kind", "a").collect()}
+    assert set(found) == {"b", "c", "d", "e"}
+    for g, r in found.items():
+        two = df.where(F.col("kind").isin("a", g)).withColumn("key", F.lit(1))
+        one = S.rank_sum(two, F.col("kind") == "a", ["key"]).first()
+        assert (r["n1"], r["n2"], r["u"]) == (one["n1"], one["n2"], one["u"]) and r["z"] == pytest.approx(one["z"]) and r["p"] == pytest.approx(one["p"])
+        assert r["stars"] == ("***" if r["p"] < 0.001 else "**" if r["p"] < 0.01 else "*" if r["p"] < 0.05 else "n.s.")
