@@ -131,7 +131,7 @@ PIECES = "key long, id long, copy long, start long, count long, text binary"
 def segments(docs: DataFrame, anchors: DataFrame, window: int, k: int) -> DataFrame:
     """The segments that may repeat, keyed by anchor, and marks (no text) for windows that a smaller document of the batch has.
 
-    key is what rows meet by. copy, a hash of the text, tells rows that share an id apart.
+    key is what rows meet by. copy, a hash of the text, tells rows that share an id apart; it is 0 where none do.
     """
     lists = anchors.groupBy(F.col("id").alias("a_id"), F.col("copy").alias("a_copy")).agg(F.collect_set("anchor").alias("anchors"))
     # All columns of docs go along: the last step joins the same shuffled rows again, which Spark then doesn't shuffle twice.
@@ -318,7 +318,11 @@ def substring_dedup(
     df = df.drop(*({"n_words", "n_removed", "removed", "kept_text"} - {text, id_col}))
     body = F.col(text).cast("string")
     own = F.struct(*[F.col(c) for c in df.columns if c != text])
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(body).alias("copy"), body.alias("text"), own.alias("own"))
+    ids = F.col(id_col).cast("long")
+    # Rows are told apart by id where every id stands once; a zero for all of them takes no room in shuffles.
+    unique = df.where(ids.isNotNull()).groupBy(ids).count().where("count > 1").isEmpty()
+    copy = F.when(ids.isNull(), F.xxhash64(body)).otherwise(F.lit(0).cast("long")) if unique else F.xxhash64(body)
+    docs = df.select(F.coalesce(ids, F.lit(LAST_ID)).alias("id"), copy.alias("copy"), body.alias("text"), own.alias("own"))
     pieces = segments(docs, shared_anchors(docs, window, k), window, k)
     marks = decide_longer(grow_trees(pieces, window, group_rows, batch_rows))
     marks = marks.groupBy(F.col("id").alias("m_id"), F.col("copy").alias("m_copy")).agg(F.collect_set(F.struct("start", "count")).alias("marks"))
