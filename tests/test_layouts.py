@@ -8,7 +8,6 @@ from cytoloom.operators import layouts as L
 from cytoloom.operators.vectors import nearest_vectors
 
 
-
 def points(groups=3, size=40, seed=1, spread=8.0):
     rng = np.random.default_rng(seed)
     of = np.repeat(np.arange(groups), size)
