@@ -26,10 +26,12 @@ from __future__ import annotations
 
 import math
 import uuid
+from array import array
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -67,14 +69,16 @@ class Shard:
 def inverted(texts: DataFrame, shard_docs: int, shard_posts: int) -> DataFrame:
     """One row for each shard of (doc_id, text)."""
 
-    def row(ids: list, sizes: list, lengths: list, posts: list, counts: list, of: dict) -> dict:
+    columns = [(c, pa.int64() if c in ("docs", "length") else pa.binary()) for c in (x.split()[0] for x in SHARD.split(", "))]
+
+    def row(ids: list, sizes: list, lengths: list, posts: array, counts: array, of: dict) -> pa.RecordBatch:
         by_name = np.array(sorted(range(len(of)), key=list(of).__getitem__), np.int64)  # terms in order of their bytes
         place = np.empty(len(of), np.int64)
         place[by_name] = np.arange(len(of))
         term = place[np.array(posts, np.int64)]
         order = np.argsort(term, kind="stable")
         names = list(of)
-        return {
+        made = {
             "ids": np.array(ids, np.int64).tobytes(),
             "sizes": np.array(sizes, np.int64).tobytes(),
             "words": b"\n".join(names[k] for k in by_name),
@@ -84,29 +88,34 @@ def inverted(texts: DataFrame, shard_docs: int, shard_posts: int) -> DataFrame:
             "docs": len(ids),
             "length": sum(sizes),
         }
-
-    def shards(frames):
-        held: tuple = ([], [], [], [], [], {})
-        for f in frames:
-            for doc_id, text in zip(f["doc_id"], f["text"]):
-                own = terms_of(text, LETTERS_AND_DIGITS)
-                if not own:
-                    continue
-                ids, sizes, lengths, posts, counts, of = held
-                tf = Counter(own)
-                ids.append(doc_id)
-                sizes.append(len(own))
-                lengths.append(len(tf))
-                posts.extend([of.setdefault(w, len(of)) for w in tf])
-                counts.extend(tf.values())
-                if len(ids) >= shard_docs or len(posts) >= shard_posts:
-                    yield pd.DataFrame([row(*held)])
-                    held = ([], [], [], [], [], {})
+        return pa.RecordBatch.from_pylist([made], schema=pa.schema(columns))
+
+    def empty() -> tuple:
+        return [], [], [], array("i"), array("i"), {}
+
+    def shards(batches):
+        held = empty()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for doc_id, text in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns]):
+                    own = terms_of(text, LETTERS_AND_DIGITS)
+                    if not own:
+                        continue
+                    ids, sizes, lengths, posts, counts, of = held
+                    tf = Counter(own)
+                    ids.append(doc_id)
+                    sizes.append(len(own))
+                    lengths.append(len(tf))
+                    posts.extend([of.setdefault(w, len(of)) for w in tf])
+                    counts.extend(tf.values())
+                    if len(ids) >= shard_docs or len(posts) >= shard_posts:
+                        yield row(*held)
+                        held = empty()
         if held[0]:
-            yield pd.DataFrame([row(*held)])
+            yield row(*held)
 
     rows = texts.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInPandas(shards, SHARD)
+    return rows.mapInArrow(shards, SHARD)
 
 
 def build_index(docs: DataFrame, folder: str, shard_docs: int = 4096, shard_posts: int = 1_000_000) -> tuple[str, int, int]:
