@@ -173,7 +173,8 @@ def document_counts(index: DataFrame, queries: Queries) -> dict[bytes, int]:
             for row in f.to_dict("records"):
                 s = Shard(row)
                 df.update({w: int(s.first[t + 1] - s.first[t]) for t, w in s.known(queries.of)})
-        yield pd.DataFrame({"term": list(df), "df": np.array(list(df.values()), np.int64)})
+        if df:
+            yield pd.DataFrame({"term": list(df), "df": np.array(list(df.values()), np.int64)})
 
     rows = index.select("words", "first", "places").mapInPandas(count, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
     return {bytes(r["term"]): r["df"] for r in rows.collect()}

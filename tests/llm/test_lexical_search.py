@@ -60,6 +60,8 @@ def test_edge_rows(spark):
     assert ours(docs, df) == expected
     assert search(no_docs(spark), df).isEmpty() and search(docs, df.limit(0)).isEmpty()
     assert search(docs.where("text IS NULL"), df).isEmpty()
+    one = docs.where("doc_id = 1").repartition(9, "doc_id")  # most partitions are empty
+    assert [r["item_id"] for r in search(one, df, shard_docs=1).collect()] == [7]
 
 
 def test_bytes_round_up():
