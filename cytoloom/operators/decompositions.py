@@ -25,7 +25,8 @@ def array_sums(df: DataFrame, part: Callable[[pd.DataFrame], dict[int, np.ndarra
         for f in frames:
             for k, x in part(f).items() if len(f) else ():
                 held[k] = held[k] + x if k in held else x
-        yield pd.DataFrame({"k": list(held), "x": [x.tolist() for x in held.values()]})
+        if held:
+            yield pd.DataFrame({"k": list(held), "x": [x.tolist() for x in held.values()]})
 
     def add(f: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"k": f["k"].iloc[:1], "x": [np.sum(matrix(f["x"]), axis=0).tolist()]})
@@ -65,8 +66,8 @@ def pca(vectors: DataFrame, components: int, scale: bool = False) -> tuple[DataF
     whole = float((np.diag(cov) / unit**2).sum())
 
     def project(frames):
-        for f in frames:
-            score = ((matrix(f["v"]) - mean) / unit) @ loadings if len(f) else np.zeros((0, loadings.shape[1]))
+        for f in filter(len, frames):
+            score = ((matrix(f["v"]) - mean) / unit) @ loadings
             k = score.shape[1]
             yield pd.DataFrame({"cell_id": np.repeat(f["cell_id"].to_numpy(), k), "pc": np.tile(np.arange(1, k + 1, dtype=np.int32), len(f)), "score": score.ravel()})
 
@@ -193,8 +194,8 @@ def harmony(
             break
 
     def move(frames):
-        for f in frames:
-            yield f.assign(v=list(model.corrected(f)[0]) if len(f) else f["v"])
+        for f in filter(len, frames):
+            yield f.assign(v=list(model.corrected(f)[0]))
 
     kind = rows.schema["cell_id"].dataType.simpleString()
     return rows.mapInPandas(move, f"cell_id {kind}, batch string, v array<double>"), model.objectives

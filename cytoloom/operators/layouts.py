@@ -91,8 +91,8 @@ def spectral_vectors(weights: DataFrame, k: int = 3, degree: int = 24, tolerance
         take = found.coefficients[:, :width]
 
         def combine(frames, take=take):
-            for f in frames:
-                v = matrix(f["basis"])[:, : len(take)] @ take if len(f) else np.zeros((0, take.shape[1]))
+            for f in filter(len, frames):
+                v = matrix(f["basis"])[:, : len(take)] @ take
                 yield pd.DataFrame({"node": f["node"], "v": list(v), "mark": f["mark"]})
 
         kind = state.schema["node"].dataType.simpleString()

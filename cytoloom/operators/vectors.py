@@ -77,7 +77,7 @@ def visits(placed: DataFrame, sizes: DataFrame, pivots: np.ndarray, keys: tuple[
     apart = np.sqrt(distances(pivots, pivots))
 
     def visit(frames):
-        for f in frames:
+        for f in filter(len, frames):
             x, home = matrix(f["v"]), f["cell"].to_numpy()
             d = distances(x, pivots)
             edge = np.sqrt(f["bound"].to_numpy()) * (1 + 1e-9) + 1e-9 * (1 + np.sqrt(d.max(axis=1)))
@@ -114,7 +114,7 @@ def nearest_vectors(
     pivots = pivots_of(matrix(seen["v"]), max(1, min(cells, -(-total // block_rows))))
 
     def place(frames):
-        for f in frames:
+        for f in filter(len, frames):
             d = distances(matrix(f["v"]), pivots)
             cell = d.argmin(axis=1)
             yield f.assign(cell=cell.astype(np.int32), far=np.sqrt(((matrix(f["v"]) - pivots[cell]) ** 2).sum(axis=1)))

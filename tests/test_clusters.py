@@ -166,6 +166,9 @@ def test_pca(spark):
             assert np.allclose([ours[i] for i in range(80)], sign * (z @ vt[k]), atol=1e-8)
             assert max(r["loadings"], key=abs) > 0
     assert pca(cells_of(spark, x).limit(0), 2)[0].isEmpty()
+    scores, parts = pca(cells_of(spark, x[:2]).repartition(9, "cell_id"), 2)  # most partitions are empty
+    assert scores.count() == 4 and parts.first()["share"] == pytest.approx(1)
+    assert V.nearest_vectors(cells_of(spark, x[:3]).repartition(9, "cell_id"), 1).count() == 3
 
 
 def test_harmony_mixes_batches_and_keeps_types(spark):
