@@ -136,6 +136,15 @@ def test_rank_sums_against_one_group_equal_single_tests(spark):
         assert r["stars"] == ("***" if r["p"] < 0.001 else "**" if r["p"] < 0.01 else "*" if r["p"] < 0.05 else "n.s.")
 
 
+def test_distance_effect_crosses_written_draws(spark):
+    """Draws are read from a table, so no product has the square of the partitions of all cells as tasks."""
+    cells = spark.range(3000).selectExpr("id AS cell_id", "rand(1) * 99 AS x", "rand(2) * 99 AS y", "concat('t', id % 3) AS celltype").repartition(40)
+    found = S.distance_effect(cells, 20)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (" not in plan and "Exchange" not in plan
+    assert found.count() == 9 and all(0 <= r["d"] <= 1 for r in found.collect())
+
+
 def test_label_permutation_joins_places_once(spark, monkeypatch):
     """Copies at the same places join as many pairs as one copy; all shuffles count, also those beyond one row of sums."""
     schema = "cell_id long, sample_id int, x double, y double, celltype string"
