@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cytoloom.functions.percentiles import percentiles
 
 from .gates import affine
-from .neighbors import neighbor_pairs
+from .neighbors import place_pairs, places
 
 
 def aligned(cells: DataFrame, scale: float = 1.0, flip_y: bool = False, dx: float = 0.0, dy: float = 0.0) -> DataFrame:
@@ -19,19 +19,24 @@ def aligned(cells: DataFrame, scale: float = 1.0, flip_y: bool = False, dx: floa
     return cells.withColumns({"x": x, "y": y})
 
 
+def _least_ids(cells: DataFrame) -> DataFrame:
+    """The places of cells with the least id at each: of cells at one place it alone can be another's nearest, as ties go by id."""
+    return places(cells, by=(), id=F.min("cell_id"))
+
+
 def nearest_within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """(a_id, b_id, dist): each left cell's nearest right one within the radius, inclusive; ties by the right id.
 
-    The nearest is a minimum, so partial aggregation leaves one row per cell and task.
+    Places are compared, not all cells at them. The nearest is a minimum, so partial aggregation leaves one row per place and task.
     """
-    pairs = neighbor_pairs(left, right, radius)
-    best = pairs.groupBy("src").agg(F.min(F.struct("d2", "dst")).alias("m"))
-    return best.select(F.col("src").alias("a_id"), F.col("m.dst").alias("b_id"), F.sqrt("m.d2").alias("dist"))
+    pairs = place_pairs(places(left, by=()), _least_ids(right), radius)
+    best = pairs.groupBy(F.col("ax").alias("x"), F.col("ay").alias("y")).agg(F.min(F.struct("d2", "dst_id")).alias("m"))
+    return left.join(best, ["x", "y"]).select(F.col("cell_id").alias("a_id"), F.col("m.dst_id").alias("b_id"), F.sqrt("m.d2").alias("dist"))
 
 
 def mutual_nearest(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """(a_id, b_id, dist): pairs of cells that are each other's nearest, within the radius. Distances are looked up once."""
-    pairs = neighbor_pairs(left, right, radius)
+    """(a_id, b_id, dist): pairs of cells that are each other's nearest, within the radius; of cells at one place, that of the least id."""
+    pairs = place_pairs(_least_ids(left), _least_ids(right), radius).select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "d2")
     ahead = pairs.groupBy("src").agg(F.min(F.struct("d2", "dst")).alias("m")).select(F.col("src").alias("a_id"), F.col("m.dst").alias("b_id"), F.sqrt("m.d2").alias("dist"))
     back = pairs.groupBy("dst").agg(F.min(F.struct("d2", "src")).alias("m")).select(F.col("m.src").alias("a_id"), F.col("dst").alias("b_id"))
     return ahead.join(back, ["a_id", "b_id"])
