@@ -19,9 +19,12 @@ def _log_density(which: int) -> Column:
 
 
 def _weighed(counts: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
-    """counts with the logarithm of each value's density and the share of the higher component in it."""
+    """counts with the logarithm of each value's density and the share of the higher component in it.
+
+    A model has one row per group, so it is broadcast: joined by the keys, all values of a group would be sorted in one task.
+    """
     top = F.greatest("l1", "l2")
-    both = counts.join(model, keys).withColumns({"l1": _log_density(1), "l2": _log_density(2)})
+    both = counts.join(F.broadcast(model), keys).withColumns({"l1": _log_density(1), "l2": _log_density(2)})
     both = both.withColumn("log", top + F.log(F.exp(F.col("l1") - top) + F.exp(F.col("l2") - top)))
     return both.withColumn("high", F.exp(F.col("l2") - F.col("log")))
 
@@ -61,8 +64,8 @@ def two_normals(df: DataFrame, keys: list[str], value: str, rounds: int = 50, to
     counts = materialize(rows.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")))
     n, v = F.col("n"), F.col("v")
     whole = counts.groupBy(*keys).agg(F.sum("n").alias("rows"), (F.sum(n * v) / F.sum("n")).alias("middle"))
-    spread = counts.join(whole, keys).groupBy(*keys, "rows", "middle").agg(F.sqrt(F.sum(n * F.pow(v - F.col("middle"), F.lit(2.0))) / F.first("rows")).alias("spread"))
-    sides = counts.join(spread, keys).groupBy(*keys, "rows", "spread").agg(
+    spread = counts.join(F.broadcast(whole), keys).groupBy(*keys, "rows", "middle").agg(F.sqrt(F.sum(n * F.pow(v - F.col("middle"), F.lit(2.0))) / F.first("rows")).alias("spread"))
+    sides = counts.join(F.broadcast(spread), keys).groupBy(*keys, "rows", "spread").agg(
         *[x for k, side in ((1, v <= F.col("middle")), (2, v > F.col("middle"))) for x in (
             (F.sum(F.when(side, n).otherwise(0)) / F.first("rows")).alias(f"share{k}"),
             F.coalesce(F.sum(F.when(side, n * v)) / F.sum(F.when(side, n)), F.first("middle")).alias(f"mean{k}"),

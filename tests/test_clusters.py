@@ -229,3 +229,20 @@ def test_visits_leave_a_batch_in_short_frames():
     assert max(map(len, frames)) <= 500
     every = pd.concat(frames)
     assert len(every) == 300 * 40 == len(every[["src", "cell"]].drop_duplicates())
+
+
+def test_mixture_rounds_do_not_sort_a_groups_values(spark):
+    """A model is one row per group: joined by keys, all values of a group would meet in one task, whatever their number."""
+    from cytoloom.functions import mixtures
+
+    counts = spark.range(100).selectExpr("'f' AS feature", "double(id) AS v", "1L AS n")
+    fields = ", ".join(f"double({x}) AS {c}" for c, x in zip(mixtures.FIELDS, (0.5, 20, 5, 0.5, 80, 5)))
+    state = spark.range(1).selectExpr("'f' AS feature", "100L AS rows", "30D AS spread", *fields.split(", "), "double('-inf') AS likelihood", "0 AS round", "false AS done")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for a state that Spark takes for large
+    try:
+        out = mixtures._step(counts, mixtures._step(counts, state, ["feature"], 1e-6, 1e-3), ["feature"], 1e-6, 1e-3)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.first()["round"] == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
