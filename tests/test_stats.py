@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,16 @@ def test_label_permutation_joins_places_once(spark, monkeypatch):
     scores = [min(n.count("a"), n.count("b")) / max(1, n.count("a") + n.count("b")) for n in near]
     assert r["observed"] == pytest.approx(sum(scores) / len(scores)) and 0 < r["null_mean"] < 0.5 and r["null_sd"] > 0
     assert seen[0].count() == sum(map(len, near))
+
+
+def test_percentile_ranges_are_fixed_before_they_are_read(spark):
+    """Approximate quantiles of a large group depend on the order of arrival; both readers of the ranges must see the same ones."""
+    from cytoloom.functions.percentiles import percentiles
+
+    df = spark.range(40_000).selectExpr("id % 2 AS k", "pow(double(id * 7919 % 40009), 3) AS v")
+    found = percentiles(df, ["k"], "v", {"a": 0.0, "b": 0.37, "c": 0.5, "d": 1.0})
+    assert "percentile_approx" not in found._jdf.queryExecution().toString()
+    for k in (0, 1):
+        values = np.array([(i * 7919 % 40009) ** 3 for i in range(k, 40_000, 2)], float)
+        row = found.where(f"k = {k}").first()
+        assert [row[c] for c in "abcd"] == pytest.approx(list(np.quantile(values, [0, 0.37, 0.5, 1])), rel=1e-12)
