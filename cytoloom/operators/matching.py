@@ -27,18 +27,18 @@ def _least_ids(cells: DataFrame) -> DataFrame:
 def nearest_within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """(a_id, b_id, dist): each left cell's nearest right one within the radius, inclusive; ties by the right id.
 
-    Places are compared, not all cells at them. The nearest is a minimum, so partial aggregation leaves one row per place and task.
+    Places are compared, not all cells at them, and only with those in squares that suit the cells' density, so a wide radius costs no pairs.
     """
-    pairs = place_pairs(places(left, by=()), _least_ids(right), radius)
-    best = pairs.groupBy(F.col("ax").alias("x"), F.col("ay").alias("y")).agg(F.min(F.struct("d2", "dst_id")).alias("m"))
-    return left.join(best, ["x", "y"]).select(F.col("cell_id").alias("a_id"), F.col("m.dst_id").alias("b_id"), F.sqrt("m.d2").alias("dist"))
+    at = _least_ids(left)
+    best = place_pairs(at, _least_ids(right), radius, closest=True).select(F.col("src_id").alias("id"), "dst_id", "d2").join(at.select("id", "x", "y"), "id")
+    return left.join(best, ["x", "y"]).select(F.col("cell_id").alias("a_id"), F.col("dst_id").alias("b_id"), F.sqrt("d2").alias("dist"))
 
 
 def mutual_nearest(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """(a_id, b_id, dist): pairs of cells that are each other's nearest, within the radius; of cells at one place, that of the least id."""
-    pairs = place_pairs(_least_ids(left), _least_ids(right), radius).select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "d2")
-    ahead = pairs.groupBy("src").agg(F.min(F.struct("d2", "dst")).alias("m")).select(F.col("src").alias("a_id"), F.col("m.dst").alias("b_id"), F.sqrt("m.d2").alias("dist"))
-    back = pairs.groupBy("dst").agg(F.min(F.struct("d2", "src")).alias("m")).select(F.col("m.src").alias("a_id"), F.col("dst").alias("b_id"))
+    one, two = _least_ids(left), _least_ids(right)
+    ahead = place_pairs(one, two, radius, closest=True).select(F.col("src_id").alias("a_id"), F.col("dst_id").alias("b_id"), F.sqrt("d2").alias("dist"))
+    back = place_pairs(two, one, radius, closest=True).select(F.col("dst_id").alias("a_id"), F.col("src_id").alias("b_id"))
     return ahead.join(back, ["a_id", "b_id"])
 
 
