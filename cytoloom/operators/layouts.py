@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -79,14 +81,18 @@ def spectral_vectors(weights: DataFrame, k: int = 3, degree: int = 24, tolerance
     drawn = [uniform(F.lit(seed), F.lit(i), F.col("node")) - 0.5 for i in range(width - 1)]
     block = nodes.select("node", F.array("root", *drawn).alias("v"), drawn[0].alias("mark"))
     for cycle in range(cycles):
-        state = materialize(block.select("node", "mark", F.col("v").alias("basis"), F.col("v").alias("cur"), F.transform("v", lambda _: F.lit(0.0)).alias("prev")))
+        state, parts = materialize(block.select("node", F.col("v").alias("cur"), F.transform("v", lambda _: F.lit(0.0)).alias("prev"))), []
         for j in range(degree):
+            parts.append(state.select("node", F.lit(j).alias("j"), F.col("cur").alias("v")))
             there = state.select(F.col("node").alias("dst"), "cur")
             sums = edges.join(there, "dst").groupBy(F.col("src").alias("node")).agg(*[F.sum(F.col("w") * F.get("cur", F.lit(i))).alias(f"_{i}") for i in range(width)])
             factor = 1.0 if j == 0 else 2.0
             new = F.array(*[factor * F.col(f"_{i}") - F.get("prev", F.lit(i)) for i in range(width)])
-            state = state.join(sums, "node").withColumn("new", new)
-            state = materialize(state.select("node", "mark", F.concat("basis", "new").alias("basis"), F.col("new").alias("cur"), F.col("cur").alias("prev")))
+            state = materialize(state.join(sums, "node").select("node", new.alias("cur"), F.col("cur").alias("prev")))
+        parts.append(state.select("node", F.lit(degree).alias("j"), F.col("cur").alias("v")))
+        # The basis is put together once in a cycle; a round carries only the last two blocks of it.
+        basis = reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("l"))
+        state = materialize(basis.select("node", F.flatten("l.v").alias("basis")).join(nodes.select("node", drawn[0].alias("mark")), "node"))
         found = Chebyshev(products(state), width)
         take = found.coefficients[:, :width]
 

@@ -86,3 +86,13 @@ def test_curve_of_distances():
 
 def test_numbers_are_dense(spark):
     assert sorted(r["number"] for r in L.numbered(spark.range(500).withColumnRenamed("id", "node")).collect()) == list(range(500))
+
+
+def test_rounds_carry_two_blocks_of_the_basis(spark, monkeypatch):
+    """The basis is written once in a cycle, not once in a round, so what is written and sent grows with the degree, not its square."""
+    _, x = points(2, 20)
+    written, real = [], L.materialize
+    monkeypatch.setattr(L, "materialize", lambda df: written.append(df.columns) or real(df))
+    L.spectral_vectors(L.distance_weights(near(spark, x, 5)), 3, degree=5, cycles=1)
+    assert sum("basis" in c for c in written) == 1
+    assert sum(c == ["node", "cur", "prev"] for c in written) == 6
