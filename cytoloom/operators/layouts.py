@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.storagelevel import StorageLevel
 
 from cytoloom.lineage import materialize
 from cytoloom.operators.decompositions import array_sums
@@ -64,57 +66,110 @@ class Chebyshev:
         return np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", left, self.gram, left), 0))
 
 
-def spectral_vectors(weights: DataFrame, k: int = 3, degree: int = 24, tolerance: float = 1e-6, cycles: int = 6, seed: int = 42) -> tuple[DataFrame, list[float], list[float]]:
+def spectral_vectors(weights: DataFrame, k: int = 3, degree: int = 24, tolerance: float = 1e-6, cycles: int = 6, seed: int = 42, piece: int = 4096, most: int = 2**17) -> tuple[DataFrame, list[float], list[float]]:
     """((node, vector), eigenvalues, residuals): the k eigenvectors, of length 1, of the largest eigenvalues by size of D^-1/2 W D^-1/2.
 
-    weights: (src, dst, w) in both directions; nodes without edges have no row. A cycle multiplies a block of k + 2 vectors ``degree`` times,
-    each time by one join of the edges with the nodes, and takes the best vectors of the space that these span; cycles end when the residuals
-    are below the tolerance. Only sums of products reach the driver. A vector's sign is that of its product with a vector of hashes.
+    weights: (src, dst, w) in both directions; nodes without edges have no row. A cycle multiplies a block of k + 2 vectors ``degree`` times
+    and takes the best vectors of the space that these span; cycles end when the residuals are below the tolerance. Only sums of products reach
+    the driver. A vector's sign is that of its product with a vector of hashes.
+
+    Nodes are numbered; the numbers of ``piece`` nodes that follow each other are one row, as bytes. The matrix is cut into squares of some ``most``
+    nodes a side and 2^20 edges, which stay where they are; a round sends each square the pieces of its columns, and back come sums for its rows.
     """
+    weights = materialize(weights)
     degrees = weights.groupBy("src").agg(F.sum("w").alias("d"))
-    names = [F.col("src").alias("node"), F.sqrt("d").alias("root")]
-    nodes = materialize(degrees.select(*names))
-    roots = lambda c: nodes.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    edges = weights.join(roots("src"), "src").join(roots("dst"), "dst").select("src", "dst", (F.col("w") / F.col("root_src") / F.col("root_dst")).alias("w"))
-    edges = materialize(edges)
     width = k + 2
     drawn = [uniform(F.lit(seed), F.lit(i), F.col("node")) - 0.5 for i in range(width - 1)]
-    block = nodes.select("node", F.array("root", *drawn).alias("v"), drawn[0].alias("mark"))
+    nodes = numbered(degrees.select(F.col("src").alias("node"), F.sqrt("d").alias("root")))
+    nodes = materialize(nodes.withColumn("first", F.col("number") - F.col("number") % piece))
+    n, total = nodes.count(), weights.count()
+    squares = max(1, -(-n // most), math.ceil(math.sqrt(total / 2**20)))
+    size = piece * max(1, -(-n // (squares * piece)))
+    squares = max(1, -(-n // size))
+    length = lambda first: min(piece, n - int(first))
+    opened = lambda data, first: np.frombuffer(data, np.float64).reshape(length(first), -1)
+
+    def pack(f: pd.DataFrame) -> pd.DataFrame:
+        data = {"rows": f["row"].to_numpy(np.int32), "columns": f["column"].to_numpy(np.int32), "w": f["w"].to_numpy(np.float64)}
+        return f[["i", "j"]].iloc[:1].assign(**{c: [x.tobytes()] for c, x in data.items()})
+
+    ends = lambda c: nodes.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"), F.col("number").alias(f"at_{c}"))
+    edges = weights.join(ends("src"), "src").join(ends("dst"), "dst")
+    edges = edges.selectExpr(f"int(at_src div {size}) AS i", f"int(at_dst div {size}) AS j", f"int(at_src % {size}) AS row", f"int(at_dst % {size}) AS column", "w / root_src / root_dst AS w")
+    edges = materialize(edges.groupBy("i", "j").applyInPandas(pack, "i int, j int, rows binary, columns binary, w binary"))
+    edges = edges.repartition(squares * squares, "i", "j").persist(StorageLevel.DISK_ONLY)
+
+    def multiply(e: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        if not len(e) or not len(x):
+            return pd.DataFrame()
+        x = x.sort_values("node")
+        x = np.concatenate([opened(v, at) for v, at in zip(x["cur"], x["node"])])
+        rows, columns, w = (np.frombuffer(e[c].iloc[0], kind) for c, kind in (("rows", np.int32), ("columns", np.int32), ("w", np.float64)))
+        low = int(e["i"].iloc[0]) * size
+        sums = np.stack([np.bincount(rows, w * x[columns, c], min(size, n - low)) for c in range(x.shape[1])], axis=1)
+        firsts = range(0, len(sums), piece)
+        return pd.DataFrame({"node": [low + at for at in firsts], "j": e["j"].iloc[0], "sums": [sums[at : at + piece].tobytes() for at in firsts]})
+
+    def stepped(factor: float):
+        def step(f: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+            cur, prev = (np.frombuffer(f[c].iloc[0], np.float64) for c in ("cur", "prev"))
+            new = -prev if len(prev) else np.zeros(len(cur))  # none before the first round
+            for part in sums.sort_values("j")["sums"]:
+                new = new + factor * np.frombuffer(part, np.float64)
+            return pd.DataFrame({"node": f["node"], "cur": [new.tobytes()], "prev": f["cur"]})
+
+        return step
+
+    def start(f: pd.DataFrame) -> pd.DataFrame:
+        v = f.sort_values("number")[["root", *[f"_{i}" for i in range(width - 1)]]].to_numpy(np.float64)
+        return pd.DataFrame({"node": f["first"].iloc[:1], "v": [v.tobytes()]})
+
+    def together(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("j")
+        return f[["node"]].iloc[:1].assign(basis=[np.hstack([opened(v, at) for v, at in zip(f["v"], f["node"])]).tobytes()])
+
+    block = nodes.select("first", "number", "root", *[d.alias(f"_{i}") for i, d in enumerate(drawn)]).groupBy("first").applyInPandas(start, "node long, v binary")
     for cycle in range(cycles):
-        state, parts = materialize(block.select("node", F.col("v").alias("cur"), F.transform("v", lambda _: F.lit(0.0)).alias("prev"))), []
+        state, parts = materialize(block.select("node", F.col("v").alias("cur"), F.lit(b"").alias("prev"))), []
         for j in range(degree):
             parts.append(state.select("node", F.lit(j).alias("j"), F.col("cur").alias("v")))
-            there = state.select(F.col("node").alias("dst"), "cur")
-            sums = edges.join(there, "dst").groupBy(F.col("src").alias("node")).agg(*[F.sum(F.col("w") * F.get("cur", F.lit(i))).alias(f"_{i}") for i in range(width)])
-            factor = 1.0 if j == 0 else 2.0
-            new = F.array(*[factor * F.col(f"_{i}") - F.get("prev", F.lit(i)) for i in range(width)])
-            state = materialize(state.join(sums, "node").select("node", new.alias("cur"), F.col("cur").alias("prev")))
+            sent = state.select("node", "cur", F.expr(f"int(node div {size})").alias("j"), F.explode(F.expr(f"sequence(0, {squares - 1})")).alias("i"))
+            sums = edges.groupBy("i", "j").cogroup(sent.repartition(squares * squares, "i", "j").groupBy("i", "j")).applyInPandas(multiply, "node long, j int, sums binary")
+            state = materialize(state.groupBy("node").cogroup(sums.groupBy("node")).applyInPandas(stepped(1.0 if j == 0 else 2.0), "node long, cur binary, prev binary"))
         parts.append(state.select("node", F.lit(degree).alias("j"), F.col("cur").alias("v")))
         # The basis is put together once in a cycle; a round carries only the last two blocks of it.
-        basis = reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("l"))
-        state = materialize(basis.select("node", F.flatten("l.v").alias("basis")).join(nodes.select("node", drawn[0].alias("mark")), "node"))
-        found = Chebyshev(products(state), width)
+        state = materialize(reduce(DataFrame.unionByName, parts).groupBy("node").applyInPandas(together, "node long, basis binary"))
+        found = Chebyshev(products(state, width * (degree + 1)), width)
         take = found.coefficients[:, :width]
 
         def combine(frames, take=take):
             for f in filter(len, frames):
-                v = matrix(f["basis"])[:, : len(take)] @ take
-                yield pd.DataFrame({"node": f["node"], "v": list(v), "mark": f["mark"]})
+                yield pd.DataFrame({"node": f["node"], "v": [(opened(b, at)[:, : len(take)] @ take).tobytes() for b, at in zip(f["basis"], f["node"])]})
 
-        kind = state.schema["node"].dataType.simpleString()
-        block = materialize(state.mapInPandas(combine, f"node {kind}, v array<double>, mark double"))
+        block = materialize(state.mapInPandas(combine, "node long, v binary"))
         residuals = found.residuals(k)
         if (residuals <= tolerance).all() or take.shape[1] < width:
             break
+    edges.unpersist()
+
+    def named(f: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        return f.sort_values("number")[["node", "mark"]].assign(v=list(opened(v["v"].iloc[0], v["node"].iloc[0])))
+
+    kind = nodes.schema["node"].dataType.simpleString()
+    marked = nodes.select("first", "number", "node", drawn[0].alias("mark")).groupBy("first")
+    block = materialize(marked.cogroup(block.groupBy("node")).applyInPandas(named, f"node {kind}, mark double, v array<double>"))
     side = block.agg(*[F.sum(F.col("mark") * F.get("v", F.lit(i))).alias(f"_{i}") for i in range(k)]).first() or [0.0] * k
     signed = F.array(*[F.get("v", F.lit(i)) * (-1.0 if (side[i] or 0) < 0 else 1.0) for i in range(min(k, take.shape[1]))])
     return block.select("node", signed.alias("vector")), found.values[:k].tolist(), residuals.tolist()
 
 
-def products(state: DataFrame) -> np.ndarray:
+def products(state: DataFrame, columns: int) -> np.ndarray:
     def part(f: pd.DataFrame) -> dict[int, np.ndarray]:
-        v = matrix(f["basis"])
-        return dict(enumerate(v.T @ v))
+        sums = np.zeros((columns, columns))
+        for row in f["basis"]:
+            v = np.frombuffer(row, np.float64).reshape(-1, columns)
+            sums += v.T @ v
+        return dict(enumerate(sums))
 
     sums = array_sums(state.select("basis"), part)
     return np.array([sums[i] for i in range(len(sums))])
@@ -123,6 +178,7 @@ def products(state: DataFrame) -> np.ndarray:
 def spectral_layout(edges: DataFrame, jitter: float = 0.0, seed: int = 42, **how) -> DataFrame:
     """(node, x, y): the second and third eigenvector of the graph of nearest neighbours (src, dst, dist). jitter is the deviation of normal
     noise by hash that is added to both."""
+    edges = materialize(edges)  # a search, as a rule, and read for each node's farthest neighbour too
     vectors, _, _ = spectral_vectors(distance_weights(edges), 3, seed=seed, **how)
     noise = lambda tag: jitter * F.sqrt(-2 * F.log(1 - uniform(F.lit(seed), F.lit(tag + "size"), F.col("node")))) * F.cos(2 * np.pi * uniform(F.lit(seed), F.lit(tag), F.col("node")))
     at = lambda i, tag: F.coalesce(F.get("vector", F.lit(i)), F.lit(0.0)) + (noise(tag) if jitter else 0.0)

@@ -96,3 +96,20 @@ def test_rounds_carry_two_blocks_of_the_basis(spark, monkeypatch):
     L.spectral_vectors(L.distance_weights(near(spark, x, 5)), 3, degree=5, cycles=1)
     assert sum("basis" in c for c in written) == 1
     assert sum(c == ["node", "cur", "prev"] for c in written) == 6
+
+
+def test_rounds_send_pieces_not_edges(spark, monkeypatch):
+    """A round's rows are pieces of many nodes; a search is read from a table, once; squares of the matrix give what the whole one gives."""
+    _, x = points(3, 40, spread=2.0)
+    edges = near(spark, x, 8)
+    written, real = [], L.materialize
+    monkeypatch.setattr(L, "materialize", lambda df: written.append((df.columns, real(df))) or written[-1][1])
+    whole = L.spectral_layout(edges, degree=16).orderBy("node").collect()
+    assert written[0][0] == edges.columns
+    rounds = lambda: [df.count() for c, df in written if c == ["node", "cur", "prev"]]
+    assert set(rounds()) == {1}
+    written.clear()
+    cut = L.spectral_layout(edges, degree=16, piece=8, most=24).orderBy("node").collect()
+    assert set(rounds()) == {15} and max(df.count() for c, df in written if "columns" in c) == 25
+    assert [r["node"] for r in cut] == [r["node"] for r in whole] == list(range(120))
+    assert np.allclose([r[1:] for r in cut], [r[1:] for r in whole], atol=1e-6)
